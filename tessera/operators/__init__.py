@@ -1,0 +1 @@
+"""tessera.operators"""
