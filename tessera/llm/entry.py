@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, sharding
+from tessera.llm import decontaminate, neardup, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,5 +35,23 @@ SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM low l LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination}
-ORACLE_SQL = {"op3_decontamination": OP3_SQL}
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM low)),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b USING (s) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+ both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+ reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+ least_id AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT l.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(l.doc_id, coalesce(m, l.doc_id)) AS component_id, l.doc_id = least(l.doc_id, coalesce(m, l.doc_id)) AS kept
+FROM low l LEFT JOIN n USING (doc_id) LEFT JOIN least_id USING (doc_id)
+"""
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
+ORACLE_SQL = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
