@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -26,10 +27,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{scratch_root(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    The shuffles behind it are then of no more use; the garbage collection lets Spark's cleaner drop their files.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 # --- byte-level scans ------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, neardup, sharding
+from tessera.llm import decontaminate, neardup, sharding, suffixdedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,5 +53,22 @@ SELECT l.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(l.doc_id, c
 FROM low l LEFT JOIN n USING (doc_id) LEFT JOIN least_id USING (doc_id)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
-ORACLE_SQL = {"op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.removal_report(_read(spark, sf_dir, "documents"), width=50)
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+ w AS (SELECT doc_id, p, substr(hx, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+ lo AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+ gone AS (SELECT DISTINCT doc_id, p + k AS q FROM (SELECT w.doc_id, p FROM w JOIN lo USING (s) WHERE m < w.doc_id), (SELECT unnest(range(0, 50)) AS k)),
+ removed AS (SELECT a.doc_id, count(*) AS n_removed, count(*) FILTER (WHERE b.q IS NULL) AS n_spans FROM gone a LEFT JOIN gone b ON a.doc_id = b.doc_id AND a.q = b.q + 1 GROUP BY a.doc_id),
+ byte AS (SELECT doc_id, hx, unnest(range(0, n)) AS q FROM d),
+ kept AS (SELECT byte.doc_id, sha256(unhex(string_agg(substr(hx, CAST(2 * byte.q + 1 AS BIGINT), 2), '' ORDER BY byte.q))) AS kept_sha256 FROM byte ANTI JOIN gone ON byte.doc_id = gone.doc_id AND byte.q = gone.q GROUP BY byte.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
+ORACLE_SQL = {"op8_suffix_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
