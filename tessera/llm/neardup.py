@@ -23,6 +23,8 @@ from tessera.llm.components import components
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket that meet in one task; a larger bucket is split into pairs of blocks.
 BLOCK = 1024
+#: Coordinates, one bit of each, of the longer sketch that screens pairs before their full sets are fetched.
+BITS = 8192
 
 
 class Banding:
@@ -32,8 +34,9 @@ class Banding:
         self.rows, self.bands = rows, math.ceil(math.log(miss) / math.log(1 - similarity**rows))
         self.size = self.rows * self.bands
         self.similarity = similarity
-        # equal coordinates of a pair at the threshold fall short of this with a probability of about 1e-5
-        self.least = math.floor(self.size * (similarity - 4.3 * math.sqrt(similarity * (1 - similarity) / self.size)))
+        # equal bits of a pair at the threshold fall short of this with a probability of about 1e-5
+        p = (1 + similarity) / 2
+        self.least = math.floor(BITS * (p - 4.3 * math.sqrt(p * (1 - p) / BITS)))
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -44,7 +47,7 @@ def sketch(items: np.ndarray, size: int) -> np.ndarray:
     """The fast similarity sketch of a set of 64-bit hashes: round number above, hash below, the least of each bin."""
     seeds, out, done = _seeds(2 * size), np.full(size, EMPTY), 0
     while done < size and (out == EMPTY).any():
-        r = min(size - done, max(1, 4096 // len(items)))
+        r = min(size - done, max(1, max(4096, 2 * size) // len(items)))
         h = mix(items[None, :] ^ seeds[done : done + r, None])
         value = (np.arange(done, done + r, dtype=np.uint64)[:, None] << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         np.minimum.at(out, ((h >> np.uint64(32)) % np.uint64(size)).astype(np.int64).ravel(), value.ravel())
@@ -83,6 +86,10 @@ def set_hash(items: np.ndarray) -> tuple[int, int]:
     return int(mix(items).sum().view(np.int64)), int(mix(items * np.uint64(0xDA942042E4DD58B5)).sum().view(np.int64))
 
 
+def band_keys(items: np.ndarray, band: Banding, factors: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return mix((mix(sketch(items, band.size)).reshape(band.bands, band.rows) * factors).sum(1) ^ salt).view(np.int64)
+
+
 def _signatures(k: int, band: Banding):
     def run(batches):
         import pyarrow as pa
@@ -95,7 +102,7 @@ def _signatures(k: int, band: Banding):
             for items in shingle_sets(batch.column("text"), k):
                 a, b = set_hash(items) if len(items) else (0, 0)
                 n.append(len(items)), one.append(a), two.append(b)
-                keys.append(mix((mix(sketch(items, band.size)).reshape(band.bands, band.rows) * factors).sum(1) ^ salt).view(np.int64) if len(items) else np.zeros(0, np.int64))
+                keys.append(band_keys(items, band, factors, salt) if len(items) else np.zeros(0, np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), bands], ["doc_id", "n_shingles", "one", "two", "bands"])
 
@@ -103,18 +110,21 @@ def _signatures(k: int, band: Banding):
 
 
 def _full_sets(k: int, band: Banding):
-    """The sets themselves and a byte of each coordinate, for candidates."""
+    """For candidates: the sets themselves, the bits that screen, and half of each band key."""
 
     def run(batches):
         import pyarrow as pa
 
+        factors, salt = _seeds(band.rows) | np.uint64(1), _seeds(band.bands)
         for batch in batches:
             rows = []
             for doc, items in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
                 if len(items):
-                    rows.append((doc, *set_hash(items), mix(sketch(items, band.size)).astype(np.uint8).tobytes(), items.tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "one", "two", "sketch", "items"])
+                    bits = np.packbits((mix(sketch(items, BITS)) & np.uint64(1)).astype(np.uint8))
+                    rows.append((doc, *set_hash(items), bits.tobytes(), band_keys(items, band, factors, salt).astype(np.uint32).tobytes(), items.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = (*[pa.int64()] * 3, *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rep", "one", "two", "sketch", "halves", "items"])
 
     return run
 
@@ -143,8 +153,8 @@ def _alike(least: int):
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            keep = (x == y).sum(1) >= least if batch.num_rows else np.zeros(0, bool)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64) for c in ("sketch_a", "sketch_b"))
+            keep = BITS - np.bitwise_count(x ^ y).reshape(batch.num_rows, BITS // 64).sum(1, dtype=np.int64) >= least
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -153,18 +163,22 @@ def _alike(least: int):
 def _across(least: int, every: bool):
     """Rows in order of (key, block pair): pairs of members with different labels and enough equal coordinates.
 
-    every: all of them, otherwise only the most alike partner of each member.
+    every: all of them, each in the first bucket that it shares; otherwise only the most alike partner of each member.
     """
 
-    def pairs(side, rep, label, marks):
+    def pairs(key, side, rep, label, marks, halves):
+        here = halves == np.uint32(key & 0xFFFFFFFF)
         rows, cols = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         out = []
-        for at in range(0, len(rows), 64):
-            r = rows[at : at + 64]
-            same = (marks[r][:, None, :] == marks[cols][None, :, :]).sum(2)
+        for at in range(0, len(rows), 16):
+            r = rows[at : at + 16]
+            same = BITS - np.bitwise_count(marks[r][:, None, :] ^ marks[cols][None, :, :]).sum(2, dtype=np.int64)
             same[label[r][:, None] == label[cols][None, :]] = 0
             if every:
                 i, j = np.nonzero(same >= least)
+                common = halves[r[i]] == halves[cols[j]]
+                first = common.argmax(1) if len(i) else i
+                i, j = i[here[r[i], first]], j[here[r[i], first]]
             else:
                 j = same.argmax(1)
                 i = np.flatnonzero(same[np.arange(len(r)), j] >= least)
@@ -176,12 +190,13 @@ def _across(least: int, every: bool):
         import pyarrow as pa
 
         def flush(rows):
-            got = pairs(*(np.array([x[c] for x in rows]) for c in (2, 3, 4)), np.frombuffer(b"".join(x[5] for x in rows), np.uint8).reshape(len(rows), -1))
+            marks, halves = (np.frombuffer(b"".join(x[c] for x in rows), t).reshape(len(rows), -1) for c, t in ((5, np.uint64), (6, np.uint32)))
+            got = pairs(rows[0][0], *(np.array([x[c] for x in rows]) for c in (2, 3, 4)), marks, halves)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held, last = [], None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "side", "rep", "label", "sketch")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "side", "rep", "label", "sketch", "halves")), strict=True):
                 if row[:2] != last and held:
                     yield flush(held)
                     held = []
@@ -240,13 +255,13 @@ def _labels(texts: DataFrame, some: DataFrame, reps: DataFrame, k: int, percent:
     shared = thin.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1").drop("n")
     members = materialize(thin.join(shared, "key").distinct())
     who = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(who, "doc_id", "left_semi").mapInArrow(_full_sets(k, band), "rep long, one long, two long, sketch binary, items binary")
+    sets = texts.join(who, "doc_id", "left_semi").mapInArrow(_full_sets(k, band), "rep long, one long, two long, sketch binary, halves binary, items binary")
     sets = materialize(sets.join(reps, ["rep", "one", "two"], "left_semi").dropDuplicates(["rep"]).drop("one", "two"))
     star = members.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     labels = components(_verified(star, sets, band, percent, False))
     for every in (False, True):
-        meet = _meetings(members, labels).join(sets.select("rep", "sketch"), "rep")
-        pairs = meet.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part").select("key", "part", "side", "rep", "label", "sketch")
+        meet = _meetings(members, labels).join(sets.select("rep", "sketch", "halves"), "rep")
+        pairs = meet.repartition(F.col("key"), F.col("part")).sortWithinPartitions("key", "part").select("key", "part", "side", "rep", "label", "sketch", "halves")
         pairs = pairs.mapInArrow(_across(band.least, every), "a long, b long").distinct()
         new = _verified(pairs, sets, band, percent, True)
         of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))  # noqa: E731, B023
