@@ -161,24 +161,21 @@ def _refine(width: int, hot):
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column("buckets").to_pylist()
+            lists = batch.column("buckets").fill_null([])
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
             out = {"place": [], "first": [], "last": [], "sub": []}
             for i, data, bounds in _chunks(batch):
+                n = len(bounds) - 1  # under 2**15, as each row has width bytes
                 row, place, first, last, bucket = sampled(data, bounds, width)
-                keep = np.isin(bucket, hot.value)
-                cut = np.searchsorted(row, np.arange(len(bounds)))
-                for r in range(len(bounds) - 1):
-                    a, b = cut[r], cut[r + 1]
-                    if lists[i + r] and b > a:
-                        keep[a:b] |= np.isin(bucket[a:b], lists[i + r])
+                shared = (np.repeat(np.arange(n), np.diff(ends[i : i + n + 1])) << 48) | values[ends[i] : ends[i + n]]
+                keep = np.isin(bucket, hot.value) | np.isin((row << 48) | bucket, shared)
                 row, place, first, last = row[keep], place[keep], first[keep], last[keep]
                 sub = word_hashes(data, first, last + width) if len(row) else np.zeros(0, np.uint64)
                 sub = mix(sub ^ ((place - first).astype(np.uint64) << np.uint64(8))).view(np.int64)
-                cut = np.searchsorted(row, np.arange(len(bounds)))
-                for r in range(len(bounds) - 1):
-                    a, b = cut[r], cut[r + 1]
-                    for name, v in (("place", place - bounds[r]), ("first", first - bounds[r]), ("last", last - bounds[r]), ("sub", sub)):
-                        out[name].append(v[a:b])
+                cut = np.searchsorted(row, np.arange(n + 1))
+                start = bounds[row]
+                for name, v in (("place", place - start), ("first", first - start), ("last", last - start), ("sub", sub)):
+                    out[name] += np.split(v, cut[1:-1])
             cols = [pa.array(out[c], pa.list_(pa.int64())) for c in ("place", "first", "last", "sub")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "place", "first", "last", "sub"])
 
