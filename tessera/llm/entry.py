@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, neardup, sharding, suffixdedup
+from tessera.llm import decontaminate, fingerprint, neardup, packing, sharding, suffixdedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,5 +70,21 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
 FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    """The tokenizer's file, which is never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
+
+
+QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
 ORACLE_SQL = {"op8_suffix_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
