@@ -36,6 +36,11 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    """48 bits, hashed anew: the sampled grams are those with the least hashes."""
+    return (mix(grams ^ np.uint64(_BASE)) >> np.uint64(16)).astype(np.int64)
+
+
 def sampled(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, place, first and last window and bucket of the sampled suffixes; all places are those in data."""
     none = np.zeros(0, np.int64)
@@ -62,7 +67,7 @@ def sampled(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     row = np.searchsorted(offsets[1:], starts, "right")
     new[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
-    return row[at], owner[at], starts[at], starts[np.append(at[1:], len(starts)) - 1], (grams[owner[at]] >> np.uint64(16)).astype(np.int64)
+    return row[at], owner[at], starts[at], starts[np.append(at[1:], len(starts)) - 1], _bucket(grams[owner[at]])
 
 
 def _chunks(batch) -> Iterator[tuple]:
@@ -228,7 +233,7 @@ def _contexts(width: int, hot):
                 text = data[offsets[r] : offsets[r + 1]]
                 p = np.array(place)
                 near = text[p[:, None] + np.arange(GRAM)]
-                buckets = (_gram_hashes(near.ravel())[::GRAM] >> np.uint64(16)).astype(np.int64)
+                buckets = _bucket(_gram_hashes(near.ravel())[::GRAM])
                 is_hot, raw = np.isin(buckets, hot.value), text.tobytes()
                 for b, h, q, f, e in zip(buckets.tolist(), is_hot.tolist(), place, first, last, strict=True):
                     if h:
