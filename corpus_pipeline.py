@@ -1,20 +1,49 @@
-"""The corpus pipeline: each stage is (name, function of (spark, docs, sf_dir))."""
+"""The corpus pipeline: stages (name, function of (spark, docs, sf_dir)), each on all rows that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, neardup, packing, suffixdedup, toxicity
 from tessera.llm.common import materialize
+from tessera.llm.entry import vocabulary
 
+#: No SQL: sketches, trained models and differencing; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+
+    Rows without a doc_id stay.
+    """
+    gone = neardup.near_duplicates(docs, k=5, percent=80).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller doc_id has go from the text; n_chars follows."""
+    cut = suffixdedup.without_repeats(docs, width=50)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents with ten consecutive words of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenized documents in sequences of 2048."""
+    return packing.pack(docs, vocabulary(), capacity=2048)
 
 
-STAGES = [("decontaminate", decontaminated)]
+STAGES = [("toxicity", not_toxic), ("near_dedup", one_of_each), ("suffix_dedup", no_repeats), ("decontamination", decontaminated), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, fingerprint, neardup, packing, sharding, suffixdedup
+from tessera.llm import decontaminate, fingerprint, neardup, packing, sharding, suffixdedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,5 +86,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
 
 
-QUERIES = {"op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, toxicity.train(docs, _read(spark, sf_dir, "labels"))).drop("text")
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
 ORACLE_SQL = {"op8_suffix_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
