@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, fingerprint, neardup, packing, sharding, suffixdedup, toxicity, urlfilter
+from tessera.llm import chat, decontaminate, fingerprint, licences, neardup, packing, sharding, suffixdedup, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -123,5 +123,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(size * CASE WHEN sys THEN n_windows ELSE 1 + again END) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id
 """
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op7_chat_format": op7_chat_format, "op10_toxicity": op10_toxicity, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licences.scan(docs, licences.train(docs))
+    return out.select("doc_id", "n_paragraphs", "n_candidates", F.array_join("licences", ",").alias("licences"), "licence", "probability")
+
+
+QUERIES = {"op4_license_scan": op4_license_scan, "op2_url_filter": op2_url_filter, "op7_chat_format": op7_chat_format, "op10_toxicity": op10_toxicity, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
 ORACLE_SQL = {"op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}

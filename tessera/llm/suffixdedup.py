@@ -166,41 +166,57 @@ def _refine(width: int, hot):
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column("buckets").fill_null([])
-            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-            out = {"place": [], "first": [], "last": [], "sub": []}
+            values, whose = _flat(batch.column("buckets"))
+            ends = np.searchsorted(whose, np.arange(batch.num_rows + 1))
+            out = {"place": [], "first": [], "last": [], "bucket": [], "sub": []}
             for i, data, bounds in _chunks(batch):
                 n = len(bounds) - 1  # under 2**15, as each row has width bytes
                 row, place, first, last, bucket = sampled(data, bounds, width)
                 shared = (np.repeat(np.arange(n), np.diff(ends[i : i + n + 1])) << 48) | values[ends[i] : ends[i + n]]
                 keep = np.isin(bucket, hot.value) | np.isin((row << 48) | bucket, shared)
-                row, place, first, last = row[keep], place[keep], first[keep], last[keep]
+                row, place, first, last, bucket = row[keep], place[keep], first[keep], last[keep], bucket[keep]
                 sub = word_hashes(data, first, last + width) if len(row) else np.zeros(0, np.uint64)
                 sub = mix(sub ^ ((place - first).astype(np.uint64) << np.uint64(8))).view(np.int64)
                 cut = np.searchsorted(row, np.arange(n + 1))
                 start = bounds[row]
-                for name, v in (("place", place - start), ("first", first - start), ("last", last - start), ("sub", sub)):
+                for name, v in (("place", place - start), ("first", first - start), ("last", last - start), ("bucket", bucket), ("sub", sub)):
                     out[name] += np.split(v, cut[1:-1])
-            cols = [pa.array(out[c], pa.list_(pa.int64())) for c in ("place", "first", "last", "sub")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "place", "first", "last", "sub"])
+            cols = [_lists(np.concatenate([*v, np.zeros(0, np.int64)]), [len(x) for x in v]) for v in out.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", *out])
 
     return run
 
 
+def _lists(values: np.ndarray, lengths):
+    """An Arrow list column of these values in turn."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an Arrow list column and the row of each; null lists are empty."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), lengths)
+
+
 def _settle(width: int):
-    """Windows of suffixes that an earlier document stands for go; the others are left for the last refinement."""
+    """Windows of suffixes that an earlier document stands for go; those that still meet others are left."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for first, last, place, sub, mine in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "place", "sub", "mine")), strict=True):
-                stay = np.isin(np.array(sub, np.int64), np.array(mine or [], np.int64))
-                f, e = np.array(first, np.int64), np.array(last, np.int64)
-                out.append((*merged(f[~stay], e[~stay] + width), np.array(place, np.int64)[stay], f[stay], e[stay]))
-            cols = [pa.array(list(c), pa.list_(pa.int64())) for c in zip(*out, strict=True)] or [pa.array([], pa.list_(pa.int64()))] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", "starts", "ends", "place", "first", "last"])
+            n = batch.num_rows
+            (sub, row), (first, _), (last, _), (place, _) = (_flat(batch.column(c)) for c in ("sub", "first", "last", "place"))
+            own = lambda values, rows: values.view(np.uint64) ^ mix(rows.astype(np.uint64))
+            stands, meets = (np.isin(own(sub, row), own(*_flat(batch.column(c)))) for c in ("mine", "meet"))
+            # rows apart from one another by more than any text
+            starts, ends = merged((row[~stands] << 40) + first[~stands], (row[~stands] << 40) + last[~stands] + width)
+            gone = starts >> 40
+            spans = [_lists(x & ((1 << 40) - 1), np.bincount(gone, minlength=n)) for x in (starts, ends)]
+            left = [_lists(x[meets], np.bincount(row[meets], minlength=n)) for x in (place, first, last)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *spans, *left], ["doc_id", "row", "starts", "ends", "place", "first", "last"])
 
     return run
 
@@ -217,6 +233,12 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], reach[np.append(at[1:], len(starts)) - 1]
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """starts[i], starts[i] + 1, ... lengths[i] numbers for each i, and i."""
+    who = np.repeat(np.arange(len(starts)), lengths)
+    return np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[who], who
+
+
 def _contexts(width: int, hot):
     """(bucket, doc_id, row, start, bytes): all bytes that the windows of a suffix reach; of hot buckets, each window alone."""
 
@@ -225,24 +247,24 @@ def _contexts(width: int, hot):
 
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            out = []
-            for r, (place, first, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "first", "last")), strict=True)):
-                if not place:
-                    continue
-                text = data[offsets[r] : offsets[r + 1]]
-                p = np.array(place)
-                near = text[p[:, None] + np.arange(GRAM)]
-                buckets = _bucket(_gram_hashes(near.ravel())[::GRAM])
-                is_hot, raw = np.isin(buckets, hot.value), text.tobytes()
-                for b, h, q, f, e in zip(buckets.tolist(), is_hot.tolist(), place, first, last, strict=True):
-                    if h:
-                        out += [(b * 64 + q - s, ids[r], keys[r], s, raw[s : s + width]) for s in range(f, e + 1)]
-                    else:
-                        out.append((b * 64, ids[r], keys[r], f, raw[f : e + width]))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "doc_id", "row", "start", "bytes"])
+            ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "row"))
+            (place, row), (first, _), (last, _) = (_flat(batch.column(c)) for c in ("place", "first", "last"))
+            at = offsets[row]
+            bucket = _bucket(_gram_hashes(data[_spread(at + place, np.full(len(row), GRAM))[0]])[::GRAM]) if len(row) else place
+            is_hot = np.isin(bucket, hot.value)
+            # a hot bucket parts by the place of the window, so that it does not meet in one task
+            single, who = _spread(first[is_hot], last[is_hot] - first[is_hot] + 1)
+            who = np.flatnonzero(is_hot)[who]
+            cold = np.flatnonzero(~is_hot)
+            start, who = np.concatenate([first[cold], single]), np.concatenate([cold, who])
+            size = np.concatenate([last[cold] - first[cold] + width, np.full(len(single), width)])
+            part = np.concatenate([bucket[cold] * 64, bucket[who[len(cold) :]] * 64 + place[who[len(cold) :]] - single])
+            step = 100_000
+            for a in range(0, len(who), step):
+                w, f, n = who[a : a + step], start[a : a + step], size[a : a + step]
+                raw = data[_spread(at[w] + f, n)[0]]
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + step]), pa.array(ids[row[w]]), pa.array(keys[row[w]]), pa.array(f), binary], ["bucket", "doc_id", "row", "start", "bytes"])
 
     return run
 
@@ -253,13 +275,11 @@ def _windows(width: int):
     def flush(held):
         import pyarrow as pa
 
-        doc, row, start = (np.array([x[c] for x in held], np.int64) for c in (1, 2, 3))
-        size = np.array([len(x[4]) for x in held])
-        data = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
-        n = size - width + 1
-        who = np.repeat(np.arange(len(held)), n)
-        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = (np.cumsum(size) - size)[who] + shift
+        t = pa.Table.from_batches(held).combine_chunks()
+        doc, row, start = (t[c].to_numpy() for c in ("doc_id", "row", "start"))
+        data, offsets = _binary(t["bytes"].combine_chunks())
+        shift, who = _spread(np.zeros(len(doc), np.int64), np.diff(offsets) - width + 1)
+        at = offsets[who] + shift
         h = word_hashes(data, at, at + width)
         order = np.argsort(h)
         new = np.ones(len(h), bool)
@@ -271,26 +291,44 @@ def _windows(width: int):
         head = np.ones(len(who), bool)
         head[1:] = (who[1:] != who[:-1]) | (s[1:] != s[:-1] + 1)
         a = np.flatnonzero(head)
-        b = np.append(a[1:], len(who)) - 1
-        who, s, e = who[a], s[a], s[b] + width if len(a) else s[b]
+        b = np.append(a[1:], len(who))[: len(a)] - 1
+        who, s, e = who[a], s[a], s[b] + width
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row[who], doc[who], s, e)], ["row", "doc_id", "start", "end"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "row", "start", "bytes")), strict=True):
-                if x[0] != last and size > CHUNK:
+            bucket = batch.column("bucket").to_numpy()
+            # cut only where a bucket ends and enough is held
+            for a, b in _cuts(bucket):
+                if held and bucket[a] != last and size > CHUNK:
                     yield flush(held)
                     held, size = [], 0
-                last = x[0]
-                held.append(x)
-                size += len(x[4])
+                piece = batch.slice(a, b - a)
+                held.append(piece)
+                size += (b - a) * (2 * width)
+                last = bucket[b - 1]
         if held:
             yield flush(held)
 
     return run
 
 
+def _cuts(bucket: np.ndarray, rows: int = 5000):
+    """Ranges of at least so many rows that end where a bucket does, or the batch."""
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)) if len(bucket) else np.zeros(0, int)
+    a = 0
+    for b in ends.tolist():
+        if b - a >= rows or b == len(bucket):
+            yield a, b
+            a = b
+
+
+def _binary(column) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc_id, row, starts, ends): byte spans of each row that are covered by strings of width bytes which also start in
     a document with a smaller doc_id, as unsorted pieces that may overlap; row is xxhash64(doc_id, text)."""
@@ -308,12 +346,15 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     shared = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_shared, "doc_id long, bucket long")
     lists = materialize(shared.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets")))
     keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    fields = "doc_id long, row long, place array<long>, first array<long>, last array<long>, sub array<long>"
+    fields = "doc_id long, row long, place array<long>, first array<long>, last array<long>, bucket array<long>, sub array<long>"
     found = materialize(keyed.join(lists, "doc_id", "left").select("doc_id", "row", "text", "buckets").mapInArrow(_refine(width, hot), fields).filter("size(place) > 0"))
-    stand = found.select("doc_id", F.explode("sub").alias("sub")).groupBy("sub").agg(F.min("doc_id").alias("doc_id"))
-    mine = stand.groupBy("doc_id").agg(F.collect_list("sub").alias("mine"))
+    pairs = found.select("doc_id", F.explode(F.arrays_zip("bucket", "sub")).alias("p")).select("doc_id", "p.bucket", "p.sub")
+    stand = materialize(pairs.groupBy("bucket", "sub").agg(F.min("doc_id").alias("doc_id")))
+    several = stand.groupBy("bucket").count().filter("count > 1").select("bucket", F.lit(True).alias("several"))
+    stand = stand.join(several, "bucket", "left")
+    mine = stand.groupBy("doc_id").agg(F.collect_list("sub").alias("mine"), F.collect_list(F.when(F.col("several"), F.col("sub"))).alias("meet"))
     fields = "doc_id long, row long, starts array<long>, ends array<long>, place array<long>, first array<long>, last array<long>"
-    settled = materialize(found.join(mine, "doc_id", "left").mapInArrow(_settle(width), fields))
+    settled = materialize(found.drop("bucket").join(mine, "doc_id", "left").mapInArrow(_settle(width), fields))
     left = settled.filter("size(place) > 0").select("doc_id", "row", "place", "first", "last").dropDuplicates(["doc_id", "row"])
     contexts = keyed.join(left, ["doc_id", "row"]).select("doc_id", "row", "text", "place", "first", "last").mapInArrow(_contexts(width, hot), "bucket long, doc_id long, row long, start long, bytes binary")
     met = contexts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_windows(width), "row long, doc_id long, start long, end long")
