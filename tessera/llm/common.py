@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -26,17 +25,23 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Makes Spark drop the shuffle files of a finished execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts the lineage and survives lost executors.
 
-    The shuffles behind it are then of no more use; the garbage collection lets Spark's cleaner drop their files.
+    The shuffles behind it are then of no more use, so their files are dropped.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
