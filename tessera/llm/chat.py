@@ -33,6 +33,7 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history_tokens:
 
     A window has the system turn (if the first turn is one), at most history_turns earlier turns of at most
     history_tokens, and new turns, together within budget; a single turn beyond it stands whole in a window of its own.
+    A system turn that leaves less than 64 tokens is kept whole all the same, and new turns get 64.
     The first n_context turns of a window are repeated ones. Turns are ordered by turn, ties by role and text; repeated
     rows are turns of their own; null texts and roles are empty, null conv_ids are one conversation. No rows give none.
     """

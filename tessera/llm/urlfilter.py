@@ -92,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     b, a, v = by_word.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
     classes = rows.agg(F.count_if(F.col("ruled") == "block"), F.count_if(F.col("ruled") == "allow")).first()
     both = bool(classes[0] and classes[1])
-    odds = F.log((F.col("block") + 1) / F.lit((b or 0) + (v or 0) + 1.0)) - F.log((F.col("allow") + 1) / F.lit((a or 0) + (v or 0) + 1.0))
+    odds = F.log((F.col("block") + 1) / F.lit(float(max(1, (b or 0) + (v or 0))))) - F.log((F.col("allow") + 1) / F.lit(float(max(1, (a or 0) + (v or 0)))))
     per_name = cut.select("name", F.explode("words").alias("word")).join(by_word.select("word", odds.alias("odds")), "word").groupBy("name").agg(F.sum("odds").alias("odds"))
     scored = rows.select("row", F.explode("names").alias("name")).join(per_name, "name").groupBy("row").agg(F.sum("odds").alias("odds"))
     prior = math.log(classes[0] / classes[1]) if both else 0.0
