@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import dialogue, feeds, ranking, relational, texts
+from tessera.plans import chunked, dialogue, feeds, ranking, relational, texts
 from tessera.plans.catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "dialogue", "feeds", "ranking", "relational", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunked", "dialogue", "feeds", "ranking", "relational", "texts"]
