@@ -83,20 +83,20 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     # counts of a name by class; each distinct name is cut once
     named = materialize(rows.select(F.explode("names").alias("name"), "ruled").groupBy("name").agg(F.count_if(F.col("ruled") == "block").alias("block"), F.count_if(F.col("ruled") == "allow").alias("allow")))
     spans = named.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")).select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start") + 1))).alias("length"))
-    hits = spans.withColumn("word", F.substring("name", F.col("start"), F.col("length"))).join(words, "word")
+    hits = spans.withColumn("word", F.substring("name", F.col("start"), F.col("length"))).join(words.hint("merge"), "word")
     found = hits.groupBy("name").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "count")).alias("found"))
-    cut = materialize(named.join(found, "name", "left").select("name", "found").mapInArrow(_segments(total), "name string, words array<string>"))
+    cut = materialize(named.join(found.hint("merge"), "name", "left").select("name", "found").mapInArrow(_segments(total), "name string, words array<string>"))
 
-    by_word = cut.join(named, "name").select(F.explode("words").alias("word"), "block", "allow").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+    by_word = cut.join(named.hint("merge"), "name").select(F.explode("words").alias("word"), "block", "allow").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     by_word = materialize(by_word)
     b, a, v = by_word.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
     classes = rows.agg(F.count_if(F.col("ruled") == "block"), F.count_if(F.col("ruled") == "allow")).first()
     both = bool(classes[0] and classes[1])
     odds = F.log((F.col("block") + 1) / F.lit(float(max(1, (b or 0) + (v or 0))))) - F.log((F.col("allow") + 1) / F.lit(float(max(1, (a or 0) + (v or 0)))))
-    per_name = cut.select("name", F.explode("words").alias("word")).join(by_word.select("word", odds.alias("odds")), "word").groupBy("name").agg(F.sum("odds").alias("odds"))
-    scored = rows.select("row", F.explode("names").alias("name")).join(per_name, "name").groupBy("row").agg(F.sum("odds").alias("odds"))
+    per_name = cut.select("name", F.explode("words").alias("word")).join(by_word.select("word", odds.alias("odds")).hint("merge"), "word").groupBy("name").agg(F.sum("odds").alias("odds"))
+    scored = rows.select("row", F.explode("names").alias("name")).join(per_name.hint("merge"), "name").groupBy("row").agg(F.sum("odds").alias("odds"))
     prior = math.log(classes[0] / classes[1]) if both else 0.0
     score = F.coalesce("odds", F.lit(0.0)) + prior if both else F.lit(0.0)
-    out = rows.join(scored, "row", "left").withColumn("score", score)
+    out = rows.join(scored.hint("merge"), "row", "left").withColumn("score", score)
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
