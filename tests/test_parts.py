@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import damage, text, udfs
+from tessera.functions import damage, parse, text, udfs
 from tessera.sources import files
 from tessera.streaming import feeds
 
@@ -79,3 +79,17 @@ def test_functions_on_null_and_empty(spark):
     assert got[2][0] == "b y\nz" and got[0][1] == "" and got[1][2] == 0.0 and got[1][3] == 0
     n = spark.range(1).select(damage.coin_damage(F.lit(12.0), F.lit(1.5), F.lit(1.0), 0, 0), damage.level_bonus(F.lit(50), F.lit(45)), damage.resistance_bonus(F.lit(2.0)), text.char_jaccard(F.lit("abc"), F.lit("bcd")))
     assert tuple(n.first()) == (18.0, 5 / 30, 1.0, 0.5)
+
+
+def test_parse(spark):
+    d = spark.createDataFrame([("十", "1~2", "×1.5 x", "12", "see 8-33-06"), ("十一", "3", "none", "x", "第十二章"), ("二十", "", "", "", "第3章"), ("二十一", None, None, None, None), ("x", "a", "×", " 7 ", "1-2-3-")], "n string, s string, f string, w string, c string")
+    got = d.select(parse.numeral(F.col("n")).alias("n"), parse.speed(F.col("s")).alias("s"), parse.factor(F.col("f")).alias("f"), parse.whole(F.col("w")).alias("w"), parse.chapter(F.col("c")).alias("c")).collect()
+    assert [r.n for r in got] == [10, 11, 20, 21, None]
+    assert [tuple(r.s) for r in got] == [(1, 2), (3, 3), (None, None), (None, None), (None, None)]
+    assert [r.f for r in got] == [1.5, None, None, None, None] and [r.w for r in got] == [12, 0, 0, 0, 7]
+    assert [r.c for r in got] == ["8-33-06", "12", "3", None, "1-2-3"]
+    one = spark.range(1).select(
+        parse.clamped_scores(F.lit("a 3, 44"), 3).alias("k"), parse.bare_role(F.lit("X - Role (old)")).alias("b"), parse.with_defaults(F.create_map(F.lit("x"), F.lit(2.0)), ["x", "y"], 1.0).alias("m"),
+        parse.segments_text(F.array(F.struct(F.lit("text").alias("type"), F.lit("hi ").alias("data")), F.struct(F.lit("at").alias("type"), F.lit("7").alias("data")))).alias("t"),
+    ).first()
+    assert one.k == [3, 10, 5] and one.b == "Role" and one.m == {"x": 2.0, "y": 1.0} and one.t == "hi [at:7]"
