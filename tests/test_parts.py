@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ def arrivals(tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows[4 * k : 4 * k + 4]))
+        os.utime(tmp_path / "in" / f"{k}.json", (1e9 + k, 1e9 + k))  # files are read by age
     return tmp_path
 
 
