@@ -4,10 +4,12 @@ import hashlib
 import math
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, licences, urlfilter
+from tessera.llm import entry
 from tessera.llm.entry import RULES
 
 PAGES = [
@@ -97,6 +99,16 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(rows.limit(0)).count() == 0
 
 
+def test_chat_sql_says_the_same(spark, tmp_path):
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(entry.OP7_SQL)
+    names = [d[0] for d in want.description]
+    got = entry.op7_chat_format(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 @pytest.fixture(scope="module")
 def licensed(spark):
     texts = [(i, f"word{i} of the ring thest\nand so on {i}") for i in range(60)]
