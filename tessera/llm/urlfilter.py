@@ -93,7 +93,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     classes = rows.agg(F.count_if(F.col("ruled") == "block"), F.count_if(F.col("ruled") == "allow")).first()
     both = bool(classes[0] and classes[1])
     odds = F.log((F.col("block") + 1) / F.lit(float(max(1, (b or 0) + (v or 0))))) - F.log((F.col("allow") + 1) / F.lit(float(max(1, (a or 0) + (v or 0)))))
-    per_name = cut.select("name", F.explode("words").alias("word")).join(by_word.select("word", odds.alias("odds")).hint("merge"), "word").groupBy("name").agg(F.sum("odds").alias("odds"))
+    # written, so that the join below has a plain exchange on either side and Spark can split a name of many rows
+    per_name = materialize(cut.select("name", F.explode("words").alias("word")).join(by_word.select("word", odds.alias("odds")).hint("merge"), "word").groupBy("name").agg(F.sum("odds").alias("odds")))
     scored = rows.select("row", F.explode("names").alias("name")).join(per_name.hint("merge"), "name").groupBy("row").agg(F.sum("odds").alias("odds"))
     prior = math.log(classes[0] / classes[1]) if both else 0.0
     score = F.coalesce("odds", F.lit(0.0)) + prior if both else F.lit(0.0)
