@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, LOWER, mix, runs, text_bytes, word_hashes, words
+from tessera.llm.common import ALNUM, LOWER, materialize, mix, runs, text_bytes, word_hashes, words
 
 #: Seeds of the earlier categories: a labelled text with one of a category's words belongs to it. Fixed values.
 SEEDS = {
@@ -91,34 +91,50 @@ def _sample_features(batches):
         yield pa.RecordBatch.from_arrays([*own, pa.array(lists, pa.list_(pa.int64()))], [*(c for c in batch.schema.names if c != "text"), "features"])
 
 
+def _numbered(features):
+    """Lists of feature hashes as lists of the numbers of those that are among the features."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column("features")
+            h, row = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.searchsorted(features.value, h)
+            hit = np.zeros(len(h), bool)
+            inside = at < len(features.value)
+            hit[inside] = features.value[at[inside]] == h[inside]
+            ends = np.append(0, np.cumsum(np.bincount(row[hit], minlength=len(column))))
+            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[hit], pa.int32()))
+            yield pa.RecordBatch.from_arrays([numbers if c == "features" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_features: int = 4096) -> Chain:
-    """Fits the chain on at most most_labelled labelled rows, those with the least hash of their id: the bound of what
-    reaches the driver. Labels without a text or with a null are skipped; without any toxic label nothing is toxic."""
+    """Fits the chain on at most most_labelled labelled rows, those with the least hash of their id. Only the numbers of
+    their selected features, most_features at most for each, reach the driver. Labels without a text or with a null are skipped; without any toxic label nothing is toxic."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropna()
     low = F.lower("text")
     seeded = [F.when(F.col("toxic") == 1, low.rlike(rf"\b({'|'.join(ws)})\b")).otherwise(False).cast("int").alias(k) for k, ws in SEEDS.items()]
     names = [*SEEDS, "toxic"]
-    rows = texts.select("doc_id", *seeded, "toxic", "text").mapInArrow(_sample_features, f"doc_id long, {', '.join(f'{k} int' for k in names)}, features array<long>").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()
+    fields = f"doc_id long, {', '.join(f'{k} int' for k in names)}, features array"
+    sample = materialize(texts.select("doc_id", *seeded, "toxic", "text").mapInArrow(_sample_features, f"{fields}<long>"))
+    n, p = sample.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
+    # signed root of the chi-square statistic of a feature and the last category
+    counted = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("many"), F.sum("toxic").alias("bad"))
+    z = F.abs(F.col("bad") - F.col("many") * p) / F.sqrt(F.col("many") * max(p * (1 - p), 1e-9) + 1e-9)
+    best = counted.orderBy(z.desc(), "feature").limit(most_features).filter("many >= 3").select("feature").toArrow()
+    features = np.sort(best["feature"].to_numpy().view(np.uint64))
+    chosen_features = docs.sparkSession.sparkContext.broadcast(features)
+    rows = sample.mapInArrow(_numbered(chosen_features), f"{fields}<int>").toArrow().sort_by("doc_id").combine_chunks()
     y = np.array([rows[k].to_numpy() for k in names], float).reshape(len(names), -1)
     lists = rows["features"].combine_chunks()
-    n = y.shape[1]
-    row, h = np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().view(np.uint64)
+    row, col = np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
     toxic = y[-1] > 0
-    kinds, at = np.unique(h, return_inverse=True)
-    many, bad = np.bincount(at, minlength=len(kinds)), np.bincount(at, toxic[row], len(kinds))
-    # signed root of the chi-square statistic of a feature and the last category
-    p = toxic.mean() if n else 0
-    z = np.abs(bad - many * p) / np.sqrt(many * max(p * (1 - p), 1e-9) + 1e-9)
-    keep = np.sort(np.lexsort((kinds, -z))[:most_features]) if n else np.zeros(0, np.int64)
-    keep = keep[many[keep] >= 3]
-    number = np.full(len(kinds), -1)
-    number[keep] = np.arange(len(keep))
-    col = number[at]
-    row, col = row[col >= 0], col[col >= 0]
-    d, fold = len(keep), (mix(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)).astype(int)
+    d, fold = len(features), (mix(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)).astype(int)
     weights, earlier = [], np.zeros((n, 0))
     for target in y:
         weights.append(_fit(row, col, earlier, target, d) if n else np.array([*np.zeros(d + len(weights)), -30.0]))
@@ -130,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_fe
             w = _fit(renumber[row[seen]], col[seen], earlier[inside], target[inside], d) if inside.any() else weights[-1]
             held[~inside] = _apply(w, row, col, earlier, d)[~inside]
         earlier = np.column_stack([earlier, held])
-    return Chain(names, kinds[keep], weights, _threshold(earlier[:, -1], toxic))
+    return Chain(names, features, weights, _threshold(earlier[:, -1], toxic))
 
 
 def _threshold(score: np.ndarray, truth: np.ndarray) -> float:
