@@ -83,7 +83,7 @@ def vocabulary() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary(), capacity=2048).drop("ids")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +21,9 @@ from tessera.llm.common import mix
 #: The split of texts into words that the byte-level vocabularies were made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 1
-FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long"
+#: Bytes of ids that a batch of pieces holds before it is handed on.
+BATCH_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -88,9 +89,15 @@ def _pieces(path: str, capacity: int, piece: int, groups: int):
     def run(batches):
         import pyarrow as pa
 
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "group": pa.int64()}
+
+        def made(out):
+            cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
+
         encode, row = encoder(path), 0
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), END).astype("<u4")
                 whole = len(ids) // capacity * capacity
@@ -98,9 +105,13 @@ def _pieces(path: str, capacity: int, piece: int, groups: int):
                 # a running number parts rows that are alike
                 group = int(mix(np.array([((doc or 0) * 0x9E3779B1 + row) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] % np.uint64(groups))
                 row += 1
-                out += [(doc, a, b - a, zlib.crc32(ids[a:b].tobytes()), len(ids), group) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group"])
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    out.append((doc, a, b - a, ids[a:b].tobytes(), len(ids), group))
+                    size += 4 * (b - a)
+                    if size >= BATCH_BYTES:
+                        yield made(out)
+                        out, size = [], 0
+            yield made(out)
 
     return run
 
@@ -109,8 +120,7 @@ def _packed(capacity: int):
     def flush(held):
         import pyarrow as pa
 
-        t = pa.Table.from_batches(held)
-        group, length = int(t["group"][0].as_py()), t["length"].to_numpy()
+        group, length = int(held[0].column("group")[0].as_py()), np.concatenate([b.column("length").to_numpy() for b in held])
         at, small = np.zeros(len(length), np.int64), length < capacity
         bins = 0
         if small.any():
@@ -123,8 +133,11 @@ def _packed(capacity: int):
         offset = np.zeros(len(order), np.int64)
         before = ends - length[order]
         offset[order] = before - before[head][np.cumsum(head) - 1]
-        own = [t[c].combine_chunks() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-        return pa.RecordBatch.from_arrays([*own, pa.array((group << 32) + at), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        own, a = ["doc_id", "start", "length", "ids", "doc_tokens"], 0
+        for batch in held:  # ids are passed on as they came
+            b = a + batch.num_rows
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array((group << 32) + at[a:b]), pa.array(offset[a:b])], [*own, "sequence_id", "offset"])
+            a = b
 
     def run(batches):
         held, last = [], None
@@ -135,23 +148,27 @@ def _packed(capacity: int):
                 if a == b:
                     continue
                 if held and group[a] != last:
-                    yield flush(held)
+                    yield from flush(held)
                     held = []
                 last = group[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, piece: int = 256, group_docs: int = 256) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs.
+    """doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs.
 
+    ids are the piece's token ids as little-endian 32-bit numbers, ids_crc32 is their checksum; the pieces of a sequence
+    in the order of their offsets, which count ids, are the whole sequence.
     A null or empty text is its end id alone. Rows that are alike are packed each for itself; a null doc_id stays null.
     An empty table gives no rows; other columns are ignored. Whole windows stand alone; the rests, in pieces of at most
-    so many ids, are packed in groups of about group_docs documents, so only small rows are shuffled, never texts.
+    so many ids, are packed in groups of about group_docs documents; ids are shuffled once, texts never, and a task holds one
+    group at a time.
     """
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, capacity, piece, groups), f"{FIELDS}, group long")
-    return pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_packed(capacity), f"{FIELDS}, sequence_id long, offset long")
+    packed = pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_packed(capacity), f"{FIELDS}, sequence_id long, offset long")
+    return packed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -235,6 +235,27 @@ def test_packing(docs, empty):
     assert packing.pack(empty, vocabulary()).count() == 0
 
 
+def test_packing_returns_the_ids(docs):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(vocabulary())
+    got = packing.pack(docs, vocabulary(), 512, 64).collect()
+    want = {str(d): [*coder.encode(t or "", add_special_tokens=False).ids, 1] for d, t in TEXTS}
+    docs_ids, sequences = {}, {}
+    for r in sorted(got, key=lambda r: r.start):
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(ids) == r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        docs_ids.setdefault(str(r.doc_id), []).extend(ids)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, ids))
+    assert all(docs_ids[d] == ids for d, ids in want.items() if d not in ("None", "14", "15"))
+    for pieces in sequences.values():
+        whole = []
+        for offset, ids in sorted(pieces):
+            assert offset == len(whole)
+            whole += ids
+        assert len(whole) <= 512
+
+
 def test_differencing():
     sizes = np.random.default_rng(0).integers(1, 257, 900)
     at, bins = packing.into_windows(sizes, 2048)
