@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_read(spark, sf_dir, "documents"))
+    return sharding.shard(_read(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long").alias("doc_id"), *sharding.ADDED)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,27 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+def _marks(batches):
+    """Batches with their rows' fingerprints, as bytes, in the last column instead of its nulls."""
+    import pyarrow as pa
+
+    for batch in batches:
+        marks = [order_minhash(t or "").astype(">u4").tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.binary())], batch.schema.names)
+
+
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """docs with fingerprint: SIZE big-endian 32-bit numbers as bytes, to be compared place by place.
+
+    A null text is empty. Equal texts get equal results; no rows give none. A column named fingerprint is replaced. One
+    narrow pass over whole texts.
+    """
+    from pyspark.sql import types as T
+
+    wide = docs.drop("fingerprint").withColumn("fingerprint", F.lit(None).cast("binary"))
+    return wide.mapInArrow(_marks, T.StructType([*docs.drop("fingerprint").schema, T.StructField("fingerprint", T.BinaryType())]))
+
+
 def _pairs(batches):
     """Rows in order of their bucket, heads of the next bucket last: every other row is compared with the one after it."""
     import pyarrow as pa
@@ -69,14 +90,14 @@ def _pairs(batches):
     last = None
     for batch in batches:
         out = []
-        for bucket, head, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "doc_id", "text")), strict=True):
-            mark = order_minhash(text)
+        for bucket, head, doc, text, mark in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "doc_id", "text", "fingerprint")), strict=True):
+            mark = np.frombuffer(mark, ">u4")
             if last and last[0] == bucket and not last[1]:
                 _, _, was, old, print_ = last
                 half = len(old) // 2
                 edited = old[: len(old) - half] + text[:half]
                 other = order_minhash(edited)
-                out.append((was, len(old), hashlib.sha256(edited.encode()).hexdigest(), print_.astype(">u4").tobytes().hex(), other.astype(">u4").tobytes().hex(), likeness(print_, other), likeness(print_, mark)))
+                out.append((was, len(old), hashlib.sha256(edited.encode()).hexdigest(), print_.tobytes().hex(), other.astype(">u4").tobytes().hex(), likeness(print_, other), likeness(print_, mark)))
             last = (bucket, head, doc, text, mark)
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -91,7 +112,7 @@ def fingerprints(docs: DataFrame, bucket_rows: int = 4000) -> DataFrame:
     a null one come last, and after the last comes the first (so a single row is its own next). A null text is empty;
     two empty texts are alike (1.0), an empty one and another are not. An empty table gives no rows; other columns are
     ignored. Texts are shuffled once, into ranges of doc_id with about bucket_rows rows (MOST_BUCKETS ranges at most,
-    then they grow and are sorted with spill); the first row of each range is also sent to the range before.
+    then they grow and are sorted with spill) with their fingerprints; the first row of each range is also sent to the range before.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"))
@@ -109,6 +130,7 @@ def fingerprints(docs: DataFrame, bucket_rows: int = 4000) -> DataFrame:
     before = {h["place"]: heads[i - 1]["bucket"] for i, h in enumerate(heads)}
     extra = spark.createDataFrame(list(before.items()) or [(0, 0)], "place long, extra int")  # a row for each range
     both = rows.join(F.broadcast(extra), "place", "left").withColumn("to", F.when(F.col("extra").isNull(), F.array(F.struct("bucket", F.lit(0).alias("head")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("head")), F.struct(F.col("extra").alias("bucket"), F.lit(1).alias("head")))))
-    dealt = both.select(F.explode("to").alias("to"), "doc_id", "text", "place").select("to.bucket", "to.head", "doc_id", "text", "place")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "head", F.desc("place"), "text").select("bucket", "head", "doc_id", "text")
+    marked = with_fingerprints(both.select("to", "doc_id", "text", "place"))
+    dealt = marked.select(F.explode("to").alias("to"), "doc_id", "text", "place", "fingerprint").select("to.bucket", "to.head", "doc_id", "text", "place", "fingerprint")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "head", F.desc("place"), "text").select("bucket", "head", "doc_id", "text", "fingerprint")
     return ordered.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -63,22 +63,33 @@ def near_equal(n: int, parts: int) -> list[int]:
     return [n // parts + (k < n % parts) for k in range(parts)]
 
 
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, group_rows: int = 20_000, most_groups: int = 1024) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs.
+    """The rows of docs with all their columns, and size, text_crc32, law, shard, slot, grown_shard.
 
-    A null text counts 8 bytes and has the checksum of no bytes; a null doc_id is an id like another; equal rows are
-    told apart by nothing and take any order among themselves; an empty table gives no rows. Other columns are ignored.
-    Blocks and cells have about group_rows rows until there are most_groups of them, then they grow with the table
-    and Spark sorts them with spill. The matrix never has more than most_groups x (most_groups + n_shards) counts.
+    A null text counts 8 bytes and has the checksum of no bytes; a null doc_id is an id like another; rows of equal
+    doc_id and text are told apart by nothing and take any order among themselves; an empty table gives no rows. Input
+    columns named like an added one are replaced. Whole rows are shuffled into the blocks, written once with their
+    place there, and shuffled into the cells of the shards. Blocks and cells have about group_rows rows until there are
+    most_groups of them, then they grow with the table and Spark sorts them with spill. The matrix never has more than
+    most_groups x (most_groups + n_shards) counts.
     """
+    own = [c for c in docs.columns if c not in ADDED]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    spark, n = docs.sparkSession, rows.count()
+    digests = {"size": lambda t: F.octet_length(t).cast("long") + 8, "text_crc32": lambda t: F.crc32(t.cast("binary"))}
+    spark, n = docs.sparkSession, docs.count()
     blocks = min(most_groups, max(1, math.ceil(n / group_rows)))
-    random_key = lambda k: F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size")
+    key = ("doc_id", "text_crc32", "size")
+    random_key = lambda k: F.xxhash64(F.lit(seed + k), *key)
+    # the row's own columns stand apart, so that no name clashes
+    rows = docs.select(F.struct(*own).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), *(f(text).alias(c) for c, f in digests.items()))
     rows = rows.withColumn("block", F.pmod(random_key(0), F.lit(blocks)).cast("int"))
-    counts = dict(rows.groupBy("block").count().collect())
-    shards = near_equal(n, n_shards)
+    local = materialize(rows.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(random_key(1), *key)) - 1))
+    # of the rows as written: the matrix fits them even if docs comes out otherwise the next time
+    counts = dict(local.groupBy("block").count().collect())
+    shards = near_equal(sum(counts.values()), n_shards)
     cells = min(max(1, most_groups // n_shards), max(1, math.ceil(n / n_shards / group_rows)))
     sizes = [near_equal(x, cells) for x in shards]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], [x for xs in sizes for x in xs], seed)
@@ -97,9 +108,10 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, group_rows: int =
     dealt = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), schema)).alias("p")).select("p.*")
     starts = F.from_json(F.lit(json.dumps([[sum(xs[:c]) for c in range(cells)] for xs in sizes])), "array<array<long>>")
 
-    local = rows.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(random_key(1), "doc_id", "text_crc32", "size")) - 1)
     at = local.join(F.broadcast(dealt), "block").withColumn("shard", F.size(F.filter("last", lambda e: e <= F.col("r"))))
     at = at.withColumn("cell", F.size(F.filter(F.get("ends", F.col("shard")), lambda e: e <= F.col("r"))))
-    order = Window.partitionBy("shard", "cell").orderBy(random_key(2), "doc_id", "text_crc32", "size")
+    order = Window.partitionBy("shard", "cell").orderBy(random_key(2), *key)
     slot = F.row_number().over(order) - 1 + F.get(F.get(starts, F.col("shard")), F.col("cell"))
-    return at.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    dealt_rows = at.select("own", F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    text = F.coalesce(F.col("own")["text"].cast("string"), F.lit(""))
+    return dealt_rows.select(*(F.col("own")[c].alias(c) for c in own), *(f(text).alias(c) for c, f in digests.items()), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

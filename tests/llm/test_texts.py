@@ -46,6 +46,16 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_sharding_keeps_the_rows(docs):
+    rows = docs.withColumns({"slot": F.lit("clash"), "own": F.lit("mine"), "lang": F.concat(F.lit("l"), F.col("doc_id"))})
+    out = sharding.shard(rows, 4, group_rows=3)
+    assert out.columns == [*(c for c in rows.columns if c != "slot"), *sharding.ADDED]
+    own = [c for c in rows.columns if c != "slot"]
+    got = out.collect()
+    assert sorted(map(repr, (tuple(r[c] for c in own) for r in got))) == sorted(map(repr, map(tuple, rows.select(*own).collect())))
+    assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
+
+
 def test_communication_matrix_is_hypergeometric():
     sums = np.zeros((2, 3))
     for seed in range(3000):
@@ -194,6 +204,16 @@ def test_fingerprints(docs, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_a_table(docs, empty):
+    rows = docs.withColumn("fingerprint", F.lit("clash"))
+    out = fingerprint.with_fingerprints(rows)
+    assert out.columns == [*(c for c in rows.columns if c != "fingerprint"), "fingerprint"]
+    got = out.collect()
+    assert len(got) == len(TEXTS) and all(bytes(r.fingerprint) == fingerprint.order_minhash(r.text or "").astype(">u4").tobytes() for r in got)
+    report = {(r.doc_id, r.fingerprint) for r in fingerprint.fingerprints(docs, 3).collect()}
+    assert report == {(r.doc_id, bytes(r.fingerprint).hex()) for r in got} and fingerprint.with_fingerprints(empty.drop("fingerprint")).count() == 0
+
+
 def test_order_minhash_against_plain():
     text = words(3, 60) + " the the the"
     h = [text[i : i + fingerprint.K] for i in range(len(text) - fingerprint.K + 1)]
