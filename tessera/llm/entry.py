@@ -125,7 +125,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = licences.scan(docs, licences.train(docs))
-    return out.select("doc_id", "n_paragraphs", "n_candidates", F.array_join("licences", ",").alias("licences"), "licence", "probability")
+    return out.select("doc_id", "n_paragraphs", "n_candidates", F.array_join("licences", ",").alias("licences"), "licence", "probability", "findings")
 
 
 QUERIES = {"op4_license_scan": op4_license_scan, "op2_url_filter": op2_url_filter, "op7_chat_format": op7_chat_format, "op10_toxicity": op10_toxicity, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}

@@ -136,3 +136,21 @@ def test_licences(licensed):
     names = [*licences.TEMPLATES, None]
     right = sum(found[i] == names[k] for i, (_, k, _) in enumerate(held))
     assert right >= 0.85 * len(held)
+
+
+NOTICES = [
+    ("GPL", "Licensed under GNU GPL v3"), ("GPL", "This file is licensed under GPL-3.0"), ("MIT", "// SPDX-License-Identifier: MIT"), ("GPL", "# SPDX-License-Identifier: GPL-3.0-only"), ("GPL", "License: GPLv3+"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."), ("AGPL", "SPDX-License-Identifier: AGPL-3.0-or-later */"),
+    ("MIT", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("BSD", "Neither the name of Example Corp nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("EPL", "* SPDX-License-Identifier: EPL-2.0"), ("Unlicense", "This is free and unencumbered software, released into the public domain by its authors."), ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the author be held liable for damages arising from its use."),
+]
+
+
+def test_licences_of_notices_that_are_no_templates(licensed):
+    assert not {t for _, t in NOTICES} & {t for ts in licences.TEMPLATES.values() for t in ts}
+    plain = ["The GNU is an animal of the plains.", "She left MIT in spring and took the bus home.", "The mit apache rode over the hills."]
+    rows = licensed.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*(t for _, t in NOTICES), *plain])], "doc_id long, text string")
+    found = {r.doc_id: r for r in licences.scan(rows, licences.train(licensed, most_paragraphs=40)).collect()}
+    wrong = [(family, found[i].licence, [tuple(f) for f in found[i].findings]) for i, (family, _) in enumerate(NOTICES) if found[i].licence != family]
+    assert not wrong and all(not found[len(NOTICES) + k].licences for k in range(len(plain)))
