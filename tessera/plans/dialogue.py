@@ -125,6 +125,21 @@ def cache_jaccard_lookup(read):
     return c.select("conv_id", "turn", micro(T.char_jaccard(F.col("text"), F.col("was"))).alias("similarity"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, list_distinct(string_split(text, '')) AS s FROM conversations),
+ p AS (SELECT q.conv_id, q.turn, k.conv_id AS best_conv_id, k.turn AS best_turn, coalesce(len(list_intersect(q.s, k.s))::DOUBLE / nullif(len(list_distinct(list_concat(q.s, k.s))), 0), 0) AS sim
+  FROM c q, c k WHERE q.conv_id % 50 = 0 AND NOT (k.conv_id = q.conv_id AND k.turn = q.turn))
+SELECT conv_id, turn, best_conv_id, best_turn, floor(sim * 1e6 + 0.5) / 1e6 AS similarity, sim >= 0.92::DOUBLE AS hit FROM p
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY sim DESC, best_conv_id, best_turn) = 1""")
+def cache_jaccard_best(read):
+    """Each message of a session divisible by 50 against all other messages: the best by character sets, of ties the
+    first, a hit from 0.92 on. Pairs meet block by block and leave one row for each query and block."""
+    c = read("conversations").select("conv_id", "turn", "text")
+    k = c.select(F.col("conv_id").alias("k_conv"), F.col("turn").alias("k_turn"), F.col("text").alias("k_text"))
+    pairs = c.filter(F.col("conv_id") % 50 == 0).crossJoin(k).filter(~((F.col("conv_id") == F.col("k_conv")) & (F.col("turn") == F.col("k_turn"))))
+    best = pairs.groupBy("conv_id", "turn").agg(F.max(F.struct(T.char_jaccard(F.col("text"), F.col("k_text")).alias("s"), (-F.col("k_conv")).alias("c"), (-F.col("k_turn")).alias("t"))).alias("m"))
+    return best.select("conv_id", "turn", (-F.col("m.c")).alias("best_conv_id"), (-F.col("m.t")).alias("best_turn"), micro(F.col("m.s")).alias("similarity"), (F.col("m.s") >= 0.92).alias("hit"))
+
+
 @query("SELECT coalesce(role, 'all') AS role, count(*) AS n, count(DISTINCT conv_id) AS n_conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY ROLLUP (role)")
 def corpus_stats(read):
     n = read("conversations").withColumn("chars", F.length("text"))
