@@ -119,6 +119,59 @@ def search_progressive(read):
     return best.select("vec_id", rounds.alias("round"), micro(F.col("score")).alias("score")).filter("round IS NOT NULL")
 
 
+def cosine_each(vectors, k: int):
+    """query_id, vec_id, score and rank of the k best for each query vector, those with vec_id divisible by 50, against all
+    rows. Ranks are limited before they are shuffled, so a query leaves k rows of each task."""
+    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))
+    scored = v.crossJoin(q).select("query_id", "vec_id", F.coalesce(F.try_divide(dot("v", "q"), F.nullif(norm, F.lit(0.0))), F.lit(0.0)).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+
+
+def query_ids(vectors):
+    return vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"))
+
+
+_EACH = """ve AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"""
+_EACH_B = f"{_BM}, {_EACH}, b AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 50), qs AS (SELECT DISTINCT query_id FROM ve)"
+
+
+@query(f"WITH {_EACH} SELECT query_id, vec_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM ve WHERE rank <= 10")
+def search_cosine_topk_each(read):
+    return cosine_each(read("embeddings"), 10).select("query_id", "vec_id", micro(F.col("score")).alias("score"))
+
+
+@query(f"""WITH {_EACH_B}, bn AS (SELECT query_id, doc_id, s FROM qs, (SELECT doc_id, coalesce((score - min(score) OVER ()) / nullif(max(score) OVER () - min(score) OVER (), 0), 0.5) AS s FROM b)),
+ vn AS (SELECT query_id, vec_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.5) AS s FROM ve WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id))
+SELECT coalesce(vn.query_id, bn.query_id) AS query_id, coalesce(vec_id, doc_id) AS id, floor((0.4::DOUBLE * coalesce(vn.s, 0) + 0.6::DOUBLE * coalesce(bn.s, 0)) * 1e6 + 0.5) / 1e6 AS score FROM vn FULL JOIN bn ON vec_id = doc_id AND vn.query_id = bn.query_id""")
+def search_minmax_fused_each(read):
+    b = minmax(top(bm25(read("documents"), QUERY), "doc_id", 50)).select(F.col("doc_id").alias("id"), F.col("norm").alias("b"))
+    own = Window.partitionBy("query_id")
+    lo, hi = F.min("score").over(own), F.max("score").over(own)
+    v = cosine_each(read("embeddings"), 50).select("query_id", F.col("vec_id").alias("id"), F.coalesce(F.try_divide(F.col("score") - lo, hi - lo), F.lit(0.5)).alias("v"))
+    b = query_ids(read("embeddings")).crossJoin(F.broadcast(b))
+    return v.join(b, ["query_id", "id"], "full_outer").select("query_id", "id", micro(0.4 * F.coalesce("v", F.lit(0.0)) + 0.6 * F.coalesce("b", F.lit(0.0))).alias("score"))
+
+
+@query(f"""WITH {_EACH_B}, r AS (SELECT query_id, doc_id AS id, 1.0::DOUBLE / (60 + rank) AS s FROM b, qs UNION ALL SELECT query_id, vec_id, 1.0::DOUBLE / (60 + rank) FROM ve WHERE rank <= 50)
+SELECT query_id, id, floor(sum(s) * 1e6 + 0.5) / 1e6 AS score FROM r GROUP BY query_id, id""")
+def search_rrf_fused_each(read):
+    part = (1.0 / (60 + F.col("rank"))).alias("s")
+    b = top(bm25(read("documents"), QUERY), "doc_id", 50).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id"))).select(F.col("doc_id").alias("id"), part)
+    v = cosine_each(read("embeddings"), 50).select("query_id", F.col("vec_id").alias("id"), part)
+    return query_ids(read("embeddings")).crossJoin(F.broadcast(b)).union(v).groupBy("query_id", "id").agg(micro(F.sum("s")).alias("score"))
+
+
+@query(f"""WITH {_EACH} SELECT query_id, vec_id, CAST(CASE WHEN rank <= 10 AND score >= 0.35::DOUBLE THEN 1 WHEN rank <= 20 AND score >= 0.25::DOUBLE THEN 2 ELSE 3 END AS INTEGER) AS round, floor(score * 1e6 + 0.5) / 1e6 AS score
+FROM ve WHERE (rank <= 10 AND score >= 0.35::DOUBLE) OR (rank <= 20 AND score >= 0.25::DOUBLE) OR (rank <= 40 AND score >= 0.15::DOUBLE)""")
+def search_progressive_each(read):
+    at = lambda k, least: (F.col("rank") <= k) & (F.col("score") >= least)
+    rounds = F.when(at(10, 0.35), 1).when(at(20, 0.25), 2).when(at(40, 0.15), 3)
+    return cosine_each(read("embeddings"), 40).select("query_id", "vec_id", rounds.alias("round"), micro(F.col("score")).alias("score")).filter("round IS NOT NULL")
+
+
 @query("SELECT source, min(doc_id) AS doc_id FROM documents WHERE source LIKE 'src1%' GROUP BY source")
 def search_prefix_exhaustive(read):
     return read("documents").filter(F.col("source").startswith("src1")).groupBy("source").agg(F.min("doc_id").alias("doc_id"))

@@ -8,3 +8,14 @@ def test_cache_finds_messages_of_other_sessions(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): (r.best_conv_id, r.best_turn, r.similarity, r.hit) for r in registry.QUERIES["cache_jaccard_best"](spark, str(tmp_path)).collect()}
     assert got == {(50, 0): (50, 2, 1.0, True), (50, 1): (7, 3, 1.0, True), (50, 2): (50, 0, 1.0, True)}
+
+
+def test_searches_answer_every_query_vector(spark, tmp_path):
+    rows = [(i, [1.0, i / 100.0], i % 3) for i in range(101)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"thon was {i}") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("search_cosine_topk_each", "search_minmax_fused_each", "search_rrf_fused_each", "search_progressive_each"):
+        got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r.query_id for r in got} == {0, 50, 100}, name
+        if name == "search_cosine_topk_each":
+            assert len(got) == 30 and all(any(r.vec_id == q and r.query_id == q and r.score == 1 for r in got) for q in (0, 50, 100))
