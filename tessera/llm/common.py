@@ -14,10 +14,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset and Spark is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -25,6 +28,12 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def _gone_at_the_end(spark: SparkSession, path: str) -> None:
+    """The folder is deleted when the application ends: results that are still to be read may stand on it until then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 #: Makes Spark drop the shuffle files of a finished execution.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -38,6 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
+    _gone_at_the_end(spark, path)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
@@ -47,8 +57,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
 # --- byte-level scans ------------------------------------------------------------------------------------------
 
-_ODD, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Of a number of eight bytes, those that belong to a span of so many.
+_INSIDE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -67,15 +78,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_ODD, _INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column and its n + 1 offsets into them; nulls are empty."""
     import pyarrow as pa
@@ -113,9 +115,27 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offsets[1:], starts, "right")
 
 
+def _eights(data: np.ndarray, at: np.ndarray, size: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    """A mixed number for the bytes of data from each place on (at most eight), keyed by their place in the span."""
+    raw = np.lib.stride_tricks.sliding_window_view(data, 8)[at].reshape(-1).view("<u8")
+    return mix((raw & _INSIDE[np.minimum(size, 8)]) ^ mix((lane.astype(np.uint64) + np.uint64(1)) * _ODD))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from one prefix sum; the same wherever the span stands."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span; the same wherever the span stands.
+
+    Every eight bytes are mixed with their number before they are added up, so that no words collide by their form (as
+    Thue-Morse words do under a polynomial modulo 2**64); spans of at most eight bytes collide only by their length.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = _eights(padded, starts, size, np.zeros(len(starts), np.int64))
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        lanes = (size[more] - 1) // 8
+        who = np.repeat(np.arange(len(more)), lanes)
+        first = np.cumsum(lanes) - lanes
+        lane = np.arange(len(who)) - first[who] + 1
+        word = more[who]
+        out[more] += np.add.reduceat(_eights(padded, starts[word] + 8 * lane, size[word] - 8 * lane, lane), first)
+    return mix(out + size.astype(np.uint64) * _ODD)
