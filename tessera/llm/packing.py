@@ -1,18 +1,21 @@
 """Packing of token sequences by multiway differencing.
 
-Documents are cut into whole windows and small pieces of the rest. Groups of pieces go into as few windows as their
-tokens need: every piece is a partial partition of one filled and many empty windows; the two partitions with the
-largest imbalance merge, the fullest windows of one on the emptiest of the other, until one is left. If a window is
-then over capacity, there is one window more.
+Documents are cut into whole windows and a rest. Groups of rests go into as few windows as their tokens need: every
+rest is a partial partition of one filled and many empty windows; the two partitions with the largest imbalance merge,
+the fullest windows of one on the emptiest of the other, until one is left. If a window is then over capacity, there
+is one window more. Where that leaves more padding than a hundredth of the windows, rests are cut in smaller pieces.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +25,21 @@ from tessera.llm.common import mix
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 1
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long"
+#: Parts of a window that rests are cut down to, one after the other, while windows stay emptier than they should.
+PARTS = (1, 2, 4, 8)
 #: Bytes of ids that a batch of pieces holds before it is handed on.
 BATCH_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids of a byte-level BPE file of the tokenizers library, computed by a faster library with the same ids."""
+    """text -> ids of a byte-level BPE file of the tokenizers library, computed by a faster library with the same ids.
+
+    Where that one gives up (its pattern runs out of stack on hundreds of thousands of white spaces in a row), the
+    tokenizers library itself encodes the text.
+    """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -37,8 +47,15 @@ def encoder(path: str):
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
+    coder, slow = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), Tokenizer.from_file(path)
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return coder.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def differencing(sizes: np.ndarray, bins: int) -> np.ndarray:
@@ -85,7 +102,28 @@ def into_windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
         bins += 1
 
 
-def _pieces(path: str, capacity: int, piece: int, groups: int):
+def cut_sizes(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of at most so many ids of items of these sizes: the item of each and where it starts there."""
+    many = -(-sizes // most)
+    item = np.repeat(np.arange(len(sizes)), many)
+    return item, (np.arange(len(item)) - (np.cumsum(many) - many)[item]) * most
+
+
+def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, start and window of each piece. Items stay whole unless that takes over a hundredth more windows than needed."""
+    need = -(-int(sizes.sum()) // capacity)
+    for parts in PARTS:
+        item, start = cut_sizes(sizes, max(1, capacity // parts))
+        length = np.minimum(sizes[item] - start, max(1, capacity // parts))
+        at, bins = into_windows(length, capacity)
+        if bins <= need + max(1, need // 100):
+            break
+    return item, start, at
+
+
+def _rests(path: str, capacity: int, groups: int):
+    """Whole windows and rests of each document, with a group that their content and its occurrence in the task decide."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -95,16 +133,16 @@ def _pieces(path: str, capacity: int, piece: int, groups: int):
             cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
-        encode, row = encoder(path), 0
+        encode, seen = encoder(path), Counter()
         for batch in batches:
             out, size = [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), END).astype("<u4")
-                whole = len(ids) // capacity * capacity
-                cuts = [*range(0, whole, capacity), *range(whole, len(ids), piece), len(ids)]
-                # a running number parts rows that are alike
-                group = int(mix(np.array([((doc or 0) * 0x9E3779B1 + row) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] % np.uint64(groups))
-                row += 1
+                cuts = [*range(0, len(ids), capacity), len(ids)]
+                # rows that are alike are told apart by their number, whatever order they come in
+                alike = hash((doc, zlib.crc32(ids)))
+                group = int(mix(np.array([(alike + seen[alike] * 0x9E3779B1) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] % np.uint64(groups))
+                seen[alike] += 1
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     out.append((doc, a, b - a, ids[a:b].tobytes(), len(ids), group))
                     size += 4 * (b - a)
@@ -116,59 +154,74 @@ def _pieces(path: str, capacity: int, piece: int, groups: int):
     return run
 
 
-def _packed(capacity: int):
-    def flush(held):
+def _packed(capacity: int, most: int):
+    """Rows in order of their group: whole windows pass, rests are held until the group ends or so many are held."""
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+    def flush(rests, first):
         import pyarrow as pa
 
-        group, length = int(held[0].column("group")[0].as_py()), np.concatenate([b.column("length").to_numpy() for b in held])
-        at, small = np.zeros(len(length), np.int64), length < capacity
-        bins = 0
-        if small.any():
-            at[small], bins = into_windows(length[small], capacity)
-        at[~small] = bins + np.arange((~small).sum())
+        doc, start, ids, tokens = ([x for b in rests for x in b.column(c).to_pylist()] for c in ("doc_id", "start", "ids", "doc_tokens"))
+        sizes = np.concatenate([b.column("length").to_numpy() for b in rests])
+        item, cut, at = fill(sizes, capacity)
+        ends = np.append(cut[1:], 0)
+        ends[np.append(item[1:] != item[:-1], True)] = sizes
         order = np.argsort(at, kind="stable")
-        ends = np.cumsum(length[order])
+        length = (ends - cut)[order]
+        before = np.cumsum(length) - length
         head = np.ones(len(order), bool)
         head[1:] = at[order][1:] != at[order][:-1]
         offset = np.zeros(len(order), np.int64)
-        before = ends - length[order]
         offset[order] = before - before[head][np.cumsum(head) - 1]
-        own, a = ["doc_id", "start", "length", "ids", "doc_tokens"], 0
-        for batch in held:  # ids are passed on as they came
-            b = a + batch.num_rows
-            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array((group << 32) + at[a:b]), pa.array(offset[a:b])], [*own, "sequence_id", "offset"])
-            a = b
+        for a in range(0, len(item), 512):
+            part = [(doc[i], start[i] + s, e - s, ids[i][4 * s : 4 * e], tokens[i], first + w, o) for i, s, e, w, o in zip(*(x[a : a + 512].tolist() for x in (item, cut, ends, at, offset)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*part, strict=True), strict=True)], names)
+        return int(at.max()) + 1
 
     def run(batches):
-        held, last = [], None
+        import pyarrow as pa
+
+        held, rows, last, used = [], 0, None, 0
         for batch in batches:
             group = batch.column("group").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if held and group[a] != last:
-                    yield from flush(held)
-                    held = []
+                if last is not None and (group[a] != last or rows >= most):
+                    if held:
+                        used += yield from flush(held, (int(last) << 32) + used)
+                    held, rows = [], 0
+                    if group[a] != last:
+                        used = 0
                 last = group[a]
-                held.append(batch.slice(a, b - a))
+                part = batch.slice(a, b - a)
+                full = pa.array(part.column("length").to_numpy() == capacity)
+                whole, rest = part.filter(full), part.filter(pc.invert(full))
+                if whole.num_rows:
+                    number = (int(last) << 32) + used + np.arange(whole.num_rows)
+                    used += whole.num_rows
+                    yield pa.RecordBatch.from_arrays([*(whole.column(c) for c in names[:5]), pa.array(number), pa.array(np.zeros(whole.num_rows, np.int64))], names)
+                if rest.num_rows:
+                    held.append(rest)
+                    rows += rest.num_rows
         if held:
-            yield from flush(held)
+            yield from flush(held, (int(last) << 32) + used)
 
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, piece: int = 256, group_docs: int = 256) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, group_docs: int = 512) -> DataFrame:
     """doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset of every piece of docs.
 
     ids are the piece's token ids as little-endian 32-bit numbers, ids_crc32 is their checksum; the pieces of a sequence
     in the order of their offsets, which count ids, are the whole sequence.
     A null or empty text is its end id alone. Rows that are alike are packed each for itself; a null doc_id stays null.
-    An empty table gives no rows; other columns are ignored. Whole windows stand alone; the rests, in pieces of at most
-    so many ids, are packed in groups of about group_docs documents; ids are shuffled once, texts never, and a task holds one
-    group at a time.
+    An empty table gives no rows; other columns are ignored. Whole windows stand alone; rests are packed in groups of
+    about group_docs documents, which the hash of their content gives, and are cut only where windows stay too empty.
+    ids are shuffled once, texts never, and a task holds four times group_docs rests at most.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, capacity, piece, groups), f"{FIELDS}, group long")
-    packed = pieces.repartition("group").sortWithinPartitions("group").mapInArrow(_packed(capacity), f"{FIELDS}, sequence_id long, offset long")
+    rests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rests(path, capacity, groups), f"{FIELDS}, group long")
+    packed = rests.repartition("group").sortWithinPartitions("group").mapInArrow(_packed(capacity, 4 * group_docs), f"{FIELDS}, sequence_id long, offset long")
     return packed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -276,6 +276,34 @@ def test_packing_returns_the_ids(docs):
         assert len(whole) <= 512
 
 
+def test_encoding_of_very_long_runs():
+    from tokenizers import Tokenizer
+
+    encode, coder = packing.encoder(vocabulary()), Tokenizer.from_file(vocabulary())
+    for text in (" " * 2_000_000 + "x", "a" + "\n" * 2_000_000, "ab" * 1_000_000, "x \t" + " " * 400_000 + "<|endoftext|>" + "\u3000" * 400_000):
+        assert encode(text).tolist() == coder.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_rows_that_are_alike(spark):
+    rows = [(7, "one two three " * 30)] * 300 + [(None, None)] * 200 + [(8, "x " * 3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary(), 256, 8).collect()
+    by, sequences = {}, {}
+    for r in got:
+        by.setdefault((r.doc_id, r.start, r.length), []).append(bytes(r.ids))
+        sequences[r.sequence_id] = sequences.get(r.sequence_id, 0) + r.length
+    assert all(len(set(x)) == 1 for x in by.values()) and max(sequences.values()) <= 256
+    assert sum(n * len(x) for (d, _, n), x in by.items() if d == 7) == 300 * next(r.doc_tokens for r in got if r.doc_id == 7)
+    assert sum(n * len(x) for (d, _, n), x in by.items() if d is None) == 200 and sum(n for d, _, n in by if d == 8) == next(r.doc_tokens for r in got if r.doc_id == 8)
+
+
+def test_rests_stay_whole_unless_windows_stay_empty():
+    item, start, at = packing.fill(np.array([60, 40, 50, 50, 30, 70]), 100)
+    assert len(item) == 6 and not start.any() and max(np.bincount(at, [60, 40, 50, 50, 30, 70])) <= 100
+    sizes = np.full(500, 1100)
+    item, start, at = packing.fill(sizes, 2048)
+    assert len(item) > 500 and at.max() + 1 <= 1.02 * -(-sizes.sum() // 2048)
+
+
 def test_differencing():
     sizes = np.random.default_rng(0).integers(1, 257, 900)
     at, bins = packing.into_windows(sizes, 2048)
