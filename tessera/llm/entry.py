@@ -42,15 +42,15 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
- sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM low)),
- n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
- link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b USING (s) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+WITH RECURSIVE low AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sh AS (SELECT DISTINCT r, doc_id, s FROM (SELECT r, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM low)),
+ n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+ link AS (SELECT DISTINCT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b USING (s) JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r WHERE a.doc_id < b.doc_id GROUP BY a.r, b.r, a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*)))),
  both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
  reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
- least_id AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
-SELECT l.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(l.doc_id, coalesce(m, l.doc_id)) AS component_id, l.doc_id = least(l.doc_id, coalesce(m, l.doc_id)) AS kept
-FROM low l LEFT JOIN n USING (doc_id) LEFT JOIN least_id USING (doc_id)
+ least_id AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a),
+ found AS (SELECT l.doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN l.doc_id ELSE least(l.doc_id, coalesce(m, l.doc_id)) END AS c FROM low l LEFT JOIN n USING (r) LEFT JOIN least_id USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, c AS component_id, coalesce(doc_id = c, false) AS kept FROM found
 """
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, fingerprint, neardup, packing, sharding, suffixdedup
+from tessera.llm import entry
 from tessera.llm.entry import vocabulary
 
 WORDS = "the of and ring thest ound blea tion heran wole sket dorn mip falg quen zort".split()
@@ -154,10 +155,69 @@ def test_near_duplicates(docs, empty):
             for b, y in sets:
                 if None not in (a, b) and x and y and 100 * len(x & y) >= 85 * len(x | y):
                     label[a] = label[b] = min(label[a], label[b])
-    assert got == {(str(d), len(s), label.get(d), d is not None and label[d] == d) for d, s in sets}
+    own = lambda d, s: label.get(d) if s else d
+    assert got == {(str(d), len(s), own(d, s), d is not None and own(d, s) == d) for d, s in sets}
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def thue_morse(n, first):
+    bits = [first]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits)
+
+
+def linked_ids(rows, k, percent):
+    """Smallest doc_id that each reaches, by all pairs of rows."""
+    sets = []
+    for d, t in rows:
+        w = ascii_words(t, r"[^\x20\x09-\x0D]+")
+        sets.append((d, {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()))
+    label = {d: d for d, _ in rows}
+    for _ in rows:
+        before = dict(label)
+        for a, x in sets:
+            for b, y in sets:
+                if x and y and 100 * len(x & y) >= percent * len(x | y):
+                    label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            return label
+
+
+def test_near_duplicates_of_repeated_ids_and_long_words(spark, tmp_path):
+    a, b = words(21, 100), words(22, 100)
+    rows = [(1, a), (14, a + " x"), (14, b + " y"), (2, b), (30, thue_morse(2048, 0)), (31, thue_morse(2048, 1)), (32, thue_morse(2048, 0)), (33, None), (14, " "), (40, words(23, 60)), (40, words(24, 60)), (41, words(24, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    want = linked_ids(rows, 3, 85)
+    assert want[2] == 1 and want[31] == 31 and want[32] == 30 and want[41] == 40
+    assert got == {(d, want[d]) for d, _ in rows} | {(14, 14)}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    sql = con.execute(entry.OP9_SQL).fetchall()
+    assert sorted(sql) == sorted(tuple(r) for r in neardup.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    kept = neardup.without_near_duplicates(docs.withColumns({"own": F.lit(1), "hash": F.lit("h")}), 3, 85)
+    assert kept.columns == ["doc_id", "text", "own", "hash"]
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((d, t or "") for d, t in rows if (d, t) not in ((14, a + " x"), (14, b + " y"), (32, thue_morse(2048, 0)), (41, words(24, 60))))
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_duplicates_just_under_the_threshold(spark, monkeypatch, block):
+    """All pairs are close to 0.84: no links, and none of the plan's nodes makes rows by pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(d, " ".join(base + [f"x{d}_{i}" for i in range(38)])) for d in range(60)] + [(100, " ".join(base + [f"x7_{i}" for i in range(38)] + ["tail"])), (101, " ".join(base + [f"y{i}" for i in range(60)]))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == linked_ids(rows, 3, 85) and got[100] == got[7] and got[1] != got[2]
+    sets = [np.unique(np.array([hash(x) & 0xFFFFFFFF for x in t.split()], np.uint64)) for _, t in rows]
+    counts = neardup.common_counts(sets[:5], sets, 64)
+    assert (counts == [[len(np.intersect1d(x, y)) for y in sets] for x in sets[:5]]).all()
+    links = neardup.joining_links([sets[0], sets[0], sets[0], sets[1]], np.arange(4), np.arange(4), np.arange(4), 85)
+    assert len(links) == 2
+
+
 def test_near_duplicates_of_a_loose_group(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(150)]
