@@ -19,12 +19,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the text of the smallest doc_id stays.
 
-    Rows without a doc_id stay.
+    Rows without a doc_id stay; rows that share a doc_id are judged each by its own text.
     """
-    gone = neardup.near_duplicates(docs, k=5, percent=80).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.without_near_duplicates(docs, k=5, percent=80)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
