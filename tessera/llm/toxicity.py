@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after the other. Each model sees the words of the text and the probabilities that the
-models before it give; in training those are out-of-fold, so later models see earlier ones as they err on new texts.
+Categories, the columns of the labels, are predicted one after the other, toxic itself last. Each model sees the words
+of the text and the probabilities that the models before it give; in training those are out-of-fold, so later models see
+earlier ones as they err on new texts. Which words matter is learned from the labels alone.
 """
 
 from __future__ import annotations
@@ -14,13 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ALNUM, LOWER, materialize, mix, runs, text_bytes, word_hashes, words
 
-#: Seeds of the earlier categories: a labelled text with one of a category's words belongs to it. Fixed values.
-SEEDS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum"),
-    "derision": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
-}
 #: Words themselves, and their first so many bytes, are features.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 FOLDS = 5
 
 
@@ -111,26 +107,32 @@ def _numbered(features):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_features: int = 4096) -> Chain:
-    """Fits the chain on at most most_labelled labelled rows, those with the least hash of their id. Only the numbers of
-    their selected features, most_features at most for each, reach the driver. Labels without a text or with a null are skipped; without any toxic label nothing is toxic."""
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_features: int = 4096, target: str = "toxic") -> Chain:
+    """Fits the chain on at most most_labelled labelled rows, those with the least hash of their id.
+
+    Its categories are the columns of labels besides doc_id, in their order, and target last: 0 or 1 each (a null in
+    another category than target counts as 0, of several rows of a doc_id the largest counts). Only the numbers of the
+    selected features, most_features at most, reach the driver; a feature is in three texts at least. Labels without a
+    text or with a null target are skipped; without any toxic label nothing is toxic.
+    """
+    names = [*(c for c in labels.columns if c not in ("doc_id", target)), target]
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(f"l{i}") for i, c in enumerate(names)))
+    chosen = chosen.dropna(subset=["doc_id", f"l{len(names) - 1}"]).groupBy("doc_id").agg(*(F.max(F.coalesce(f"l{i}", F.lit(0))).alias(f"l{i}") for i in range(len(names))))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropna()
-    low = F.lower("text")
-    seeded = [F.when(F.col("toxic") == 1, low.rlike(rf"\b({'|'.join(ws)})\b")).otherwise(False).cast("int").alias(k) for k, ws in SEEDS.items()]
-    names = [*SEEDS, "toxic"]
-    fields = f"doc_id long, {', '.join(f'{k} int' for k in names)}, features array"
-    sample = materialize(texts.select("doc_id", *seeded, "toxic", "text").mapInArrow(_sample_features, f"{fields}<long>"))
-    n, p = sample.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
+    columns = [f"l{i}" for i in range(len(names))]
+    last = columns[-1]
+    fields = f"doc_id long, {', '.join(f'{k} int' for k in columns)}, features array"
+    sample = materialize(texts.select("doc_id", *columns, "text").mapInArrow(_sample_features, f"{fields}<long>"))
+    n, p = sample.agg(F.count("*"), F.coalesce(F.avg(last), F.lit(0.0))).first()
     # signed root of the chi-square statistic of a feature and the last category
-    counted = sample.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("many"), F.sum("toxic").alias("bad"))
+    counted = sample.select(last, F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("many"), F.sum(last).alias("bad")).filter("many >= 3")
     z = F.abs(F.col("bad") - F.col("many") * p) / F.sqrt(F.col("many") * max(p * (1 - p), 1e-9) + 1e-9)
-    best = counted.orderBy(z.desc(), "feature").limit(most_features).filter("many >= 3").select("feature").toArrow()
+    best = counted.orderBy(z.desc(), "feature").limit(most_features).select("feature").toArrow()
     features = np.sort(best["feature"].to_numpy().view(np.uint64))
     chosen_features = docs.sparkSession.sparkContext.broadcast(features)
     rows = sample.mapInArrow(_numbered(chosen_features), f"{fields}<int>").toArrow().sort_by("doc_id").combine_chunks()
-    y = np.array([rows[k].to_numpy() for k in names], float).reshape(len(names), -1)
+    y = np.array([rows[k].to_numpy() for k in columns], float).reshape(len(names), -1)
     lists = rows["features"].combine_chunks()
     row, col = np.repeat(np.arange(n), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
     toxic = y[-1] > 0
@@ -199,7 +201,10 @@ def judge(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the chain, trained on labels of its rows, does not reject, with their own columns."""
+    """The rows of docs that the chain, trained on labels of its rows, does not reject, with their own columns.
+
+    Null, empty and wordless texts stay, repeated rows fare alike; no rows give no rows.
+    """
     chain = train(docs, labels)
     clash = {c: f"_own_{c}" for c in docs.columns if c == "toxic" or c in {f"p_{k}" for k in chain.names}}
     kept = judge(docs.withColumnsRenamed(clash), chain).filter(~F.col("toxic"))

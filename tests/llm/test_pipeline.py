@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm import toxicity
 from tests.llm.test_texts import words
 
-BAD = ["idiot", "moron", "trash", "pathetic", "scum", "stupid"]
+#: Made-up words, so that nothing but the labels says what they mean.
+BAD = ["zurgle", "blatch", "vorpik", "snarble", "quimbo", "drofted"]
 
 
 def corpus(n, seed):
@@ -46,10 +47,26 @@ def test_toxicity_held_out(spark, made):
     kept = toxicity.without_toxic(docs, spark.read.parquet(f"{d}/labels.parquet"))
     assert kept.columns == docs.columns and kept.filter("p_toxic = 'clash'").count() == sum(not x for x in got.values()) + (got[None] is True) * 0
     assert not toxicity.judge(docs.limit(0), chain).count()
+    assert chain.names == ["quality", "toxic"]
     none = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet").limit(0))
     assert not toxicity.judge(docs, none).filter("toxic").count()
 
 
+def test_toxicity_recall_on_rows_it_was_not_trained_on(spark):
+    """Trained on the even doc_ids of the labels, judged on the odd ones."""
+    import os
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("the tables are not there")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
+    odd = docs.join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "truth"), "doc_id").select("doc_id", "truth", "text")
+    n = {(r.truth, r.toxic): r["count"] for r in toxicity.judge(odd, chain).groupBy("truth", "toxic").count().collect()}
+    print(n)
+    assert n[1, True] >= 0.9 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.015 * n[0, False]
+
+
 def test_stages(spark, made):
     d, rows, extra = made
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -61,10 +78,10 @@ def test_stages(spark, made):
     assert ids["near_dedup"].keys() <= ids["toxicity"].keys() and None in ids["near_dedup"]
     toxic = {i for i, _, x in rows if x}
     assert len(toxic & ids["toxicity"].keys()) <= 3 and len(ids["toxicity"]) >= 300 - len(toxic)
-    assert not {1000, 1001} & ids["near_dedup"].keys() or {1, 2} & toxic
+    assert not toxic & {1, 2, 4}  # the texts that the planted rows repeat are clean
+    assert {1000, 1001} <= ids["toxicity"].keys() and not {1000, 1001} & ids["near_dedup"].keys() and {1, 2} <= ids["near_dedup"].keys()
     assert 1002 not in ids["decontamination"] and 1004 in ids["decontamination"]
-    if 4 not in toxic:
-        assert ids["suffix_dedup"][1003].text.strip() in (words(88, 60), *(words(88, 60) + " " + rows[4][1][:k] for k in range(1, 3)))
+    assert ids["suffix_dedup"][1003].text.strip() in (words(88, 60), *(words(88, 60) + " " + rows[4][1][:k] for k in range(1, 3)))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in ids["suffix_dedup"].values())
     out = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in out.collect()} == ids["decontamination"].keys()
