@@ -24,11 +24,15 @@ def corpus(n, seed):
     return rows
 
 
+#: Rows without a toxic word, whose texts are planted again.
+CLEAN = [i for i, _, x in corpus(300, 3) if not x][:3]
+
+
 @pytest.fixture(scope="module")
 def made(spark, tmp_path_factory):
     rows = corpus(300, 3)
-    bench = words(77, 25)
-    extra = [(1000, rows[1][1], 0), (1001, rows[2][1] + " tail", 0), (1002, "lead in " + bench, 0), (1003, words(88, 60) + " " + rows[4][1], 0), (1004, None, 0), (None, words(89, 50), 0)]
+    bench, (a, b, c) = words(77, 25), CLEAN
+    extra = [(1000, rows[a][1], 0), (1001, rows[b][1] + " tail", 0), (1002, "lead in " + bench, 0), (1003, words(88, 60) + " " + rows[c][1], 0), (1004, None, 0), (None, words(89, 50), 0)]
     d = tmp_path_factory.mktemp("sf")
     docs = spark.createDataFrame([(i, t, "en", f"s{i}", len(t or "")) for i, t, _ in rows + extra], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{d}/documents.parquet")
@@ -78,10 +82,9 @@ def test_stages(spark, made):
     assert ids["near_dedup"].keys() <= ids["toxicity"].keys() and None in ids["near_dedup"]
     toxic = {i for i, _, x in rows if x}
     assert len(toxic & ids["toxicity"].keys()) <= 3 and len(ids["toxicity"]) >= 300 - len(toxic)
-    assert not toxic & {1, 2, 4}  # the texts that the planted rows repeat are clean
-    assert {1000, 1001} <= ids["toxicity"].keys() and not {1000, 1001} & ids["near_dedup"].keys() and {1, 2} <= ids["near_dedup"].keys()
+    assert {1000, 1001} <= ids["toxicity"].keys() and not {1000, 1001} & ids["near_dedup"].keys() and {*CLEAN} <= ids["near_dedup"].keys()
     assert 1002 not in ids["decontamination"] and 1004 in ids["decontamination"]
-    assert ids["suffix_dedup"][1003].text.strip() in (words(88, 60), *(words(88, 60) + " " + rows[4][1][:k] for k in range(1, 3)))
+    assert ids["suffix_dedup"][1003].text.strip() in (words(88, 60), *(words(88, 60) + " " + rows[CLEAN[2]][1][:k] for k in range(1, 3)))
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in ids["suffix_dedup"].values())
     out = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in out.collect()} == ids["decontamination"].keys()
