@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame
@@ -10,32 +11,81 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Longest word, in code points, that the search looks for.
-LONGEST = 20
-
-
-def segment(name: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
-    """The most probable words of name. known: counts by (start, length); a word without one costs more by its length."""
-    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-    for end in range(1, len(name) + 1):
-        for n in range(1, min(LONGEST, end) + 1):
-            count = known.get((end - n, n))
-            p = math.log(count / total) if count else 1 - math.log(total) - n * math.log(10)
-            if best[end - n] + p > best[end]:
-                best[end], back[end] = best[end - n] + p, n
-    out, end = [], len(name)
+#: Words meet names by so many code points; what a longer word has beyond them is compared in the search itself.
+KEY = 32
+
+
+def segment(name: str, known: dict[int, list[tuple[int, float]]], total: float) -> list[str]:
+    """The most probable words of name. known: (length, count) of the words by their start.
+
+    A stretch that is no word costs more by its length, whatever that is; its cost is linear, so the best start of such
+    a stretch is carried along and the search takes one step a letter besides its words.
+    """
+    n, letter = len(name), math.log(10)
+    best, back = [-math.inf] * (n + 1), [0] * (n + 1)
+    best[0], carried, since = 0.0, -math.inf, 0
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for at in range(n + 1):
+        for start, count in ends.pop(at, ()):
+            p = best[start] + math.log(count / total)
+            if p > best[at]:
+                best[at], back[at] = p, start
+        if at:
+            p = carried + 1 - math.log(total) - at * letter
+            if p > best[at]:
+                best[at], back[at] = p, since
+        if best[at] + at * letter > carried:
+            carried, since = best[at] + at * letter, at
+        for length, count in known.get(at, ()):
+            ends.setdefault(at + length, []).append((at, count))
+    out, end = [], n
     while end:
-        out.append(name[end - back[end] : end])
-        end -= back[end]
+        out.append(name[back[end] : end])
+        end = back[end]
     return out[::-1]
 
 
+def _keys(lengths):
+    """(name, start, key) for the pieces of each name, from each letter, that have the length of some word's key."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                for a in range(0, len(name), 4096):
+                    found = [(i, name[i : i + k]) for i in range(a, min(a + 4096, len(name))) for k in lengths.value if i + k <= len(name)]
+                    if found:
+                        start, key = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([hash_name(name)] * len(start), pa.int64()), pa.array(start, pa.int64()), pa.array(key, pa.string())], ["name_hash", "start", "key"])
+
+    return run
+
+
+def hash_name(name: str) -> int:
+    """64 bits of a digest, by which the pieces of a name, which may be long, find it again."""
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _with_hash(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hash_name(x) for x in batch.column("name").to_pylist()], pa.int64())], [*batch.schema.names, "name_hash"])
+
+
 def _segments(total: float):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cut = [segment(name, {(x["start"], x["length"]): x["count"] for x in found or []}, total) for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            cut = []
+            for name, found in zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                known: dict[int, list[tuple[int, float]]] = {}
+                for x in found or []:
+                    if len(x["word"]) <= KEY or name.startswith(x["word"], x["start"]):
+                        known.setdefault(x["start"], []).append((len(x["word"]), x["count"]))
+                cut.append(segment(name, {k: sorted(v) for k, v in known.items()}, total))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(cut, pa.list_(pa.string()))], ["name", "words"])
 
     return run
@@ -49,7 +99,7 @@ def parse(url):
 
 
 def longest_rule(host, path, rules: list[tuple[str, str]]):
-    """The struct (rule, verdict) of the longest rule (host, then path from its first slash) that fits; of equals, the first."""
+    """The struct (rule, verdict) of the longest rule (host, then path from its first slash) that fits; of two as long, the last of rules."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule, verdict in sorted(rules, key=lambda x: len(x[0])):
         h, slash, p = rule.partition("/")
@@ -61,7 +111,7 @@ def longest_rule(host, path, rules: list[tuple[str, str]]):
 def corpus_words(pages: DataFrame) -> DataFrame:
     """(word, count) over the text of all pages; tags are no words."""
     text = F.lower(F.regexp_replace("html", r"<[^>]*>", " "))
-    return pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).filter(F.length("word") <= LONGEST).groupBy("word").count()
+    return pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").count()
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -69,11 +119,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
     Rules decide where one fits. They also label the training rows: naive Bayes (add-one smoothing) learns the words of
     all pages that a rule decides, and blocks another page if its log odds (score) are above 0. Words are counted over
-    the whole html of all pages. A null url, or one without ://, has an empty host and path, no words and the log odds
+    the whole html of all pages; words and names may have any length. A null url, or one without ://, has an empty host and path, no words and the log odds
     of the classes; without pages of both classes every other page is allowed. A null html has no words. Equal rows get
     equal results; an empty table gives no rows; further columns are ignored. rules is a short list in the plan.
     """
-    host, path = parse(F.col("url"))
+    spark, (host, path) = pages.sparkSession, parse(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     names = F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"\p{L}+"), F.lit(0))
     rows = materialize(rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), names.alias("names"), F.monotonically_increasing_id().alias("row")))
@@ -82,10 +132,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
     # counts of a name by class; each distinct name is cut once
     named = materialize(rows.select(F.explode("names").alias("name"), "ruled").groupBy("name").agg(F.count_if(F.col("ruled") == "block").alias("block"), F.count_if(F.col("ruled") == "allow").alias("allow")))
-    spans = named.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")).select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start") + 1))).alias("length"))
-    hits = spans.withColumn("word", F.substring("name", F.col("start"), F.col("length"))).join(words.hint("merge"), "word")
-    found = hits.groupBy("name").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "count")).alias("found"))
-    cut = materialize(named.join(found.hint("merge"), "name", "left").select("name", "found").mapInArrow(_segments(total), "name string, words array<string>"))
+    # how long keys of words are: KEY different numbers at most
+    lengths = spark.sparkContext.broadcast(sorted(r[0] for r in words.select(F.least(F.length("word"), F.lit(KEY))).distinct().collect()))
+    pieces = named.select("name").mapInArrow(_keys(lengths), "name_hash long, start long, key string")
+    hits = pieces.join(words.withColumn("key", F.substring("word", 1, KEY)).hint("merge"), "key")
+    found = hits.groupBy("name_hash").agg(F.collect_list(F.struct("start", "word", "count")).alias("found"))
+    marked = named.select("name").mapInArrow(_with_hash, "name string, name_hash long")
+    cut = materialize(marked.join(found.hint("merge"), "name_hash", "left").select("name", "found").mapInArrow(_segments(total), "name string, words array<string>"))
 
     by_word = cut.join(named.hint("merge"), "name").select(F.explode("words").alias("word"), "block", "allow").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     by_word = materialize(by_word)

@@ -12,10 +12,13 @@ from tessera.llm import chat, licences, urlfilter
 from tessera.llm import entry
 from tessera.llm.entry import RULES
 
+#: Longer than any key by which words meet names.
+LONG_WORD = "donaudampfschifffahrtsgesellschaftskapitänsmützenverleih"
 PAGES = [
     (1, "https://news.Example.COM/en/1", "<p>good news red widget shop</p>"), (2, "http://a.example.net/de/7?x=/y", "<p>blue widget</p>"), (3, "https://redwidget.example.org/fr/3#t", "red red widget widget good"), (4, None, None),
     (5, "no scheme", ""), (6, "x://HOST?q", "<b>shop</b>"), (7, "https://example.com/en/77", ""), (8, "https://example.net/de/88/a", "bad"), (9, "https://notcom/en/1", ""), (10, "https://badshop.example.org/es/1", "bad shop"),
     (11, "https://badshop.example.edu/it/1", "bad shop"), (12, "https://goodnews.example.edu/it/2", ""), (12, "https://goodnews.example.edu/it/2", ""), (13, "a://b://c/d", ""), (14, "https://" + "z" * 300 + ".com/" + "q" * 500, ""),
+    (15, "https://the" + LONG_WORD + "shop.example.edu/x", LONG_WORD + " " + LONG_WORD[:-1] + "e shop"), (16, "https://" + LONG_WORD[:-1] + "yshop.example.edu/x", "shop the"),
 ]
 
 
@@ -34,14 +37,13 @@ def test_url_filter(spark):
     counts, want = {}, {}
     for _, _, html in PAGES:
         for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", html or "").lower()):
-            if len(w) <= urlfilter.LONGEST:
-                counts[w] = counts.get(w, 0) + 1
+            counts[w] = counts.get(w, 0) + 1
     total, cls = sum(counts.values()), {"block": {}, "allow": {}}
 
     def cut(name):
         best = {0: (0.0, [])}
         for e in range(1, len(name) + 1):
-            best[e] = max(((best[s][0] + (math.log(counts[name[s:e]] / total) if name[s:e] in counts else 1 - math.log(total) - (e - s) * math.log(10)), [*best[s][1], name[s:e]]) for s in range(max(0, e - 20), e)), key=lambda x: x[0])
+            best[e] = max(((best[s][0] + (math.log(counts[name[s:e]] / total) if name[s:e] in counts else 1 - math.log(total) - (e - s) * math.log(10)), [*best[s][1], name[s:e]]) for s in range(e)), key=lambda x: x[0])
         return best[len(name)][1]
 
     parsed = []
@@ -66,8 +68,28 @@ def test_url_filter(spark):
     assert alone.verdict == "allow" and alone.rule is None
 
 
+def test_long_names_take_linear_time(spark):
+    import time
+
+    letters = ("redwidgetshopgoodqzx" * 2600)[:50_000]
+    pages = spark.createDataFrame([(1, f"https://{letters}.example.edu/", "red widget shop good"), (2, "https://com/en/1", ""), (3, "https://net/de/1", "")], "page_id long, url string, html string")
+    start = time.time()
+    out = {r.page_id: r for r in urlfilter.filter_urls(pages, RULES).collect()}
+    assert out[1].verdict in ("allow", "block") and time.time() - start < 30
+    start = time.time()
+    known = {i: [(3, 5.0)] for i in range(0, 1_000_000, 7)}
+    assert len("".join(urlfilter.segment("x" * 1_000_000, known, 100.0))) == 1_000_000 and time.time() - start < 10
+
+
+def test_of_rules_of_one_length_the_last_holds(spark):
+    host, path = urlfilter.parse(F.col("url"))
+    rules = [("a.com/x", "allow"), ("b.a.com", "block"), ("a.com/x", "block")]
+    got = spark.createDataFrame([("http://b.a.com/x",)], "url string").select(urlfilter.longest_rule(host, path, rules).alias("r")).first().r
+    assert (got.rule, got.verdict) == ("a.com/x", "block")
+
+
 def test_segment():
-    known = {(0, 3): 50.0, (3, 6): 40.0, (0, 4): 1.0}
+    known = {0: [(3, 50.0), (4, 1.0)], 3: [(6, 40.0)]}
     assert urlfilter.segment("redwidget", known, 100.0) == ["red", "widget"]
     assert urlfilter.segment("", {}, 1.0) == []
 
