@@ -10,16 +10,15 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix
+from tessera.llm.common import materialize, mix
 
 K, LEAST, SIZE = 6, 2, 64
 _RNG = mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _FACTORS, _SHIFTS = (_RNG[:SIZE].astype(np.uint32) | np.uint32(1))[:, None], _RNG[SIZE:].astype(np.uint32)[:, None]
 _CELLS = 1 << 19
-MOST_BUCKETS = 4096
 
 
 def order_minhash(text: str) -> np.ndarray:
@@ -83,54 +82,78 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return wide.mapInArrow(_marks, T.StructType([*docs.drop("fingerprint").schema, T.StructField("fingerprint", T.BinaryType())]))
 
 
-def _pairs(batches):
-    """Rows in order of their bucket, heads of the next bucket last: every other row is compared with the one after it."""
+REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_NAMES = [f.split()[0] for f in REPORT.split(", ")]
+
+
+def _compared(doc, old: str, mark: bytes, following: str, next_mark: bytes) -> tuple:
+    """A row of the report: old, the text that the first half of the following one edits, and both likenesses."""
+    half = len(old) // 2
+    edited = old[: len(old) - half] + following[:half]
+    other, own = order_minhash(edited), np.frombuffer(mark, ">u4")
+    return doc, len(old), hashlib.sha256(edited.encode()).hexdigest(), mark, other.astype(">u4").tobytes(), likeness(own, other), likeness(own, np.frombuffer(next_mark, ">u4"))
+
+
+def _table(rows: list[tuple]):
+    import pyarrow as pa
+
+    types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], _NAMES)
+
+
+def _in_order(batches):
+    """Rows of one partition in their order: a report row for each but the last, and the first and the last themselves.
+
+    edge is 0 in rows of the report, 1 in the first row of the partition, 2 in the last.
+    """
     import pyarrow as pa
 
+    def edge(kind, part, doc, text, mark):
+        report = _table([(doc, None, None, mark, None, None, None)])
+        return pa.RecordBatch.from_arrays([*report.columns, pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string())], [*_NAMES, "edge", "part", "text"])
+
     last = None
     for batch in batches:
         out = []
-        for bucket, head, doc, text, mark in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "doc_id", "text", "fingerprint")), strict=True):
-            mark = np.frombuffer(mark, ">u4")
-            if last and last[0] == bucket and not last[1]:
-                _, _, was, old, print_ = last
-                half = len(old) // 2
-                edited = old[: len(old) - half] + text[:half]
-                other = order_minhash(edited)
-                out.append((was, len(old), hashlib.sha256(edited.encode()).hexdigest(), print_.tobytes().hex(), other.astype(">u4").tobytes().hex(), likeness(print_, other), likeness(print_, mark)))
-            last = (bucket, head, doc, text, mark)
-        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-
-
-def fingerprints(docs: DataFrame, bucket_rows: int = 4000) -> DataFrame:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "fingerprint")), strict=True):
+            if last is None:
+                yield edge(1, *row)
+            else:
+                out.append(_compared(*last[1:], *row[2:]))
+            last = row
+        report = _table(out)
+        yield pa.RecordBatch.from_arrays([*report.columns, pa.array([0] * len(out), pa.int32()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.string())], [*_NAMES, "edge", "part", "text"])
+    if last is not None:
+        yield edge(2, *last)
+
+
+def _across(batches):
+    """The report rows of the last rows of partitions, each beside the first row of the next partition."""
+    for batch in batches:
+        yield _table([_compared(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "next_text", "next_mark")), strict=True)])
+
+
+def fingerprints(docs: DataFrame, part_rows: int = 4000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
-    The next document has the next smaller doc_id; rows with the same one follow in the order of their texts, rows with
-    a null one come last, and after the last comes the first (so a single row is its own next). A null text is empty;
-    two empty texts are alike (1.0), an empty one and another are not. An empty table gives no rows; other columns are
-    ignored. Texts are shuffled once, into ranges of doc_id with about bucket_rows rows (MOST_BUCKETS ranges at most,
-    then they grow and are sorted with spill) with their fingerprints; the first row of each range is also sent to the range before.
+    The next document has the next smaller doc_id; rows with the same one follow in the order of a hash of their texts,
+    rows with a null one come last, and after the last comes the first (so a single row is its own next). A null text is
+    empty; two empty texts are alike (1.0), an empty one and another are not. An empty table gives no rows; other
+    columns are ignored. Texts are shuffled once, into as many ranges as the table has part_rows rows; rows of the same
+    doc_id and text part as others do. Of each range the first and the last row are written beside the report, and the
+    last meets the first of the next range in a join of numbers.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("place"))
-    n = rows.count()
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(n / bucket_rows)))
-    cuts = [(i + 1) / buckets for i in range(buckets - 1)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("place", cuts, 20 * buckets)).first()[0] or []), reverse=True) if cuts else []
-    bucket = F.lit(0)
-    if bounds:
-        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-        table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-        bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) > F.col("place"), at + step).otherwise(at))
-    rows = rows.withColumn("bucket", bucket)
-    heads = sorted(rows.groupBy("bucket").agg(F.max("place").alias("place")).collect())
-    before = {h["place"]: heads[i - 1]["bucket"] for i, h in enumerate(heads)}
-    extra = spark.createDataFrame(list(before.items()) or [(0, 0)], "place long, extra int")  # a row for each range
-    both = rows.join(F.broadcast(extra), "place", "left").withColumn("to", F.when(F.col("extra").isNull(), F.array(F.struct("bucket", F.lit(0).alias("head")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("head")), F.struct(F.col("extra").alias("bucket"), F.lit(1).alias("head")))))
-    marked = with_fingerprints(both.select("to", "doc_id", "text", "place"))
-    dealt = marked.select(F.explode("to").alias("to"), "doc_id", "text", "place", "fingerprint").select("to.bucket", "to.head", "doc_id", "text", "place", "fingerprint")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "head", F.desc("place"), "text").select("bucket", "head", "doc_id", "text", "fingerprint")
-    return ordered.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    parts = max(1, math.ceil(docs.count() / part_rows))
+    order = [F.desc_nulls_last("doc_id"), F.col("h"), F.col("number")]
+    keyed = rows.withColumns({"h": F.xxhash64("text"), "number": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    marked = with_fingerprints(keyed.select(F.spark_partition_id().alias("part"), "doc_id", "text"))
+    found = materialize(marked.mapInArrow(_in_order, f"{REPORT}, edge int, part int, text string"))
+    # numbers of the ranges that have rows, without gaps; after the last comes the first
+    filled = found.filter("edge = 1").select("part")
+    following = filled.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"), F.min("part").over(Window.partitionBy()).alias("least")).select("part", F.coalesce("next", "least").alias("next"))
+    firsts = found.filter("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_mark"))
+    lasts = found.filter("edge = 2").select("part", "doc_id", "text", "fingerprint")
+    met = lasts.join(following, "part").join(firsts, "next").select("doc_id", "text", "fingerprint", "next_text", "next_mark").mapInArrow(_across, REPORT)
+    out = found.filter("edge = 0").select(*_NAMES).union(met)
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
