@@ -1,13 +1,12 @@
 """Uniform shuffle into shards of exact sizes through a hypergeometric communication matrix.
 
-Rows are dealt into source blocks, the matrix of counts block -> shard is drawn without replacement (so its row and
-column sums are exact), every block permutes its rows and deals them out by its row of the matrix, and every shard
-permutes what it got. Large shards are made of cells of exact sizes, so that no task holds a whole shard.
+Every partition of the input permutes its rows. The matrix of counts partition -> shard is drawn without replacement (so
+its row and column sums are exact), every partition deals its rows out by its row of the matrix, and every shard permutes
+what it got: by a random key of each row, whose upper part names a cell, so that no task holds a whole shard.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import random
 
@@ -66,52 +65,36 @@ def near_equal(n: int, parts: int) -> list[int]:
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, group_rows: int = 20_000, most_groups: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20, cell_rows: int = 20_000, most_blocks: int = 65_536) -> DataFrame:
     """The rows of docs with all their columns, and size, text_crc32, law, shard, slot, grown_shard.
 
     A null text counts 8 bytes and has the checksum of no bytes; a null doc_id is an id like another; rows of equal
-    doc_id and text are told apart by nothing and take any order among themselves; an empty table gives no rows. Input
-    columns named like an added one are replaced. Whole rows are shuffled into the blocks, written once with their
-    place there, and shuffled into the cells of the shards. Blocks and cells have about group_rows rows until there are
-    most_groups of them, then they grow with the table and Spark sorts them with spill. The matrix never has more than
-    most_groups x (most_groups + n_shards) counts.
+    doc_id and text go their own ways and take any order among themselves; an empty table gives no rows. Input columns
+    named like an added one are replaced. Rows are sorted by chance inside their partitions (of which there are
+    most_blocks at most: more are put together, without a shuffle), written once with their place, and shuffled into the
+    cells, of about cell_rows rows each. The driver holds the sizes of the partitions and most_blocks x n_shards counts
+    at most, which are broadcast; the cells' sizes are joined as rows.
     """
     own = [c for c in docs.columns if c not in ADDED]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     digests = {"size": lambda t: F.octet_length(t).cast("long") + 8, "text_crc32": lambda t: F.crc32(t.cast("binary"))}
-    spark, n = docs.sparkSession, docs.count()
-    blocks = min(most_groups, max(1, math.ceil(n / group_rows)))
-    key = ("doc_id", "text_crc32", "size")
-    random_key = lambda k: F.xxhash64(F.lit(seed + k), *key)
-    # the row's own columns stand apart, so that no name clashes
-    rows = docs.select(F.struct(*own).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), *(f(text).alias(c) for c, f in digests.items()))
-    rows = rows.withColumn("block", F.pmod(random_key(0), F.lit(blocks)).cast("int"))
-    local = materialize(rows.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(random_key(1), *key)) - 1))
+    spark = docs.sparkSession
+    # the row's own columns stand apart, so that no name clashes; the running number tells equal rows apart
+    rows = docs.coalesce(most_blocks).select(F.struct(*own).alias("own"), F.xxhash64(F.lit(seed), "doc_id", "text", F.monotonically_increasing_id()).alias("chance"))
+    sorted_rows = rows.sortWithinPartitions("chance").select("own", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("r"))
+    local = materialize(sorted_rows.withColumn("key", F.xxhash64(F.lit(seed + 1), "block", "r")))
     # of the rows as written: the matrix fits them even if docs comes out otherwise the next time
-    counts = dict(local.groupBy("block").count().collect())
-    shards = near_equal(sum(counts.values()), n_shards)
-    cells = min(max(1, most_groups // n_shards), max(1, math.ceil(n / n_shards / group_rows)))
-    sizes = [near_equal(x, cells) for x in shards]
-    matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], [x for xs in sizes for x in xs], seed)
-    plan = []
-    for b, row in enumerate(matrix):
-        at, per_shard = 0, []
-        for s in range(n_shards):
-            ends = []
-            for x in row[s * cells : (s + 1) * cells]:
-                at += x
-                ends.append(at)
-            per_shard.append(ends)
-        plan.append({"block": b, "ends": per_shard, "last": [e[-1] for e in per_shard]})
-    schema = "array<struct<block:int,ends:array<array<long>>,last:array<long>>>"
-    # at most most_groups rows of most_groups counts: 8 MB
-    dealt = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), schema)).alias("p")).select("p.*")
-    starts = F.from_json(F.lit(json.dumps([[sum(xs[:c]) for c in range(cells)] for xs in sizes])), "array<array<long>>")
-
-    at = local.join(F.broadcast(dealt), "block").withColumn("shard", F.size(F.filter("last", lambda e: e <= F.col("r"))))
-    at = at.withColumn("cell", F.size(F.filter(F.get("ends", F.col("shard")), lambda e: e <= F.col("r"))))
-    order = Window.partitionBy("shard", "cell").orderBy(random_key(2), *key)
-    slot = F.row_number().over(order) - 1 + F.get(F.get(starts, F.col("shard")), F.col("cell"))
-    dealt_rows = at.select("own", F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    counts = sorted(local.groupBy("block").count().collect())
+    shards = near_equal(sum(c["count"] for c in counts), n_shards)
+    matrix = communication_matrix([c["count"] for c in counts], shards, seed)
+    plan = [(c["block"], [sum(row[: k + 1]) for k in range(n_shards)]) for c, row in zip(counts, matrix, strict=True)]
+    dealt = spark.createDataFrame(plan, "block int, ends array<long>")
+    cells = max(1, math.ceil(shards[0] / cell_rows))
+    cell = F.pmod(F.shiftrightunsigned("key", 1), F.lit(cells)).cast("int")
+    placed = local.join(F.broadcast(dealt), "block").select("own", F.size(F.filter("ends", lambda e: e <= F.col("r"))).alias("shard"), cell.alias("cell"), "key", "block", "r")
+    sizes = placed.groupBy("shard", "cell").count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("cell")) - F.col("count")
+    starts = materialize(sizes.select("shard", "cell", before.alias("start")))
+    inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("key", "block", "r")) - 1
+    slots = placed.withColumn("inside", inside).join(starts.hint("merge"), ["shard", "cell"])
     text = F.coalesce(F.col("own")["text"].cast("string"), F.lit(""))
-    return dealt_rows.select(*(F.col("own")[c].alias(c) for c in own), *(f(text).alias(c) for c, f in digests.items()), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return slots.select(*(F.col("own")[c].alias(c) for c in own), *(f(text).alias(c) for c, f in digests.items()), F.lit("rows").alias("law"), "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -37,19 +37,38 @@ def empty(docs):
 
 
 def test_sharding(docs, empty):
-    out = sharding.shard(docs, 4, group_rows=3).collect()
-    assert len(out) == len(TEXTS) and sorted(r.size for r in out) == sorted(len((t or "").encode()) + 8 for _, t in TEXTS)
-    assert sorted(r.text_crc32 for r in out) == sorted(zlib.crc32((t or "").encode()) for _, t in TEXTS)
+    out = sharding.shard(docs.repartition(3), 4, cell_rows=2).collect()
+    mine = sorted((str(r.doc_id), r.text or "", r.size, r.text_crc32) for r in out)
+    assert mine == sorted((str(d), t or "", len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in TEXTS)
     counts = {}
     for r in out:
         counts.setdefault(r.shard, []).append(r.slot)
     assert sorted(map(len, counts.values())) == [4, 5, 5, 5] and all(sorted(x) == list(range(len(x))) for x in counts.values())
+    assert {r.law for r in out} == {"rows"} and {r.grown_shard for r in out} == {None}
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_sharding_is_a_uniform_shuffle(spark):
+    """Rows come sorted, alike ones in a block: where they end up depends on neither. Chi-square at five deviations."""
+    n, shards = 24_000, 8
+    docs = spark.range(0, n, 1, 6).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n // 3, F.lit("alike")).otherwise(F.col("id").cast("string")).alias("text"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") < n // 3, 7).otherwise(F.col("doc_id"))).withColumn("was", F.monotonically_increasing_id())
+    out = sharding.shard(docs, shards, cell_rows=500).select("was", "shard", "slot").orderBy("was").toPandas()
+    old, new = np.arange(n), out.shard.to_numpy() * (n // shards) + out.slot.to_numpy()
+    assert sorted(new) == list(range(n))
+    for bins in (6, 48):
+        table = np.zeros((bins, bins))
+        np.add.at(table, (old * bins // n, new * bins // n), 1)
+        expected = n / bins**2
+        free = (bins - 1) ** 2
+        assert abs(((table - expected) ** 2 / expected).sum() - free) < 5 * (2 * free) ** 0.5
+    # neighbours part: as many stay neighbours as chance has it (two in all)
+    assert (np.abs(np.diff(new)) == 1).sum() < 15
+
+
 def test_sharding_keeps_the_rows(docs):
     rows = docs.withColumns({"slot": F.lit("clash"), "own": F.lit("mine"), "lang": F.concat(F.lit("l"), F.col("doc_id"))})
-    out = sharding.shard(rows, 4, group_rows=3)
+    out = sharding.shard(rows, 4, cell_rows=3)
     assert out.columns == [*(c for c in rows.columns if c != "slot"), *sharding.ADDED]
     own = [c for c in rows.columns if c != "slot"]
     got = out.collect()
