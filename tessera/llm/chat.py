@@ -24,13 +24,14 @@ def unescape(c):
 
 
 def tokens(c):
-    """Pieces of a text: runs of letters, digits and other signs one by one."""
-    return F.size(F.regexp_extract_all(c, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"), F.lit(0))).cast("long") + MARKS
+    """A bound that no byte-level tokenizer exceeds: the bytes of the text, and its marks."""
+    return F.octet_length(c).cast("long") + MARKS
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history_tokens: int = 256, history_turns: int = 4) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = 4096, history_tokens: int = 1024, history_turns: int = 4) -> DataFrame:
     """conv_id, window (from 1), formatted, n_context and loss spans (start, length; code points) of all conversations.
 
+    Budgets are in tokens by their upper bound (tokens), so a window has no more of them whatever the tokenizer.
     A window has the system turn (if the first turn is one), at most history_turns earlier turns of at most
     history_tokens, and new turns, together within budget; a single turn beyond it stands whole in a window of its own.
     A system turn that leaves less than 64 tokens is kept whole all the same, and new turns get 64.

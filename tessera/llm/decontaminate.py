@@ -2,12 +2,12 @@
 
 Every shard of documents gets a word-level suffix array. Every suffix of every test item is looked up by binary
 search; ranges of suffixes that share a whole window give the places of verbatim matches, and windows that follow one
-another on a diagonal join into the longest match. The benchmark goes to the tasks in blocks of bounded size.
+another on a diagonal join into the longest match. The benchmark goes to the tasks as hashes of its words, in blocks of
+bounded size that are all looked up in the array of a shard, which is built once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +36,33 @@ def _pack(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows_of(item_ids: list, texts: list[str | None], width: int) -> list[tuple[str, int, np.ndarray]]:
-    """(item, position, word hashes) of each window of the items; an item of fewer words, but not none, is one window."""
-    out = []
-    for item, text in zip(item_ids, texts, strict=True):
-        data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
-        h = word_hashes(data, s, e)
-        out += [(str(item), j, h[j : j + width]) for j in range(max(1, len(h) - width + 1)) if len(h)]
-    return out
+class Block:
+    """Some items as the hashes of their words; a window is so many words, or all of an item that has fewer."""
+
+    def __init__(self, item_ids: list, texts: list[str | None], width: int):
+        found = []
+        for text in texts:
+            data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+            s, e, _ = words(data, np.array([0, len(data)]), ALNUM)
+            found.append(word_hashes(data, s, e))
+        self.names, n = [str(i) for i in item_ids], np.array([len(h) for h in found])
+        self.hashes = np.concatenate([*found, np.zeros(0, np.uint64)])
+        many = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+        self.item = np.repeat(np.arange(len(n)), many)
+        self.pos = np.arange(len(self.item)) - (np.cumsum(many) - many)[self.item]
+        self.at = (np.cumsum(n) - n)[self.item] + self.pos
+        self.size = np.minimum(n, width)[self.item]
+
+    def packed(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest packed key that the words of a level of each window allow."""
+        low, high = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
+        codes = np.append(_codes(self.hashes), 0).astype(np.uint64)
+        for k in range(STEP * level, STEP * (level + 1)):
+            inside = k < self.size
+            code = codes[np.where(inside, self.at + k, len(codes) - 1)]
+            low = (low << np.uint64(16)) | code
+            high = (high << np.uint64(16)) | np.where(inside, code, np.uint64(0xFFFF))
+        return low, high
 
 
 class SuffixArray:
@@ -75,53 +93,48 @@ class SuffixArray:
     def _key(self, at: np.ndarray, level: int) -> np.ndarray:
         return self.keys[np.minimum(at + STEP * level, len(self.keys) - 1)]
 
-    def find(self, windows: list[tuple[str, int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-        """(number of the window, places where it begins), of the windows that occur."""
-        low = np.array([_bounds(_codes(w[:STEP]))[0] for _, _, w in windows], np.uint64)
-        high = np.array([_bounds(_codes(w[:STEP]))[1] for _, _, w in windows], np.uint64)
+    def find(self, block: Block) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the window, places where it begins), of the windows of a block that occur."""
+        low, high = block.packed(0)
         lo, hi = np.searchsorted(self.top, low, "left"), np.searchsorted(self.top, high, "right")
-        for k in np.flatnonzero(hi > lo):
-            w, i, j = windows[k][2], lo[k], hi[k]
+        some = np.flatnonzero(hi > lo)
+        if not len(some):
+            return
+        levels = [None, *(block.packed(level) for level in range(1, LEVELS))]
+        for k in some.tolist():
+            i, j, size = lo[k], hi[k], int(block.size[k])
             for level in range(1, LEVELS):
-                part = w[STEP * level : STEP * (level + 1)]
-                if not len(part) or i == j:
+                if size <= STEP * level or i == j:
                     break
-                keys, (a, b) = self._key(self.order[i:j], level), _bounds(_codes(part))
-                i, j = i + np.searchsorted(keys, a, "left"), i + np.searchsorted(keys, b, "right")
+                keys = self._key(self.order[i:j], level)
+                i, j = i + np.searchsorted(keys, levels[level][0][k], "left"), i + np.searchsorted(keys, levels[level][1][k], "right")
             at = self.order[i:j]
-            for d in range(len(w)):  # the codes are short: the whole words decide
-                at = at[self.hashes[at + d] == w[d]]
+            for d in range(size):  # the codes are short: the whole words decide
+                at = at[self.hashes[at + d] == block.hashes[block.at[k] + d]]
             if len(at):
-                yield int(k), at
-
+                yield k, at
 
-def _bounds(codes: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """The least and greatest packed key that begins with these codes."""
-    low = 0
-    for c in codes:
-        low = (low << 16) | int(c)
-    rest = 16 * (STEP - len(codes))
-    return np.uint64(low << rest), np.uint64((low << rest) | ((1 << rest) - 1))
 
-
-def _scan(column, windows: list, shard_bytes: int):
-    """Per row: words, hit words, items, matches."""
+def _scan(column, blocks: list, shard_bytes: int):
+    """Per row: words, hit words, matches."""
     data, offsets = text_bytes(column)
     for i, j in runs(offsets, shard_bytes):
         part, bounds = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         s, e, doc = words(part, bounds, ALNUM)
         n_words = np.bincount(doc, minlength=j - i)
         hits, found = np.zeros(j - i, np.int64), [[] for _ in range(j - i)]
-        if len(s) and windows:
+        if len(s):
             array = SuffixArray(word_hashes(part, s, e), doc, j - i)
             cover = np.zeros(len(array.hashes) + 1, np.int64)
             first = np.concatenate([[0], np.cumsum(n_words)])[:-1] + np.arange(j - i)
-            for k, at in array.find(windows):
-                item, pos, w = windows[k]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + len(w), -1)
-                for p, d in zip(at.tolist(), array.doc_of[at].tolist(), strict=True):
-                    found[d].append((item, p - int(first[d]) - pos, pos, len(w)))
+            for broadcast in blocks:
+                block = broadcast.value
+                for k, at in array.find(block):
+                    item, pos, size = block.names[block.item[k]], int(block.pos[k]), int(block.size[k])
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + size, -1)
+                    for p, d in zip(at.tolist(), array.doc_of[at].tolist(), strict=True):
+                        found[d].append((item, p - int(first[d]) - pos, pos, size))
             hit = np.cumsum(cover[:-1])[array.place] > 0
             hits = np.bincount(doc[hit], minlength=j - i)
         for r in range(j - i):
@@ -156,32 +169,34 @@ def benchmark_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[tuple[li
         yield ids, texts
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 1 << 20, shard_bytes: int = 2 << 20) -> DataFrame:
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 1 << 20, shard_bytes: int = 2 << 20, pass_blocks: int = 64) -> DataFrame:
     """docs with n_words, n_hit and matches: the longest verbatim matches (item_id, item_pos, doc_pos, length in words).
 
     Words are as in common.ALNUM with A-Z lower-cased. A null text has no words and no match; an item without words
     matches nothing; an item of fewer words than width matches as a whole; equal rows get equal results; an empty
-    benchmark marks nothing; no rows give no rows. Input columns named like an added one are replaced. Each block of
-    the benchmark is broadcast (block_bytes at most, unless one item alone is longer) and is one more narrow pass.
+    benchmark marks nothing; no rows give no rows. Input columns named like an added one are replaced. The benchmark is
+    broadcast as hashes in blocks (of block_bytes of text at most, unless one item alone is longer); one narrow pass
+    looks up pass_blocks of them, so a task holds hashes of 64 MB of benchmark at most; a larger one takes more passes.
     """
     added = ["n_words", "n_hit", "matches"]
     out = docs.drop(*added).select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(MATCH).alias("matches"))
-    spark = docs.sparkSession
+    spark, held, again = docs.sparkSession, [], False
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    k = -1
-    for k, (ids, texts) in enumerate(benchmark_blocks(benchmark, block_bytes)):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(windows_of(ids, texts, width)), shard_bytes, k), schema)
-    return out if k >= 0 else out.mapInArrow(_pass(spark.sparkContext.broadcast([]), shard_bytes, 0), schema)
+    for ids, texts in benchmark_blocks(benchmark, block_bytes):
+        if len(held) == pass_blocks:
+            out, held, again = out.mapInArrow(_pass(held, shard_bytes, again), schema), [], True
+        held.append(spark.sparkContext.broadcast(Block(ids, texts, width)))
+    return out.mapInArrow(_pass(held, shard_bytes, again), schema)
 
 
-def _pass(windows, shard_bytes: int, k: int):
+def _pass(blocks: list, shard_bytes: int, again: bool):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = list(_scan(batch.column("text"), windows.value, shard_bytes))
+            got = list(_scan(batch.column("text"), blocks, shard_bytes))
             matches = [m for *_, m in got]
-            if k:  # earlier blocks found some: their words count once
+            if again:  # earlier blocks found some: their words count once
                 was = batch.column("matches").to_pylist()
                 matches = [(a or []) + b for a, b in zip(was, matches, strict=True)]
                 hits = [len({p for m in ms for p in range(m["doc_pos"], m["doc_pos"] + m["length"])}) for ms in matches]
@@ -197,6 +212,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) ->
     """The rows of docs without any word in a benchmark window, with their own columns."""
     return scan_benchmark(docs, benchmark, width).filter("n_hit = 0").select(*docs.columns)
 
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

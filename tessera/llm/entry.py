@@ -109,14 +109,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
- r AS (SELECT *, row_number() OVER o AS i, len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\s\p{L}\p{N}]')) + 4 AS tok, first_value(role) OVER o AS r1 FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
- s AS (SELECT *, i = 1 AND role = 'system' AS sys, greatest(768 - CASE WHEN r1 = 'system' THEN first_value(tok) OVER o ELSE 0 END, 64) // 2 AS half,
+ r AS (SELECT *, row_number() OVER o AS i, strlen(text) + 4 AS tok, first_value(role) OVER o AS r1 FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+ s AS (SELECT *, i = 1 AND role = 'system' AS sys, greatest(3072 - CASE WHEN r1 = 'system' THEN first_value(tok) OVER o ELSE 0 END, 64) // 2 AS half,
    12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS size FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
  p AS (SELECT *, CASE WHEN sys THEN 0 ELSE tok END AS own, sum(CASE WHEN sys THEN 0 ELSE tok END) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM s),
  b AS (SELECT *, upto - own AS before, upto // half AS bin, own > half AS long FROM p),
  t AS (SELECT *, CASE WHEN sys THEN lead(i) OVER o IS NULL ELSE coalesce(lag(bin) OVER o <> bin OR long OR lag(long) OVER o OR lag(sys) OVER o, true) END AS opens FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
- h AS (SELECT *, CASE WHEN sys THEN 0 ELSE coalesce((lead(opens, 1) OVER o AND lead(before, 1) OVER o - before <= 256)::INT, 0) + coalesce((lead(opens, 2) OVER o AND lead(before, 2) OVER o - before <= 256)::INT, 0)
-   + coalesce((lead(opens, 3) OVER o AND lead(before, 3) OVER o - before <= 256)::INT, 0) + coalesce((lead(opens, 4) OVER o AND lead(before, 4) OVER o - before <= 256)::INT, 0) END AS again, sum(opens::INT) OVER (PARTITION BY conv_id) AS n_windows FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY i))
+ h AS (SELECT *, CASE WHEN sys THEN 0 ELSE coalesce((lead(opens, 1) OVER o AND lead(before, 1) OVER o - before <= 1024)::INT, 0) + coalesce((lead(opens, 2) OVER o AND lead(before, 2) OVER o - before <= 1024)::INT, 0)
+   + coalesce((lead(opens, 3) OVER o AND lead(before, 3) OVER o - before <= 1024)::INT, 0) + coalesce((lead(opens, 4) OVER o AND lead(before, 4) OVER o - before <= 1024)::INT, 0) END AS again, sum(opens::INT) OVER (PARTITION BY conv_id) AS n_windows FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY i))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(size * CASE WHEN sys THEN n_windows ELSE 1 + again END) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id

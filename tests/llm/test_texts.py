@@ -96,12 +96,12 @@ def ascii_words(text, pattern):
     return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
-def test_decontamination(spark, docs, empty, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_blocks"), [(1 << 20, 64), (150, 64), (150, 1), (1, 2)])
+def test_decontamination(spark, docs, empty, block_bytes, pass_blocks):
     items = [(1, words(1, 300)[40:200]), (2, "one two"), (3, None), (4, "!!"), (5, words(99, 30)), (12, words(5, 2000)[100:300])]
     bench = spark.createDataFrame(items, "item_id int, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    got = decontaminate.scan_benchmark(docs, bench, block_bytes=block_bytes).collect()
+    got = decontaminate.scan_benchmark(docs, bench, block_bytes=block_bytes, pass_blocks=pass_blocks).collect()
     want = []
     for doc, text in TEXTS:
         w, hit, ids = ascii_words(text, pattern), set(), set()
