@@ -16,12 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, mix, runs, text_bytes, word_hashes
 
 GRAM = 16
 #: Bytes of text that fill one range of first buckets, and of which a task looks at one time.
-RANGE_BYTES, CHUNK = 32 << 20, 1 << 20
+RANGE_BYTES, CHUNK = 4 << 20, 1 << 20
+#: Suffixes that a task deals out to ranges at a time.
+DEALT = 1 << 20
+#: Bytes of contexts of one bucket that are compared in memory; windows of a larger bucket meet by their hashes.
+MOST = 8 << 20
 #: A bucket in so many of the sampled documents is hot: it is taken as shared without being gathered.
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST, HOT_MOST = 64, 0.005, 8, 65536
 _BASE = 0x9E3779B97F4A7C15
@@ -105,58 +110,83 @@ def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
 
 
 def _dealt(width: int, ranges: int, hot):
-    """Rows of (range, n, buckets, documents): the buckets of a batch, in order, for each range of buckets."""
+    """Rows of (range, n, buckets, documents): the buckets of DEALT suffixes, in order, for each range that has any."""
 
-    def run(batches):
+    def deal(docs, buckets):
         import pyarrow as pa
 
+        doc, bucket = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)])
+        order = np.lexsort((doc, bucket))
+        doc, bucket = doc[order], bucket[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
+        doc, bucket = doc[new], bucket[new]
+        # 24 bits of the bucket are enough to name a range
+        at = (bucket >> 24) * ranges >> 24
+        head = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
+        tail = np.append(head[1:], len(at))
+        out = [(int(at[a]), int(b - a), _squeeze(np.diff(bucket[a:b], prepend=0)), _squeeze(doc[a:b])) for a, b in zip(head, tail, strict=False)]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "n", "buckets", "docs"])
+
+    def run(batches):
+        docs, buckets, size = [], [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            docs, buckets = [], []
             for i, data, bounds in _chunks(batch):
                 row, _, _, _, bucket = sampled(data, bounds, width)
                 keep = ~np.isin(bucket, hot.value)
                 docs.append(ids[i + row[keep]].astype(np.int64))
                 buckets.append(bucket[keep])
-            doc, bucket = np.concatenate(docs or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)])
-            order = np.lexsort((doc, bucket))
-            doc, bucket = doc[order], bucket[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
-            doc, bucket = doc[new], bucket[new]
-            cuts = np.searchsorted(bucket, [(r << 48) // ranges for r in range(ranges)] + [1 << 48])
-            out = [(r, int(b - a), _squeeze(np.diff(bucket[a:b], prepend=0)), _squeeze(doc[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "n", "buckets", "docs"])
+                size += len(buckets[-1])
+                if size >= DEALT:
+                    yield deal(docs, buckets)
+                    docs, buckets, size = [], [], 0
+        yield deal(docs, buckets)
 
     return run
 
 
 def _shared(batches):
-    """(doc_id, bucket) of buckets with several documents; rows come in order of their range."""
+    """(doc_id, bucket) of buckets with several documents; rows come in order of their range.
+
+    What a range holds stays compressed: one look finds the least and the greatest document of each bucket, another one
+    lets those of shared buckets pass.
+    """
     import pyarrow as pa
 
+    unpacked = lambda x: (np.cumsum(_unsqueeze(x[1], x[0])), _unsqueeze(x[2], x[0]))
+
     def flush(held):
-        bucket, doc = np.concatenate([b for b, _ in held]), np.concatenate([d for _, d in held])
-        order = np.argsort(bucket, kind="stable")
-        bucket, doc = bucket[order], doc[order]
-        first = np.ones(len(bucket), bool)
-        first[1:] = bucket[1:] != bucket[:-1]
-        at = np.flatnonzero(first)
-        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-        keep = several[np.cumsum(first) - 1]
-        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(bucket[keep])], ["doc_id", "bucket"])
+        known = (np.zeros(0, np.int64),) * 3
+        some, size = [], 0
+        for k, x in enumerate(held):
+            bucket, doc = unpacked(x)
+            some.append((bucket, doc, doc))
+            size += x[0]
+            if size >= DEALT or k + 1 == len(held):
+                bucket, low, high = (np.concatenate(c) for c in zip(known, *some, strict=True))
+                order = np.argsort(bucket, kind="stable")
+                bucket, low, high = bucket[order], low[order], high[order]
+                at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
+                known = (bucket[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)) if len(at) else known
+                some, size = [], 0
+        shared = known[0][known[1] < known[2]]
+        for x in held:
+            bucket, doc = unpacked(x)
+            keep = np.isin(bucket, shared)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(bucket[keep])], ["doc_id", "bucket"])
 
     held, last = [], None
     for batch in batches:
-        for r, n, buckets, docs in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "buckets", "docs")), strict=True):
+        for r, *x in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "buckets", "docs")), strict=True):
             if r != last and held:
-                yield flush(held)
+                yield from flush(held)
                 held = []
             last = r
-            held.append((np.cumsum(_unsqueeze(buckets, n)), _unsqueeze(docs, n)))
+            held.append(x)
     if held:
-        yield flush(held)
+        yield from flush(held)
 
 
 def _refine(width: int, hot):
@@ -168,7 +198,7 @@ def _refine(width: int, hot):
         for batch in batches:
             values, whose = _flat(batch.column("buckets"))
             ends = np.searchsorted(whose, np.arange(batch.num_rows + 1))
-            out = {"place": [], "first": [], "last": [], "bucket": [], "sub": []}
+            out = {"place": [], "first": [], "last": [], "bucket": [], "sub": [], "hot": []}
             for i, data, bounds in _chunks(batch):
                 n = len(bounds) - 1  # under 2**15, as each row has width bytes
                 row, place, first, last, bucket = sampled(data, bounds, width)
@@ -179,7 +209,7 @@ def _refine(width: int, hot):
                 sub = mix(sub ^ ((place - first).astype(np.uint64) << np.uint64(8))).view(np.int64)
                 cut = np.searchsorted(row, np.arange(n + 1))
                 start = bounds[row]
-                for name, v in (("place", place - start), ("first", first - start), ("last", last - start), ("bucket", bucket), ("sub", sub)):
+                for name, v in (("place", place - start), ("first", first - start), ("last", last - start), ("bucket", bucket), ("sub", sub), ("hot", np.isin(bucket, hot.value).astype(np.int64))):
                     out[name] += np.split(v, cut[1:-1])
             cols = [_lists(np.concatenate([*v, np.zeros(0, np.int64)]), [len(x) for x in v]) for v in out.values()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *cols], ["doc_id", "row", *out])
@@ -239,12 +269,18 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[who], who
 
 
+CONTEXTS = "bucket long, doc_id long, row long, start long, hash long, bytes binary"
+WINDOWS = "hash long, doc_id long, row long, start long, end long"
+
+
 def _contexts(width: int, hot):
-    """(bucket, doc_id, row, start, bytes): all bytes that the windows of a suffix reach; of hot buckets, each window alone."""
+    """(bucket, doc_id, row, start, hash, bytes): all bytes that the windows of a suffix reach; of hot buckets, each window
+    by its hash alone, under a chance number instead of its bucket, so that they do not meet in one task."""
 
     def run(batches):
         import pyarrow as pa
 
+        names = [f.split()[0] for f in CONTEXTS.split(", ")]
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "row"))
@@ -252,64 +288,83 @@ def _contexts(width: int, hot):
             at = offsets[row]
             bucket = _bucket(_gram_hashes(data[_spread(at + place, np.full(len(row), GRAM))[0]])[::GRAM]) if len(row) else place
             is_hot = np.isin(bucket, hot.value)
-            # a hot bucket parts by the place of the window, so that it does not meet in one task
-            single, who = _spread(first[is_hot], last[is_hot] - first[is_hot] + 1)
-            who = np.flatnonzero(is_hot)[who]
-            cold = np.flatnonzero(~is_hot)
-            start, who = np.concatenate([first[cold], single]), np.concatenate([cold, who])
-            size = np.concatenate([last[cold] - first[cold] + width, np.full(len(single), width)])
-            part = np.concatenate([bucket[cold] * 64, bucket[who[len(cold) :]] * 64 + place[who[len(cold) :]] - single])
-            step = 100_000
-            for a in range(0, len(who), step):
-                w, f, n = who[a : a + step], start[a : a + step], size[a : a + step]
-                raw = data[_spread(at[w] + f, n)[0]]
-                binary = pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + step]), pa.array(ids[row[w]]), pa.array(keys[row[w]]), pa.array(f), binary], ["bucket", "doc_id", "row", "start", "bytes"])
+            cold, size = np.flatnonzero(~is_hot), last - first + width
+            for a in range(0, len(cold), 100_000):
+                w = cold[a : a + 100_000]
+                raw = data[_spread(at[w] + first[w], size[w])[0]]
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(np.append(0, np.cumsum(size[w])).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[w]), pa.array(ids[row[w]]), pa.array(keys[row[w]]), pa.array(first[w]), pa.nulls(len(w), pa.int64()), binary], names)
+            warm = np.flatnonzero(is_hot)
+            for a in range(0, len(warm), 20_000):
+                w = warm[a : a + 20_000]
+                start, who = _spread(first[w], last[w] - first[w] + 1)
+                who = w[who]
+                place_ = at[who] + start
+                h = word_hashes(data, place_, place_ + width)
+                chance = mix(h ^ mix(keys[row[who]].view(np.uint64) + start.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(-(chance >> np.uint64(1)).astype(np.int64) - 1), pa.array(ids[row[who]]), pa.array(keys[row[who]]), pa.array(start), pa.array(h.view(np.int64)), pa.nulls(len(who), pa.binary())], names)
 
     return run
 
 
 def _windows(width: int):
-    """(row, doc_id, start, end) of windows that an earlier document has too; rows come in order of their bucket."""
+    """Rows come in order of their bucket. Of buckets that fit in memory: (doc_id, row, start, end) of runs of windows that
+    an earlier document has too. Of others, and of hot ones: (hash, doc_id, row, start) of every window."""
+    names = [f.split()[0] for f in WINDOWS.split(", ")]
 
-    def flush(held):
+    def made(*columns):
+        import pyarrow as pa
+
+        n = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names)
+
+    def flush(held, apart):
         import pyarrow as pa
 
         t = pa.Table.from_batches(held).combine_chunks()
         doc, row, start = (t[c].to_numpy() for c in ("doc_id", "row", "start"))
         data, offsets = _binary(t["bytes"].combine_chunks())
-        shift, who = _spread(np.zeros(len(doc), np.int64), np.diff(offsets) - width + 1)
-        at = offsets[who] + shift
-        h = word_hashes(data, at, at + width)
-        order = np.argsort(h)
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        least = np.minimum.reduceat(doc[who[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-        gone = np.zeros(len(h), bool)
-        gone[order] = least < doc[who[order]]
-        who, s = who[gone], (start[who] + shift)[gone]
-        head = np.ones(len(who), bool)
-        head[1:] = (who[1:] != who[:-1]) | (s[1:] != s[:-1] + 1)
-        a = np.flatnonzero(head)
-        b = np.append(a[1:], len(who))[: len(a)] - 1
-        who, s, e = who[a], s[a], s[b] + width
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row[who], doc[who], s, e)], ["row", "doc_id", "start", "end"])
+        for a, b in runs(offsets, CHUNK) if apart else [(0, len(doc))]:
+            shift, who = _spread(np.zeros(b - a, np.int64), np.diff(offsets[a : b + 1]) - width + 1)
+            who += a
+            at = offsets[who] + shift
+            h = word_hashes(data, at, at + width)
+            if apart:
+                yield made(h.view(np.int64), doc[who], row[who], start[who] + shift, None)
+                continue
+            order = np.argsort(h)
+            new = np.ones(len(h), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            least = np.minimum.reduceat(doc[who[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+            gone = np.zeros(len(h), bool)
+            gone[order] = least < doc[who[order]]
+            who, s = who[gone], (start[who] + shift)[gone]
+            head = np.ones(len(who), bool)
+            head[1:] = (who[1:] != who[:-1]) | (s[1:] != s[:-1] + 1)
+            x = np.flatnonzero(head)
+            y = np.append(x[1:], len(who))[: len(x)] - 1
+            yield made(None, doc[who[x]], row[who[x]], s[x], s[y] + width)
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size, last, parted = [], 0, None, None
         for batch in batches:
+            alone = batch.filter(batch.column("bytes").is_null())
+            if alone.num_rows:
+                yield made(*(alone.column(c).to_numpy() for c in ("hash", "doc_id", "row", "start")), None)
+            batch = batch.filter(batch.column("bytes").is_valid())
             bucket = batch.column("bucket").to_numpy()
-            # cut only where a bucket ends and enough is held
             for a, b in _cuts(bucket):
-                if held and bucket[a] != last and size > CHUNK:
-                    yield flush(held)
+                within = bool(held) and bucket[a] == last
+                if held and size > (MOST if within else CHUNK):
+                    # a bucket that is cut, or that was, goes on as windows by their hashes
+                    yield from flush(held, within or held[0].column("bucket")[0].as_py() == parted)
+                    parted = last if within else None
                     held, size = [], 0
-                piece = batch.slice(a, b - a)
-                held.append(piece)
+                held.append(batch.slice(a, b - a))
                 size += (b - a) * (2 * width)
                 last = bucket[b - 1]
         if held:
-            yield flush(held)
+            yield from flush(held, held[0].column("bucket")[0].as_py() == parted)
 
     return run
 
@@ -341,63 +396,80 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     counted = part.mapInArrow(_buckets(width), "bucket long").groupBy("bucket").count().filter(F.col("count") >= often)
     hot = spark.sparkContext.broadcast(np.array([r[0] for r in counted.orderBy(F.desc("count"), "bucket").limit(HOT_MOST).collect()], np.int64))
 
-    ranges = max(1, math.ceil(total / RANGE_BYTES))
+    ranges = min(1 << 24, max(1, math.ceil(total / RANGE_BYTES)))
     dealt = texts.mapInArrow(_dealt(width, ranges, hot), "range int, n long, buckets binary, docs binary")
-    shared = dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_shared, "doc_id long, bucket long")
+    # a task takes several ranges, one at a time
+    shared = dealt.repartition("range").sortWithinPartitions("range").mapInArrow(_shared, "doc_id long, bucket long")
     lists = materialize(shared.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets")))
     keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    fields = "doc_id long, row long, place array<long>, first array<long>, last array<long>, bucket array<long>, sub array<long>"
+    fields = "doc_id long, row long, place array<long>, first array<long>, last array<long>, bucket array<long>, sub array<long>, hot array<long>"
     found = materialize(keyed.join(lists, "doc_id", "left").select("doc_id", "row", "text", "buckets").mapInArrow(_refine(width, hot), fields).filter("size(place) > 0"))
-    pairs = found.select("doc_id", F.explode(F.arrays_zip("bucket", "sub")).alias("p")).select("doc_id", "p.bucket", "p.sub")
-    stand = materialize(pairs.groupBy("bucket", "sub").agg(F.min("doc_id").alias("doc_id")))
-    several = stand.groupBy("bucket").count().filter("count > 1").select("bucket", F.lit(True).alias("several"))
-    stand = stand.join(several, "bucket", "left")
+    pairs = found.select("doc_id", F.explode(F.arrays_zip("bucket", "sub", "hot")).alias("p")).select("doc_id", "p.bucket", "p.sub", "p.hot")
+    stand = materialize(pairs.groupBy("bucket", "sub").agg(F.min("doc_id").alias("doc_id"), F.max("hot").alias("hot")))
+    # a hot bucket is taken to have several sub-buckets, so that it is not gathered
+    cold = stand.filter("hot = 0")
+    several = cold.groupBy("bucket").count().filter("count > 1").select("bucket", F.lit(True).alias("several"))
+    stand = cold.join(several, "bucket", "left").select("doc_id", "sub", "several").union(stand.filter("hot = 1").select("doc_id", "sub", F.lit(True)))
     mine = stand.groupBy("doc_id").agg(F.collect_list("sub").alias("mine"), F.collect_list(F.when(F.col("several"), F.col("sub"))).alias("meet"))
     fields = "doc_id long, row long, starts array<long>, ends array<long>, place array<long>, first array<long>, last array<long>"
-    settled = materialize(found.drop("bucket").join(mine, "doc_id", "left").mapInArrow(_settle(width), fields))
+    settled = materialize(found.drop("bucket", "hot").join(mine, "doc_id", "left").mapInArrow(_settle(width), fields))
     left = settled.filter("size(place) > 0").select("doc_id", "row", "place", "first", "last").dropDuplicates(["doc_id", "row"])
-    contexts = keyed.join(left, ["doc_id", "row"]).select("doc_id", "row", "text", "place", "first", "last").mapInArrow(_contexts(width, hot), "bucket long, doc_id long, row long, start long, bytes binary")
-    met = contexts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_windows(width), "row long, doc_id long, start long, end long")
-    pieces = met.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    contexts = keyed.join(left, ["doc_id", "row"]).select("doc_id", "row", "text", "place", "first", "last").mapInArrow(_contexts(width, hot), CONTEXTS)
+    met = materialize(contexts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_windows(width), WINDOWS))
+    apart = met.filter("hash IS NOT NULL").select("hash", "doc_id", "row", "start")
+    least = apart.groupBy("hash").agg(F.min("doc_id").alias("least"))
+    later = apart.join(least, "hash").filter("least < doc_id").select("doc_id", "row", "start", (F.col("start") + width).alias("end"))
+    pieces = met.filter("hash IS NULL").select("doc_id", "row", "start", "end").union(later)
+    pieces = pieces.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     both = settled.filter("size(starts) > 0").select("doc_id", "row", "starts", "ends").unionByName(pieces)
     return materialize(both.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")))
 
 
-def _cut(digest: bool):
-    def run(batches):
-        import pyarrow as pa
+def _kept(text: np.ndarray, starts: list | None, ends: list | None) -> tuple[np.ndarray, int]:
+    """Which bytes of a text stay, and how many runs go."""
+    s, e = merged(np.array(starts or [], np.int64), np.array(ends or [], np.int64))
+    gone = np.zeros(len(text) + 1, np.int64)
+    gone[s], gone[e] = 1, -1
+    return np.cumsum(gone)[:-1] == 0, len(s)
 
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for r, (starts, ends) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
-                text = data[offsets[r] : offsets[r + 1]]
-                s, e = merged(np.array(starts or [], np.int64), np.array(ends or [], np.int64))
-                gone = np.zeros(len(text) + 1, np.int64)
-                gone[s], gone[e] = 1, -1
-                stay = np.cumsum(gone)[:-1] == 0
-                n_bytes.append(len(text)), n_removed.append(int((~stay).sum())), n_spans.append(len(s))
-                if digest:
-                    kept.append(hashlib.sha256(text[stay].tobytes()).hexdigest())
-                else:  # whole characters: one stays if any of its bytes does
-                    head = np.flatnonzero((text & 0xC0) != 0x80)
-                    whole = np.maximum.reduceat(stay, head) if len(head) else stay
-                    kept.append(text[np.repeat(whole, np.diff(np.append(head, len(text))))].tobytes().decode() if len(s) else None)
-            new = {"n_bytes": n_bytes, "n_removed": n_removed, "n_spans": n_spans, "kept_sha256" if digest else "kept": kept}
-            if digest:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string())], ["doc_id", *new])
-            else:
-                text = pa.array([t if k is None else k for k, t in zip(kept, batch.column("text").to_pylist(), strict=True)], pa.string())
-                own = [text if c == "text" else batch.column(c) for c in batch.schema.names if c not in ("starts", "ends")]
-                yield pa.RecordBatch.from_arrays(own, [c for c in batch.schema.names if c not in ("starts", "ends")])
 
-    return run
+def _report(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        out = []
+        for r, spans in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+            text = data[offsets[r] : offsets[r + 1]]
+            stay, n_spans = _kept(text, *spans)
+            out.append((len(text), int((~stay).sum()), n_spans, hashlib.sha256(text[stay].tobytes()).hexdigest()))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _shortened(batches):
+    """Rows with what is left of their text: whole characters, one stays if any of its bytes does."""
+    import pyarrow as pa
+
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        texts = batch.column("text").to_pylist()
+        for r, (starts, ends) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+            if starts:
+                text = data[offsets[r] : offsets[r + 1]]
+                stay, _ = _kept(text, starts, ends)
+                head = np.flatnonzero((text & 0xC0) != 0x80)
+                whole = np.maximum.reduceat(stay, head) if len(head) else stay
+                texts[r] = text[np.repeat(whole, np.diff(np.append(head, len(text))))].tobytes().decode()
+        yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(texts, pa.string())], ["own", "text"])
 
 
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    spans = repeated_spans(docs, width).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "starts", "ends")
-    one = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return one.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_row")), "left").drop("_key", "_id", "_row")
+def _with_spans(docs: DataFrame, width: int, *more) -> DataFrame:
+    """doc_id, text, starts, ends of each row, and more columns."""
+    spans = repeated_spans(docs, width).withColumnsRenamed({"doc_id": "span_id"})
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    same = (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) == F.col("row"))
+    return one.join(spans, same, "left").drop("span_id", "row")
 
 
 def removal_report(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -407,14 +479,15 @@ def removal_report(docs: DataFrame, width: int = 50) -> DataFrame:
     it keeps all; rows with the same doc_id do not remove one another's bytes; equal rows get equal results; texts under
     width bytes keep all; an empty table gives no rows. Other columns are ignored.
     """
-    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("doc_id", "text", "starts", "ends").mapInArrow(_cut(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, width).select("doc_id", "text", "starts", "ends").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """docs with text shortened by the spans that removal_report counts, except characters that only part of a span hits.
 
-    Other columns stay as they are, whatever their names, but for starts, ends and those that begin with an underscore
-    and are named _key, _id or _row, which are replaced.
+    Other columns stay as they are, whatever their names. Nulls, ties and repeated rows are as there.
     """
-    docs = docs.drop("starts", "ends", "_key", "_id", "_row")
-    return _with_spans(docs, width).mapInArrow(_cut(False), docs.schema)
+    own = F.struct(*(c for c in docs.columns if c != "text")).alias("own")
+    found = _with_spans(docs, width, own)
+    cut = found.mapInArrow(_shortened, T.StructType([T.StructField("own", found.schema["own"].dataType), T.StructField("text", T.StringType())]))
+    return cut.select(*(F.col("text") if c == "text" else F.col("own")[c].alias(c) for c in docs.columns))

@@ -150,14 +150,18 @@ def brute_removed(texts, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least", [1, 10**9])
-def test_suffix_dedup(docs, empty, monkeypatch, least):
+@pytest.mark.parametrize(("least", "small"), [(1, False), (10**9, False), (10**9, True)])
+def test_suffix_dedup(docs, empty, monkeypatch, least, small):
+    if small:  # several ranges, and buckets that are cut
+        for name, value in (("RANGE_BYTES", 500), ("DEALT", 50), ("CHUNK", 2000), ("MOST", 1)):
+            monkeypatch.setattr(suffixdedup, name, value)
     monkeypatch.setattr(suffixdedup, "HOT_SAMPLE", 1)  # every bucket is hot, or none
     monkeypatch.setattr(suffixdedup, "HOT_LEAST", least)
     monkeypatch.setattr(suffixdedup, "HOT_SHARE", 0)
     got = suffixdedup.removal_report(docs, 50).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removed(TEXTS, 50)
-    kept = suffixdedup.without_repeats(docs, 50)
+    kept = suffixdedup.without_repeats(docs.withColumn("ends", F.lit(1)).withColumn("_key", F.lit("k")), 50)
+    assert kept.columns == [*docs.columns, "ends", "_key"] and kept.filter("starts = 'x' AND _key = 'k' AND ends = 1").count() == len(TEXTS)
     assert kept.filter("doc_id = 2").first().text == "" and kept.filter("doc_id = 8").first().text == TEXTS[7][1]
     assert suffixdedup.removal_report(empty, 50).count() == 0
 
