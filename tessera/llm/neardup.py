@@ -24,7 +24,7 @@ from tessera.llm.components import components
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket, and shingles of theirs, that meet in one task; a larger bucket is split into pairs of blocks.
-BLOCK, BLOCK_ITEMS = 2048, 2 << 20
+BLOCK, BLOCK_ITEMS = 1024, 2 << 20
 #: Coordinates, one bit of each, of the longer sketch that screens pairs before their full sets are fetched.
 BITS = 8192
 
