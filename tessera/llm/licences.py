@@ -204,7 +204,10 @@ def train(docs: DataFrame, slots: int = 8192, each: int = 20, most_paragraphs: i
 
     spark, groups = docs.sparkSession, templates()
     made = spark.createDataFrame(_examples(groups, seed, each), "text string, label int, held int")
-    chosen = docs.filter("length(trim(text)) > 0").select(F.xxhash64("doc_id").alias("h"), "text").orderBy("h", "text").limit(most_paragraphs)
+    some = docs.filter("length(trim(text)) > 0").select(F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+    # texts move only for the chosen ids
+    ids = some.select("h").distinct().orderBy("h").limit(most_paragraphs)
+    chosen = some.join(F.broadcast(ids), "h").groupBy("h").agg(F.min("text").alias("text"))
     lines = chosen.select("h", _paragraphs(F.col("text")).alias("p")).filter(F.size("p") > 0).select("h", F.get("p", F.pmod(F.xxhash64("h"), F.size("p")).cast("int")).alias("text"))
     alike = _let(F.array_distinct(_grams(_words(F.col("text")))), lambda g: _likeness(g, F.flatten(_table(groups))))
     lines = lines.filter(alike < 0.5).select("text", F.lit(len(FAMILIES) - 1), (F.pmod("h", F.lit(5)) == 4).cast("int"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, mix, runs, text_bytes, word_hashes
+from tessera.llm.common import materialize, mix, runs, text_bytes
 
 GRAM = 16
 #: Bytes of text that fill one range of first buckets, and of which a task looks at one time.
@@ -41,6 +41,20 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def window_hashes(grams: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width bytes from each place, from the mixed grams that cover them."""
+    out = np.zeros(len(at), np.uint64)
+    for k in (*range(0, width - GRAM, GRAM), width - GRAM):
+        out += mix(grams[at + k] ^ np.uint64((k + 1) * _BASE & 0xFFFFFFFFFFFFFFFF))
+    return mix(out)
+
+
+def windows_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place in its row and row of every window of these rows of bytes."""
+    shift, who = _spread(np.zeros(len(offsets) - 1, np.int64), np.diff(offsets) - width + 1)
+    return window_hashes(_gram_hashes(data), offsets[who] + shift, width), shift, who
+
+
 def _bucket(grams: np.ndarray) -> np.ndarray:
     """48 bits, hashed anew: the sampled grams are those with the least hashes."""
     return (mix(grams ^ np.uint64(_BASE)) >> np.uint64(16)).astype(np.int64)
@@ -171,10 +185,10 @@ def _shared(batches):
                 at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
                 known = (bucket[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)) if len(at) else known
                 some, size = [], 0
-        shared = known[0][known[1] < known[2]]
+        shared = known[1] < known[2]
         for x in held:
             bucket, doc = unpacked(x)
-            keep = np.isin(bucket, shared)
+            keep = shared[np.searchsorted(known[0], bucket)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(bucket[keep])], ["doc_id", "bucket"])
 
     held, last = [], None
@@ -205,7 +219,9 @@ def _refine(width: int, hot):
                 shared = (np.repeat(np.arange(n), np.diff(ends[i : i + n + 1])) << 48) | values[ends[i] : ends[i + n]]
                 keep = np.isin(bucket, hot.value) | np.isin((row << 48) | bucket, shared)
                 row, place, first, last, bucket = row[keep], place[keep], first[keep], last[keep], bucket[keep]
-                sub = word_hashes(data, first, last + width) if len(row) else np.zeros(0, np.uint64)
+                # the first and the last window overlap, so together they are all that the windows reach
+                grams = _gram_hashes(data) if len(row) else None
+                sub = mix(window_hashes(grams, first, width) ^ mix(window_hashes(grams, last, width) + (last - first).astype(np.uint64))) if len(row) else np.zeros(0, np.uint64)
                 sub = mix(sub ^ ((place - first).astype(np.uint64) << np.uint64(8))).view(np.int64)
                 cut = np.searchsorted(row, np.arange(n + 1))
                 start = bounds[row]
@@ -297,10 +313,10 @@ def _contexts(width: int, hot):
             warm = np.flatnonzero(is_hot)
             for a in range(0, len(warm), 20_000):
                 w = warm[a : a + 20_000]
-                start, who = _spread(first[w], last[w] - first[w] + 1)
+                raw = data[_spread(at[w] + first[w], size[w])[0]]
+                h, start, who = windows_of(raw, np.append(0, np.cumsum(size[w])), width)
                 who = w[who]
-                place_ = at[who] + start
-                h = word_hashes(data, place_, place_ + width)
+                start = first[who] + start
                 chance = mix(h ^ mix(keys[row[who]].view(np.uint64) + start.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(-(chance >> np.uint64(1)).astype(np.int64) - 1), pa.array(ids[row[who]]), pa.array(keys[row[who]]), pa.array(start), pa.array(h.view(np.int64)), pa.nulls(len(who), pa.binary())], names)
 
@@ -325,10 +341,8 @@ def _windows(width: int):
         doc, row, start = (t[c].to_numpy() for c in ("doc_id", "row", "start"))
         data, offsets = _binary(t["bytes"].combine_chunks())
         for a, b in runs(offsets, CHUNK) if apart else [(0, len(doc))]:
-            shift, who = _spread(np.zeros(b - a, np.int64), np.diff(offsets[a : b + 1]) - width + 1)
-            who += a
-            at = offsets[who] + shift
-            h = word_hashes(data, at, at + width)
+            h, shift, who = windows_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+            who = who + a
             if apart:
                 yield made(h.view(np.int64), doc[who], row[who], start[who] + shift, None)
                 continue
