@@ -215,7 +215,7 @@ def train(docs: DataFrame, slots: int = 8192, each: int = 20, most_paragraphs: i
     rows = rows.withColumn("terms", F.col("grams").cast("array<string>"))
     counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(slots)], "terms", "features")
     vectors = counter.transform(rows).select("label", "held", "features").cache()
-    learner = LogisticRegression(maxIter=40, regParam=2e-4, elasticNetParam=0.9, family="multinomial", standardization=False)
+    learner = LogisticRegression(maxIter=60, regParam=1e-4, elasticNetParam=0.9, family="multinomial", standardization=False)
 
     def fitted(of):
         model = learner.fit(of.select("label", "features"))
