@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,14 +88,15 @@ def phrase_blocks(phrases: DataFrame, column: str, most_bytes: int = 8 << 20):
 
 def _contains(held):
     @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
+        machine = ahocorasick.Automaton()  # once a task
         for p in held.value:
             machine.add_word(p, 1)
         machine.make_automaton()
-        return texts.map(lambda t: next(machine.iter(t or ""), None) is not None).astype(bool)
+        for texts in batches:
+            yield texts.map(lambda t: next(machine.iter(t or ""), None) is not None).astype(bool)
 
     return hit
 

@@ -135,12 +135,13 @@ def cache_bounded(read, size: int = 20):
     return last.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= size).select("event_type", "user_id", "event_id")
 
 
-@query("""SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_pages, md5(string_agg(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), ',' ORDER BY conv_id, turn)) AS places_md5 FROM conversations GROUP BY role""")
+@query("""SELECT role, conv_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY role) AS role_lines, count(*) OVER (PARTITION BY role) AS role_pages, md5(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn)) AS places_md5 FROM conversations GROUP BY role, conv_id""")
 def role_index(read):
-    """Lines of each role in page order; counts of lines a page keep the ordered lists short."""
-    g = read("conversations").groupBy("role", "conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))), ",").alias("p"))
-    r = g.groupBy("role").agg(F.sum("n").alias("n"), F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.struct("conv_id", "p"))).alias("s"))
-    return r.select("role", "n", "n_pages", F.md5(F.array_join("s.p", ",")).alias("places_md5"))
+    """The index as rows (role, page) with the places there; the role's totals are added up by parts and joined."""
+    c = read("conversations")
+    places = c.groupBy("role", "conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("turn")), ",")).alias("places_md5"))
+    totals = places.groupBy("role").agg(F.sum("n").alias("role_lines"), F.count("*").alias("role_pages"))
+    return places.join(F.broadcast(totals), "role").select("role", "conv_id", "n", "role_lines", "role_pages", "places_md5")  # a row a role
 
 
 @query(r"""SELECT doc_id, coalesce(nullif(md5(array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')[1:3], lambda x: trim(x, ' ')), chr(10))), md5('')), 'none') AS effect_md5,

@@ -43,8 +43,10 @@ def feed_watermark_increment(read):
 
 
 def admit(times, cooldown: float):
-    """The times of a sorted array that come at least cooldown after the last one admitted: a fold."""
-    return F.aggregate(times, F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= cooldown), F.array_append(acc, t)).otherwise(acc))
+    """(count, last) of the times of a sorted array that come at least cooldown after the last one admitted: a fold."""
+    kept = lambda acc, t: F.struct((acc["n"] + 1).alias("n"), t.alias("last"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("last"))
+    return F.aggregate(times, start, lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= cooldown), kept(acc, t)).otherwise(acc))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t FROM events), a(user_id, t) AS (SELECT user_id, min(t) FROM e GROUP BY user_id
@@ -54,13 +56,17 @@ def rate_limit_admission(read, cooldown: float = 86400.0):
     """Only admitted events count for the cooldown; rejected ones leave no trace."""
     g = read("events").select("user_id", seconds().alias("t")).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     a = g.select("user_id", admit(F.col("ts"), cooldown).alias("a"))
-    return a.select("user_id", F.size("a").cast("long").alias("admitted"), F.floor(F.array_max("a")).cast("double").alias("last_admitted"))
+    return a.select("user_id", F.col("a.n").alias("admitted"), F.floor("a.last").cast("double").alias("last_admitted"))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")
-def sliding_count(read):
-    w = Window.partitionBy("event_type").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return read("events").select("event_id", F.count("*").over(w).alias("n"))
+@query("SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n FROM events")
+def sliding_count(read, span: int = 60_000_000):
+    """Events of the last span microseconds. Time is cut into spans, and an event is also sent to the next one, so a window
+    over all events is many small ones."""
+    e = read("events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).withColumn("cut", F.floor(F.col("t") / span))
+    sent = e.select("event_id", "t", F.explode(F.array(F.struct("cut", F.lit(True).alias("own")), F.struct((F.col("cut") + 1).alias("cut"), F.lit(False).alias("own")))).alias("s"))
+    w = Window.partitionBy("s.cut").orderBy("t").rangeBetween(-span, 0)
+    return sent.withColumn("n", F.count("*").over(w)).filter("s.own").select("event_id", "n")
 
 
 @query("""WITH f AS (SELECT *, event_type = 'error' AS bad, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS calm FROM events),
@@ -74,6 +80,36 @@ def violation_breaker(read):
     return e.withColumn("streak", F.count_if("bad").over(run)).filter("bad AND streak >= 3").select("event_id", "user_id", "streak")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ s(user_id, n, event_id, streak, until, verdict) AS (SELECT user_id, n, event_id, bad::INT, -1e18::DOUBLE, CASE WHEN bad THEN 'rejected' ELSE 'ok' END FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.t < s.until THEN s.streak WHEN NOT e.bad THEN 0 WHEN s.streak >= 3 THEN 1 ELSE s.streak + 1 END,
+   CASE WHEN e.t >= s.until AND e.bad AND s.streak = 2 THEN e.t + 86400 ELSE s.until END, CASE WHEN e.t < s.until THEN 'blocked' WHEN e.bad THEN 'rejected' ELSE 'ok' END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT event_id, verdict FROM s""")
+def violation_block(read, most: int = 3, block: float = 86400.0):
+    """The third violation in a row blocks a session for a time, in which all is rejected and nothing counts; after it, and
+    after a clean message, the count starts again. Sessions stream through their task in order of time."""
+    rows = read("events").select("event_id", "user_id", seconds().alias("t"), (F.col("event_type") == "error").alias("bad"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        user, streak, until = object(), 0, float("-inf")
+        for batch in batches:
+            verdicts = []
+            for u, t, bad in zip(*(batch.column(c).to_pylist() for c in ("user_id", "t", "bad")), strict=True):
+                if u != user:
+                    user, streak, until = u, 0, float("-inf")
+                if t < until:
+                    verdicts.append("blocked")
+                    continue
+                streak = 0 if not bad else 1 if streak >= most else streak + 1
+                until = t + block if streak == most else until
+                verdicts.append("rejected" if bad else "ok")
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(verdicts, pa.string())], ["event_id", "verdict"])
+
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInArrow(run, "event_id long, verdict string")
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 43200 THEN 1 ELSE 0 END AS cut FROM events),
  s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM s GROUP BY user_id, session""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import chunked, dialogue, extraction, feeds, ranking, relational, texts
+from tessera.plans import chunked, dialogue, extraction, feeds, ranking, relational, retrieval, routing, texts
 from tessera.plans.catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chunked", "dialogue", "extraction", "feeds", "ranking", "relational", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunked", "dialogue", "extraction", "feeds", "ranking", "relational", "retrieval", "routing", "texts"]
