@@ -50,11 +50,14 @@ def page_type_classify(read):
     return read("pages").select("page_id", F.regexp_extract(u, "^https?://([^/?#]+)", 1).alias("host"), kind.alias("page_type"), junk.alias("junk"))
 
 
-@query(r"""
-WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g') AS h FROM pages),
+#: The chain of functions.text.html_text as common tables that end in html_text (page_id, text).
+HTML_TEXT_SQL = r"""a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g') AS h FROM pages),
  b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<a [^>]*href="([^"]*)"[^>]*>', ' \1 ', 'g'), '(?i)<(br|p|/p|div|/div|li|/li|tr|/tr|h[1-6]|/h[1-6])[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
- c AS (SELECT page_id, replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS h FROM b)
-SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))) AS text_md5 FROM c""")
+ c AS (SELECT page_id, replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS h FROM b),
+ html_text AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS text FROM c)"""
+
+
+@query(f"WITH {HTML_TEXT_SQL} SELECT page_id, md5(text) AS text_md5 FROM html_text")
 def html_to_text(read):
     return read("pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("text_md5"))
 
