@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -107,3 +108,28 @@ def with_phrases(rows: DataFrame, column: str, phrases: DataFrame, phrase: str)
     for block in phrase_blocks(phrases, phrase):
         out = out.withColumn("blocked", F.col("blocked") | _contains(rows.sparkSession.sparkContext.broadcast(block))(F.col(column)))
     return out
+
+
+def _matches(patterns: list[str]):
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = [re.compile(p, re.IGNORECASE) for p in patterns]  # once a task
+        for texts in batches:
+            yield texts.map(lambda t: any(p.search(t or "") for p in compiled)).astype(bool)
+
+    return hit
+
+
+def with_patterns(rows: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+    """rows with blocked: whether any pattern is found in the text in any case; patterns that do not compile are skipped.
+
+    Patterns are a hand-written list, which goes to the tasks with the function; long lists of phrases are with_phrases.
+    """
+    good = []
+    for p in patterns:
+        try:
+            re.compile(p, re.IGNORECASE)
+            good.append(p)
+        except re.error:
+            pass
+    return rows.withColumn("blocked", _matches(good)(F.col(column)) if good else F.lit(False))

@@ -36,3 +36,14 @@ def blocked_phrase_filter(read):
     from tessera.functions import udfs
 
     return udfs.with_phrases(read("documents").select("doc_id", "text"), "text", read("benchmark"), "text").select("doc_id", "blocked")
+
+
+#: Patterns as in a word list: one does not compile. A parameter.
+PATTERNS = ("th(at|e) (of|and)", "[unclosed", r"\bLES\b")
+
+
+@query(r"SELECT conv_id, turn, regexp_matches(lower(text), 'th(at|e) (of|and)|(^|[^\p{L}\d_])les([^\p{L}\d_]|$)') AS blocked FROM conversations")
+def blocked_pattern_filter(read, patterns=PATTERNS):
+    from tessera.functions import udfs
+
+    return udfs.with_patterns(read("conversations").select("conv_id", "turn", "text"), "text", list(patterns)).select("conv_id", "turn", "blocked")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import formats, markup
+from tessera.functions import cleaning, formats, markup
 from tessera.functions import text as T
 from tessera.plans.catalog import query
 from tessera.plans.texts import HTML_TEXT_SQL
@@ -232,3 +234,67 @@ def forward_nodes(read):
     parts = formats.segments(F.col("source"), F.array(), F.array(F.struct(url.alias("url"), (F.col("n_chars") % 5).alias("mb"))), 2)
     d = read("documents").select("doc_id", n.alias("n"), F.element_at(parts, -1).alias("s"))
     return d.select("doc_id", F.size("n").alias("n_nodes"), F.md5(F.array_join("n.content", "\x1e")).alias("nodes_md5"), F.concat_ws(":", "s.type", "s.data").alias("last_segment"))
+
+
+_LEFTOVERS = "chr(10) || '|600px|center|x' || chr(10) || 'File:a/b.png | left' || chr(10) || '<b style=\"color:red\">see' || ' {{{1}}}{{t|u}} text here</b>' || chr(10) || 'justify-content: end' || chr(10) || '12.' || chr(10) || 'ab-face_1.png：sad' || chr(10) || '{| a | b |}x' || chr(10) || 'name: thing' || chr(10)"
+_WORTH = " AND ".join(f"NOT regexp_matches(x, '{p.replace(chr(39), chr(39) * 2)}')" for p in cleaning.NOISE_LINES)
+
+
+@query(f"""WITH p AS (SELECT page_id, {cleaning.sql(f"html || {_LEFTOVERS} || html", cleaning.CLEAN_PATTERNS)} AS t FROM pages),
+ l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{cleaning.EDGES}', '', 'g')), lambda x: {_WORTH} AND (len(regexp_extract_all(x, '[\\x{{4e00}}-\\x{{9fff}}]')) >= 3 OR len(regexp_extract_all(x, '[A-Za-z\\x{{4e00}}-\\x{{9fff}}]')) >= 5 OR regexp_matches(x, '{cleaning.KEPT_LINE}'))) AS l FROM p)
+SELECT page_id, CAST(len(l) AS INTEGER) AS n_lines, md5(array_to_string(l, chr(10))) AS cleaned_md5 FROM l""")
+def text_clean_markup(read):
+    """The 23 ordered rewrites of page text and the rule for lines, on pages with leftovers of markup planted in them."""
+    t = cleaning.clean_page(F.concat("html", F.expr(_LEFTOVERS.replace("chr(10)", "'\\n'")), "html"))
+    return read("pages").select("page_id", t.alias("t")).select("page_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).alias("n_lines"), F.md5("t").alias("cleaned_md5"))
+
+
+_MARKS = "'== A title ==' || chr(10) || '* item' || chr(10) || '# one' || chr(10) || chr(10) || chr(10) || '===== Deep =====' || chr(10) || '<!-- no ' || chr(10) || ' no -->[[page|shown]] [[plain]] [https://e.example/x out] <ref name=\"a\">r</ref>{{t|u}} '"
+
+
+@query(f"""SELECT conv_id, turn, md5(regexp_replace({cleaning.sql(f"{_MARKS} || repeat(chr(39), 3) || text || repeat(chr(39), 3)", cleaning.WIKI_PATTERNS)}, '{cleaning.EDGES}', '', 'g')) AS markdown_md5 FROM conversations""")
+def wikitext_markdown(read):
+    """The 17 ordered rewrites of wiki markup to Markdown, on turns with markup planted around them."""
+    raw = F.concat(F.expr(_MARKS.replace("chr(10)", "'\\n'")), F.lit("'''"), "text", F.lit("'''"))
+    return read("conversations").select("conv_id", "turn", F.md5(cleaning.wiki_to_markdown(raw)).alias("markdown_md5"))
+
+
+@query("""WITH n AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS name FROM benchmark GROUP BY 1), d AS (SELECT doc_id, string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS name FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d))
+SELECT name, count(*) AS n_documents, min(doc_id) AS first_document FROM n JOIN g USING (name) GROUP BY name""")
+def names_in_texts(read):
+    """Names of two words that a text contains: the texts' pairs of words meet the names, so no text meets every name."""
+    n = read("benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name")).distinct()
+    d = read("documents").select("doc_id", F.split(F.regexp_replace("text", r"[ \n]+", " "), " ").alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    g = d.filter(F.size("w") > 1).select("doc_id", F.explode(F.array_distinct(pairs)).alias("name"))
+    return n.join(g, "name").groupBy("name").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
+_COMPARED = ("ECONOMY - red widget and PROMO - blue anvil", "small ring vs blue anvil", "ECONOMY - red widget vs ECONOMY - red widget", "ECONOMY - red widget", "ECONOMY - red wid versus PROMO - blue anv")
+_BETWEEN = r"^(.*?)\s*(?: and | versus | vs )\s*(.*)$"
+
+
+@query(f"""WITH n AS (SELECT p_type || ' - ' || p_name AS name, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY 1), v(q) AS (VALUES {", ".join(f"('{q}')" for q in _COMPARED)}), q AS (SELECT q, 1 AS side, regexp_extract(q, '{_BETWEEN}', 1) AS s FROM v UNION ALL SELECT q, 2, regexp_extract(q, '{_BETWEEN}', 2) FROM v),
+ h AS (SELECT q, side, name, n, lo, hi, name = s AS equal, count(*) OVER (PARTITION BY q, side) AS c FROM q JOIN n ON s <> '' AND (contains(name, s) OR (length(s) >= 2 AND contains(s, name)))),
+ r AS (SELECT q, side, name, n, lo, hi FROM h WHERE equal OR (c = 1))
+SELECT v.q AS question, 'name: ' || a.name || ' | ' || b.name || chr(10) || 'records: ' || a.n || ' | ' || b.n || chr(10) || 'sizes: ' || a.lo || '-' || a.hi || ' | ' || b.lo || '-' || b.hi AS answer
+FROM v LEFT JOIN r a ON a.q = v.q AND a.side = 1 LEFT JOIN r b ON b.q = v.q AND b.side = 2 AND a.name <> b.name""")
+def compare_answer(read, questions=_COMPARED):
+    """A question cut at its first and, vs or versus; both sides must resolve, exactly or as the only name contained either way, to different records."""
+    names = read("part").groupBy(F.concat_ws(" - ", "p_type", "p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
+
+    def sides(q: str):
+        found = re.match(_BETWEEN, q)
+        return [(q, i, s) for i, s in enumerate(found.groups())] if found else [(q, 0, "")]
+
+    asked = F.array(*(F.struct(F.lit(q).alias("question"), F.lit(i).alias("side"), F.lit(s).alias("s")) for question in questions for q, i, s in sides(question)))
+    name, s = F.col("name"), F.col("s")
+    t = names.select("*", F.explode(asked).alias("a")).select("name", "n", "lo", "hi", "a.*")
+    hit = (s != "") & (F.contains(name, s) | ((F.length(s) >= 2) & F.contains(s, name)))
+    whole = F.struct("name", F.col("n").cast("string").alias("n"), F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("sizes"))
+    one = t.groupBy("question", "side").agg(F.count_if(hit).alias("c"), F.min(F.when(hit & (name == s), whole)).alias("equal"), F.min(F.when(hit, whole)).alias("first"))
+    r = one.groupBy("question").pivot("side", [0, 1]).agg(F.first(F.coalesce("equal", F.when(F.col("c") == 1, F.col("first")))))
+    line = lambda label, k: F.concat(F.lit(label), F.col(f"`0`.{k}"), F.lit(" | "), F.col(f"`1`.{k}"))
+    both = F.concat(line("name: ", "name"), F.lit("\n"), line("records: ", "n"), F.lit("\n"), line("sizes: ", "sizes"))
+    return r.select("question", F.when(F.col("`0`.name") != F.col("`1`.name"), both).alias("answer"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ def poll(events: DataFrame, emitted: str, checkpoint: str, send: Callable[[DataF
 
         done = old("ids", "number int, event_id long").filter(F.col("number") < number).select("event_id")
         waiting = rows.unionByName(old(f"pending/number={number - 1}", EVENT)).dropDuplicates(["event_id"]).join(done, "event_id", "left_anti").select(*rows.columns)
+        waiting.write.mode("overwrite").parquet(f"{emitted}/waiting/number={number}")
+        waiting = spark.read.schema(EVENT).parquet(f"{emitted}/waiting/number={number}")
         waiting.orderBy("ts", "event_id").limit(most).write.mode("overwrite").parquet(f"{emitted}/batch/number={number}")
         now = spark.read.schema(EVENT).parquet(f"{emitted}/batch/number={number}")
         waiting.join(now.select("event_id"), "event_id", "left_anti").select(*rows.columns).write.mode("overwrite").parquet(f"{emitted}/pending/number={number}")
@@ -56,21 +59,24 @@ def limiter(events: DataFrame, cooldown: float, most: int, window: float) -> Dat
     def admit(key, batches: Iterator, state):
         import pandas as pd
 
-        times = list(state.get[0]) if state.exists else []
+        last, times = state.get if state.exists else (float("-inf"), ())
+        times = deque(times)
         for rows in batches:
             rows = rows.sort_values(["t", "event_id"])
             ok = []
             for t in rows["t"]:
-                times = [x for x in times if t - x < max(window, cooldown)]
-                good = (not times or t - times[-1] >= cooldown) and sum(t - x < window for x in times) < most
+                while times and t - times[0] >= window:
+                    times.popleft()
+                good = t - last >= cooldown and len(times) < most
                 if good:
                     times.append(t)
+                    last = t
                 ok.append(good)
             yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "admitted": ok})
-        state.update((times,))
+        state.update((last, list(times)))
 
     timed = events.select("event_id", "user_id", (F.unix_micros("ts") / 1e6).alias("t"))
-    return timed.groupBy("user_id").applyInPandasWithState(admit, "event_id long, user_id long, admitted boolean", "times array<double>", "append", "NoTimeout")
+    return timed.groupBy("user_id").applyInPandasWithState(admit, "event_id long, user_id long, admitted boolean", "last double, times array<double>", "append", "NoTimeout")
 
 
 def sessions(events: DataFrame, idle: str = "12 hours", delay: str = "1 hour") -> DataFrame:

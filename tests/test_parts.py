@@ -95,3 +95,15 @@ def test_parse(spark):
         parse.segments_text(F.array(F.struct(F.lit("text").alias("type"), F.lit("hi ").alias("data")), F.struct(F.lit("at").alias("type"), F.lit("7").alias("data")))).alias("t"),
     ).first()
     assert one.k == [3, 10, 5] and one.b == "Role" and one.m == {"x": 2.0, "y": 1.0} and one.t == "hi [at:7]"
+
+
+def test_stored_terms_rank_as_the_scan_does(spark, tmp_path):
+    from tessera.plans import ranking
+    from tessera.sources import index
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index.write_terms(docs, str(tmp_path / "i"))
+    got = index.search_terms(spark, str(tmp_path / "i"), ranking.QUERY, 20)
+    want = ranking.top(ranking.bm25(docs, ranking.QUERY), "doc_id", 20).filter("score > 0")
+    assert [(r.doc_id, round(r.score, 9)) for r in got.collect()] == [(r.doc_id, round(r.score, 9)) for r in want.collect()]
+    assert index.search_terms(spark, str(tmp_path / "i"), [], 5).count() == 0 and index.search_terms(spark, str(tmp_path / "i"), ["zzzz"], 5).count() == 0

@@ -42,3 +42,12 @@ def test_formats(spark):
     video = lambda *mb: F.array(*(F.struct(F.lit(f"v{m}").alias("url"), F.lit(m).alias("mb")) for m in mb))
     got = one.select(formats.segments(F.lit(" "), F.array(F.lit("i")), video(1, 9), 5).alias("s")).first().s
     assert [tuple(s) for s in got] == [("image", "i"), ("video", "v1"), ("text", "video: v9")]
+
+
+def test_cleaning(spark):
+    from tessera.functions import cleaning
+
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "file:a.png" + " | b" * 100_000 + "\nReal words here\n12.\nx.png\nab"), (4, "== T ==\n* a\n'''b'''[[c|d]]<!-- x\n -->")], "id int, t string")
+    got = {r.id: (r.a, r.b) for r in d.select("id", cleaning.clean_page(F.col("t")).alias("a"), cleaning.wiki_to_markdown(F.col("t")).alias("b")).filter("id <> 3").collect()}
+    assert got == {1: (None, None), 2: ("", ""), 4: ("", "1. T\n- a\n**b**d")}  # by the order of the rewrites a heading of the first level ends as a list
+    assert [r.a for r in d.filter("id = 3").select(cleaning.clean_page(F.col("t")).alias("a")).collect()] == ["Real words here\nab"]
