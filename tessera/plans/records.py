@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cleaning, formats, markup
 from tessera.functions import text as T
-from tessera.plans.catalog import query
+from tessera.plans.catalog import ORACLE_SQL, query
 from tessera.plans.texts import HTML_TEXT_SQL
 
 _PART = r"(?s)<(h[1-6]|p)(?:\s[^>]*)?>(.*?)</(?:h[1-6]|p)>"
@@ -298,3 +298,52 @@ def compare_answer(read, questions=_COMPARED):
     line = lambda label, k: F.concat(F.lit(label), F.col(f"`0`.{k}"), F.lit(" | "), F.col(f"`1`.{k}"))
     both = F.concat(line("name: ", "name"), F.lit("\n"), line("records: ", "n"), F.lit("\n"), line("sizes: ", "sizes"))
     return r.select("question", F.when(F.col("`0`.name") != F.col("`1`.name"), both).alias("answer"))
+
+
+@query("""WITH e AS (SELECT *, count(*) FILTER (WHERE event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS thread FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, thread ORDER BY ts, event_id) AS i FROM e WHERE thread > 0),
+ t AS (SELECT user_id, thread, min(event_id) FILTER (WHERE i = 1) AS post, count(*) - 1 AS n_replies, string_agg(CASE WHEN i = 1 THEN 'post ' ELSE '> ' || event_type || ' ' END || event_id, chr(10) ORDER BY i) FILTER (WHERE i <= 4) AS body FROM r GROUP BY 1, 2)
+SELECT user_id, post, n_replies, body FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY thread DESC) AS n FROM t) WHERE n <= 2""")
+def feed_latest(read, newest: int = 2, replies: int = 3):
+    """Of each account the newest posts, each with its text and the first few of what follows up to the next post. Threads are totalled before they are ranked."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read("events").select("user_id", "ts", "event_id", "event_type").withColumn("thread", F.count_if(F.col("event_type") == "view").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter("thread > 0")
+    r = e.withColumn("i", F.row_number().over(Window.partitionBy("user_id", "thread").orderBy("ts", "event_id")))
+    line = F.concat(F.when(F.col("i") == 1, "post ").otherwise(F.concat(F.lit("> "), "event_type", F.lit(" "))), F.col("event_id").cast("string"))
+    t = r.groupBy("user_id", "thread").agg(F.min(F.when(F.col("i") == 1, F.col("event_id"))).alias("post"), (F.count("*") - 1).alias("n_replies"), F.array_sort(F.collect_list(F.when(F.col("i") <= replies + 1, F.struct("i", line.alias("line"))))).alias("s"))
+    last = Window.partitionBy("user_id").orderBy(F.desc("thread"))
+    return t.withColumn("n", F.row_number().over(last)).filter(F.col("n") <= newest).select("user_id", "post", "n_replies", F.array_join("s.line", "\n").alias("body"))
+
+
+#: Messages for the whole cascade: those of direct_answer and compare_answer, a switch, a number, misspelt names.
+MESSAGES = tuple(dict.fromkeys((*QUESTIONS, *_COMPARED, "become guide", "2", "pull 10", "pull", "ECONOMY - red wigdet", "ECONOMY - red rign", "how do I win")))
+_MV = "(VALUES " + ", ".join(f"('{q}')" for q in MESSAGES) + ")"
+
+
+@query(f"""WITH m(q) AS {_MV}, d AS ({ORACLE_SQL["direct_answer"].replace(_Q, _MV + " q(q)")}), c AS ({ORACLE_SQL["compare_answer"].replace("(VALUES " + ", ".join(f"('{q}')" for q in _COMPARED) + ")", _MV)}),
+ n AS (SELECT DISTINCT p_type || ' - ' || p_name AS name FROM part), s AS (SELECT q, name, 100 * (1 - levenshtein(name, q)::DOUBLE / greatest(length(name), length(q))) AS score FROM m, n),
+ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, name) AS i FROM s), f AS (SELECT q, max(CASE WHEN i = 1 THEN name END) AS name, max(CASE WHEN i = 1 THEN score END) AS top, max(CASE WHEN i = 2 THEN score END) AS next FROM k WHERE i <= 2 GROUP BY q)
+SELECT m.q AS message, CASE WHEN regexp_matches(m.q, '^become [a-z]+$') THEN 'switch' WHEN regexp_matches(m.q, '^[0-9]+$') THEN 'choice' WHEN regexp_matches(m.q, '^pull( [0-9]+)?$') THEN 'draw' WHEN d.kind <> 'none' THEN d.kind WHEN c.answer IS NOT NULL THEN 'compared' WHEN f.top >= 85 AND (f.next IS NULL OR f.top - f.next >= 10) THEN 'fuzzy' ELSE 'search' END AS step,
+ CASE WHEN regexp_matches(m.q, '^become [a-z]+$') THEN m.q[8:] WHEN regexp_matches(m.q, '^[0-9]+$') THEN m.q WHEN regexp_matches(m.q, '^pull( [0-9]+)?$') THEN coalesce(nullif(m.q[6:], ''), '1') WHEN d.kind <> 'none' THEN d.answer WHEN c.answer IS NOT NULL THEN c.answer WHEN f.top >= 85 AND (f.next IS NULL OR f.top - f.next >= 10) THEN f.name END AS answer
+FROM m LEFT JOIN d ON d.question = m.q LEFT JOIN c ON c.question = m.q LEFT JOIN f ON f.q = m.q""")
+def answer_cascade(read, messages=MESSAGES):
+    """The first step that has an answer: a switch of the speaker, a number that chooses, draws, a direct answer or choices, two records compared, a fuzzy name (85 or more, and 10 ahead of the next), else search."""
+    names = read("part").select(F.concat_ws(" - ", "p_type", "p_name").alias("name")).distinct()
+    t = names.select("name", F.explode(F.array(*map(F.lit, messages))).alias("message"))
+    t = t.withColumn("score", 100 * (1 - F.levenshtein("name", "message") / F.greatest(F.length("name"), F.length("message"))))
+    k = t.withColumn("i", F.row_number().over(Window.partitionBy("message").orderBy(F.desc("score"), "name"))).filter("i <= 2")
+    of = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    f = k.groupBy("message").agg(of(1, "name").alias("fuzzy"), of(1, "score").alias("top"), of(2, "score").alias("next"))
+    d = direct_answer(read, messages).select(F.col("question").alias("message"), "kind", F.col("answer").alias("direct"))
+    c = compare_answer(read, messages).select(F.col("question").alias("message"), F.col("answer").alias("compared"))
+    j = f.join(d, "message", "left").join(c, "message", "left")  # a row for each message
+    m = F.col("message")
+    sure = (F.col("top") >= 85) & (F.col("next").isNull() | (F.col("top") - F.col("next") >= 10))
+    steps = (
+        (m.rlike("^become [a-z]+$"), F.lit("switch"), F.substring(m, 8, 1000)), (m.rlike("^[0-9]+$"), F.lit("choice"), m), (m.rlike("^pull( [0-9]+)?$"), F.lit("draw"), F.coalesce(F.nullif(F.substring(m, 6, 1000), F.lit("")), F.lit("1"))),
+        (F.col("kind") != "none", F.col("kind"), F.col("direct")), (F.col("compared").isNotNull(), F.lit("compared"), F.col("compared")), (sure, F.lit("fuzzy"), F.col("fuzzy")),
+    )
+    found = F.struct(F.lit("search").alias("step"), F.lit(None).cast("string").alias("answer"))
+    for holds, step, answer in reversed(steps):
+        found = F.when(holds, F.struct(step.alias("step"), answer.alias("answer"))).otherwise(found)
+    return j.select("message", found.alias("f")).select("message", "f.*")
