@@ -20,17 +20,19 @@ _PART = r"(?s)<(h[1-6]|p)(?:\s[^>]*)?>(.*?)</(?:h[1-6]|p)>"
 SELECT page_id, CAST(section AS INTEGER) AS section, max(CASE WHEN tag <> 'p' THEN CAST(tag[2:] AS INTEGER) END) AS level, max(CASE WHEN tag <> 'p' THEN body END) AS heading, count(*) FILTER (WHERE tag = 'p') AS n_paragraphs,
  md5(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE tag = 'p' AND body <> ''), '')) AS body_md5 FROM c GROUP BY page_id, section""")
 def page_sections(read):
-    """A page as rows: a section for each heading with level, text and the paragraphs up to the next; section 0 is what stands before the first."""
+    """A page as rows: a section for each heading with level, text and the paragraphs up to the next; section 0 is what stands before the first. One narrow pass: a page is cut inside its row."""
     h, clean = F.col("html"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"[ \t\n\r]+", " "))
-    each = F.arrays_zip(F.regexp_extract_all(h, F.lit(_PART), F.lit(1)).alias("tag"), F.regexp_extract_all(h, F.lit(_PART), F.lit(2)).alias("body"))
-    m = read("pages").select("page_id", F.posexplode(each).alias("i", "m")).select("page_id", "i", "m.tag", clean(F.col("m.body")).alias("body"))
-    head = F.col("tag") != "p"
-    c = m.withColumn("section", F.count_if(head).over(Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    g = c.groupBy("page_id", "section").agg(
-        F.max(F.when(head, F.substring("tag", 2, 1).cast("int"))).alias("level"), F.max(F.when(head, F.col("body"))).alias("heading"), F.count_if(~head).alias("n_paragraphs"),
-        F.array_sort(F.collect_list(F.when(~head & (F.col("body") != ""), F.struct("i", "body")))).alias("s"),
+    found = lambda group: F.regexp_extract_all(h, F.lit(_PART), F.lit(group))
+    p = read("pages").select("page_id", F.zip_with(found(1), found(2), lambda tag, body: F.struct(tag.alias("tag"), clean(body).alias("body"))).alias("p")).filter(F.size("p") > 0)
+    heads = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.element_at("p", i)["tag"] != "p")
+    p = p.select("page_id", "p", F.concat(F.array(F.lit(1)), heads).alias("at"), F.concat(heads, F.array(F.size("p") + 1)).alias("to"))
+    p = p.select("page_id", F.posexplode(F.zip_with("at", "to", lambda a, b: F.slice("p", a, b - a))).alias("section", "s")).filter(F.size("s") > 0)
+    text = F.filter("s", lambda x: x["tag"] == "p")
+    head = F.when(F.col("section") > 0, F.col("s")[0])
+    return p.select(
+        "page_id", "section", F.substring(head["tag"], 2, 1).cast("int").alias("level"), head["body"].alias("heading"), F.size(text).cast("long").alias("n_paragraphs"),
+        F.md5(F.array_join(F.filter(F.transform(text, lambda x: x["body"]), lambda b: b != ""), "\n")).alias("body_md5"),
     )
-    return g.select("page_id", "section", "level", "heading", "n_paragraphs", F.md5(F.array_join("s.body", "\n")).alias("body_md5"))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said FROM conversations),
