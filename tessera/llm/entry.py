@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, fingerprint, licences, neardup, packing, sharding, suffixdedup, toxicity, urlfilter
+from tessera.llm import centroids, chat, decontaminate, fingerprint, licences, mixing, neardup, packing, prefixtrie, sharding, suffixdedup, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -128,5 +128,82 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_paragraphs", "n_candidates", F.array_join("licences", ",").alias("licences"), "licence", "probability", "findings")
 
 
-QUERIES = {"op4_license_scan": op4_license_scan, "op2_url_filter": op2_url_filter, "op7_chat_format": op7_chat_format, "op10_toxicity": op10_toxicity, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
-ORACLE_SQL = {"op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("expected_copies")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+ s AS (SELECT source, sum(size) AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
+ w AS (SELECT source, ss, 3 * ss AS cap, [5, 2, 1][1 + turn % 3] AS weight FROM s),
+ a AS (SELECT *, (CAST(sum(ss) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER o, 0) AS DOUBLE)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS lev
+   FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, cap, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ aim AS (SELECT source, ss, least(CAST(cap AS DOUBLE), max(lev) OVER () * weight) AS target FROM a),
+ k AS (SELECT source, length(bin(size)) AS class, sum(size) AS cs FROM d WHERE size > 0 GROUP BY ALL),
+ c AS (SELECT k.source, class, ss, target, cs, 3 * cs AS cap, class * cs AS weight FROM k JOIN aim ON k.source IS NOT DISTINCT FROM aim.source),
+ b AS (SELECT *, (target - CAST(coalesce(sum(cap) OVER o, 0) AS DOUBLE)) / CAST(sum(weight) OVER (PARTITION BY source) - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS lev
+   FROM c WINDOW o AS (PARTITION BY source ORDER BY CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE), cap, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ e AS (SELECT *, least(3.0::DOUBLE, max(lev) OVER (PARTITION BY source) * class) AS e FROM b),
+ plan AS (SELECT source, class, floor(e) AS whole, e - floor(e) AS p, greatest(0, floor(target + 0.5) - sum(floor(e) * cs) OVER (PARTITION BY source)) AS need FROM e),
+ r AS (SELECT d.*, whole, p, need, (CAST(('0x' || substr(sha256('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u
+   FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source AND length(bin(d.size)) = class WHERE size > 0),
+ z AS (SELECT *, least(floor(u * (1 - p) / (u * (1 - p) + (1 - u) * p) * 281474976710656.0::DOUBLE), 281474976710655) AS z FROM r),
+ t AS (SELECT doc_id, source, size, whole * size + CASE WHEN p > 0 THEN greatest(0, least(size, need - sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p = 0, z ROWS UNBOUNDED PRECEDING) + size)) ELSE 0 END AS taken FROM z
+   UNION ALL SELECT doc_id, source, size, 0 FROM d WHERE size = 0)
+SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target, CAST(taken AS BIGINT) AS taken FROM t JOIN aim ON t.source IS NOT DISTINCT FROM aim.source
+"""
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2).drop("centroid")
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round is a pair of tables: the nearest centroid of each vector, and the centroids after it."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (SELECT r, min(struct_pack(dist := dist, k := k)) AS best FROM (SELECT r, k, sum((v.x - c.x) * (v.x - c.x)) AS dist FROM comp v JOIN cent{i} c USING (dim) GROUP BY r, k) GROUP BY r)""")
+        steps.append(f"""cent{i + 1} AS MATERIALIZED (SELECT c.k, c.dim, coalesce(m.x, c.x) AS x FROM cent{i} c LEFT JOIN (SELECT best.k AS k, dim, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM near{i} JOIN comp USING (r) GROUP BY ALL) m ON m.k = c.k AND m.dim = c.dim)""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ comp AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS dim, unnest(x) AS x FROM kept),
+ cent0 AS MATERIALIZED (SELECT k, unnest(range(1, 65)) AS dim, unnest(x) AS x FROM (SELECT x, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k FROM kept) WHERE k < {k}),
+ {", ".join(steps[:-1])},
+ hash AS (SELECT k, sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY dim)) AS h FROM cent{rounds} GROUP BY k)
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, CAST(best.dist AS BIGINT) AS distance, CAST(sum(best.dist) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.dist) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN hash ON hash.k = best.k
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_read(spark, sf_dir, "conversations")).drop("position", "subtree_end")
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string by its polynomial, a bit at a time."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"
+
+
+OP12_SQL = rf"""
+WITH t AS (SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ cv AS (SELECT c, c - c % 20 AS b, {_crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+ rb AS (SELECT cv.c, 0 AS own, i, t, w FROM cv JOIN t ON t.c = cv.b AND t.i <= h UNION ALL SELECT cv.c, 1, i, t, w FROM cv JOIN t ON t.c = cv.c AND t.i > h),
+ rr AS (SELECT c, w, string_agg(left(t, 32), '') OVER (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING) AS path FROM rb UNION ALL SELECT c, 0, '' FROM cv),
+ last AS (SELECT c, max(length(path)) AS n FROM rr GROUP BY c),
+ node AS (SELECT path, length(path) // 32 AS depth, min(c) AS conv_id, count(*) AS n_convs, max(w) AS w FROM rr GROUP BY path),
+ ends AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e FROM rr JOIN last USING (c) WHERE length(path) = n GROUP BY path),
+ kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+ up AS (SELECT left(path, a * 32) AS path, k.n_children IS NULL AS leaf, (n_convs - 1) * w AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM node) LEFT JOIN kids k USING (path)),
+ low AS (SELECT path, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(low.saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM node n LEFT JOIN node p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 32) LEFT JOIN kids k ON k.path = n.path JOIN low ON low.path = n.path LEFT JOIN ends ON ends.path = n.path
+"""
+
+
+QUERIES = {"op12_prefix_trie": op12_prefix_trie, "op11_centroids": op11_centroids, "op13_mixing": op13_mixing, "op4_license_scan": op4_license_scan, "op2_url_filter": op2_url_filter, "op7_chat_format": op7_chat_format, "op10_toxicity": op10_toxicity, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op1_sharding": op1_sharding, "op3_decontamination": op3_decontamination, "op9_near_dedup": op9_near_dedup}
+ORACLE_SQL = {"op12_prefix_trie": OP12_SQL, "op11_centroids": OP11_SQL, "op13_mixing": OP13_SQL, "op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op9_near_dedup": OP9_SQL}
