@@ -4,7 +4,7 @@ The targets of the sources, and inside a source the expected copies of each leng
 at a cap (the excess goes on to the others). A document with e expected copies gets floor(e) of them for certain; the
 fraction p is its chance of one more. For these the documents of a source are ordered by their random odds over their
 inclusion odds, u / (1 - u) * (1 - p) / p, and taken in this order until the words that the source still needs are full;
-the document at that border is taken in part. The border is found by radix selection: counts of words by 16 bits of the
+the document at that border is taken in part. The border is found by radix selection: counts of words by 12 bits of the
 order at a time, so that no source has to be sorted by one task.
 """
 
@@ -63,16 +63,16 @@ def _copies(classes: DataFrame, most_copies: int) -> DataFrame:
 
 
 def _digit(level: int) -> Column:
-    """16 bits of the order (48 bits of the Pareto rank, then 48 of chance), from the highest, as hex digits."""
-    name, at = ("rank", level) if level < 3 else ("chance", level - 3)
-    return F.lpad(F.hex(F.shiftright(name, 48 - 16 * (at + 1)).bitwiseAND(0xFFFF)), 4, "0")
+    """12 bits of the order (48 bits of the Pareto rank, then 48 of chance), from the highest, as hex digits."""
+    name, at = ("rank", level) if level < 4 else ("chance", level - 4)
+    return F.lpad(F.hex(F.shiftright(name, 48 - 12 * (at + 1)).bitwiseAND(0xFFF)), 3, "0")
 
 
 def _border(rows: DataFrame, cell_rows: int) -> tuple[DataFrame, int]:
     """Of each source the leading digits of the order at which its need is full, and the words before them.
 
     Every level counts the words of those rows only that share the digits found so far, until no source has more than
-    cell_rows rows there. (source, digits, before) and the number of levels.
+    cell_rows rows there; a level has 4,096 counts a source at most. (source, digits, before) and the number of levels.
     """
     rows, levels = rows.filter("p > 0"), 0
     here = rows.withColumns({"digits": F.lit(""), "before": F.lit(0).cast("long")})
@@ -82,7 +82,7 @@ def _border(rows: DataFrame, cell_rows: int) -> tuple[DataFrame, int]:
         found = cells.withColumn("until", until).filter(F.col("until") - F.col("words") < F.col("need")).groupBy("source", "digits", "need").agg(F.max(F.struct("code", "until", "words", "n")).alias("c"))
         state = materialize(found.select("source", F.concat("digits", "c.code").alias("digits"), (F.col("c.until") - F.col("c.words")).alias("before"), F.col("c.n").alias("n")))
         levels += 1
-        if levels == 6 or (state.agg(F.max("n")).first()[0] or 0) <= cell_rows:
+        if levels == 8 or (state.agg(F.max("n")).first()[0] or 0) <= cell_rows:
             return state.drop("n"), levels
         here = rows.withColumn("digits", _leading(levels)).join(state.drop("n"), ["source", "digits"])
 
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_copies: int
     empty table gives no rows, a table without words targets of 0. Input columns named like an added one are replaced;
     keep names the columns to carry (all, if not given). The words that a source takes are its target, rounded; no
     document is taken more than most_copies times. Rows are written once; after that only counts by length class and by
-    16 bits of the order are shuffled, and the rows at the border of a source.
+    12 bits of the order are shuffled, and the rows at the border of a source.
     """
     own = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     size = words(F.col("text").cast("string"))
