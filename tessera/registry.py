@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import chunked, dialogue, extraction, feeds, layouts, markup_rows, ranking, records, relational, retrieval, routing, texts
+from tessera.plans import chunked, dialogue, extraction, feeds, layouts, lookups, markup_rows, ranking, records, relational, retrieval, routing, stored, streamed, texts
 from tessera.plans.catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chunked", "dialogue", "extraction", "feeds", "layouts", "markup_rows", "ranking", "records", "relational", "retrieval", "routing", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chunked", "dialogue", "extraction", "feeds", "layouts", "lookups", "markup_rows", "ranking", "records", "relational", "retrieval", "routing", "stored", "streamed", "texts"]
