@@ -93,14 +93,19 @@ class Admission(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(rows).sort_values(["t", "event_id"], kind="stable")  # of one user in one micro-batch
         s, timer = self._load()
-        out = []
+        out, pending = [], bool(timer)
         for event, t, refused, violates in zip(every["event_id"], every["t"], every["refused"], every["violates"], strict=True):
             event = int(event)
             if self.seen.containsKey((event,)):
                 out.append((event, key[0], t, "repeat", None))
                 continue
             self.seen.updateValue((event,), (float(t),))
+            session, end = s.session, s.active + self.rules.idle
             verdict = s.judge(float(t), bool(refused), bool(violates), self.rules)
+            if s.session != session:
+                if pending:  # a new session shows the end of the one before, ahead of its timer
+                    out.append((None, key[0], end, "expired", session))
+                pending = True
             out.append((event, key[0], t, verdict, s.session if verdict in ("admitted", "withheld") else None))
         end = int((s.active + self.rules.idle) * 1000) if s.session else 0
         if end and end != timer:
