@@ -18,7 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_benchmark(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    items = F.array_sort(F.array_distinct(F.transform(F.flatten("groups"), lambda m: m["item_id"])))
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -189,7 +189,8 @@ def _crc32_sql(text: str) -> str:
 
 
 OP12_SQL = rf"""
-WITH t AS (SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS w,
+WITH t AS (SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS w,
    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
  cv AS (SELECT c, c - c % 20 AS b, {_crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
  rb AS (SELECT cv.c, 0 AS own, i, t, w FROM cv JOIN t ON t.c = cv.b AND t.i <= h UNION ALL SELECT cv.c, 1, i, t, w FROM cv JOIN t ON t.c = cv.c AND t.i > h),

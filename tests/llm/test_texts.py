@@ -114,8 +114,8 @@ def test_decontamination(spark, docs, empty, block_bytes, pass_blocks):
                         hit |= set(range(p, p + len(y)))
                         ids.add(str(item))
         want.append((str(doc), len(w), len(hit), sorted(ids)))
-    assert sorted((str(r.doc_id), r.n_words, r.n_hit, sorted({m.item_id for m in r.matches})) for r in got) == sorted(want)
-    longest = max(m.length for r in got for m in r.matches if m.item_id == "1" and r.doc_id == 1)
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, sorted({m.item_id for g in r.groups for m in g})) for r in got) == sorted(want)
+    longest = max(m.length for r in got for m in r.matches if "1" in {x.item_id for x in r.groups[m.group]} and r.doc_id == 1)
     assert longest == len(ascii_words(items[0][1], pattern)) - 1  # its first word is cut
     clean = decontaminate.drop_contaminated(docs, bench, 10)
     assert clean.columns == docs.columns and clean.count() == sum(not h for _, _, h, _ in want)
@@ -123,6 +123,58 @@ def test_decontamination(spark, docs, empty, block_bytes, pass_blocks):
     assert not decontaminate.scan_benchmark(docs, bench.limit(0)).filter("n_hit > 0").count()
 
 
+def plain_matches(text, items, width=10):
+    """(item, item_pos, doc_pos, length) of every longest match: windows one after the other on a diagonal, joined."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    w, out = ascii_words(text, pattern), set()
+    for item, t in items:
+        x = ascii_words(t, pattern)
+        n = min(len(x), width)
+        same = {(j, p) for j in range(len(x) - n + 1 if x else 0) for p in range(len(w) - n + 1) if w[p : p + n] == x[j : j + n]}
+        for j, p in same:
+            if (j - 1, p - 1) not in same or n < width:
+                k = 0
+                while n == width and (j + k + 1, p + k + 1) in same:
+                    k += 1
+                out.add((str(item), j, p, n + k))
+    return out
+
+
+def test_matches_are_the_longest_of_each_item(spark):
+    import random
+
+    rng = random.Random(4)
+    some = lambda n, k=3: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
+    head = some(14, 8)
+    items = [(i, f"{head} {some(rng.randrange(12), 8)}") for i in range(12)] + [(20 + i, some(rng.randrange(1, 16), 2)) for i in range(12)] + [(50, head), (51, head), (52, head[2:])]
+    texts = [some(60, 2) + " " + head + " " + items[3][1] + " x " + head + " " + some(20, 8) for _ in range(6)] + [" ".join(t for _, t in items), "a " * 40]
+    bench, table = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for blocks in (1 << 20, 60):
+        for r in decontaminate.scan_benchmark(table, bench, block_bytes=blocks).collect():
+            got = [(x.item_id, x.item_pos, m.doc_pos, m.length) for m in r.matches for x in r.groups[m.group]]
+            assert len(got) == len(set(got)) and set(got) == plain_matches(texts[r.doc_id], items)
+
+
+def test_shared_beginnings_cost_no_pairs():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    head = " ".join(f"head{i}" for i in range(11))
+    block = decontaminate.Block(list(range(2000)), [f"{head} tail{i} end{i}" for i in range(2000)], 10)
+
+    class Held:
+        value = block
+
+    tracemalloc.start()
+    start = time.time()
+    ((n_words, n_hit, matches, groups),) = decontaminate._scan(pa.array([f"{head} x " * 2000]), [Held], 2 << 20)
+    assert n_words == 24_000 and n_hit == 22_000 and len(matches) == 2000 and len(groups) == 1 and len(groups[0]) == 2000
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and time.time() - start < 30
+    tracemalloc.stop()
+
+
 def test_suffix_array_order():
     h = np.random.default_rng(0).integers(1, 6, 400).astype(np.uint64) << np.uint64(48)
     doc = np.sort(np.random.default_rng(1).integers(0, 5, 400))
