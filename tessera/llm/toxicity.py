@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_fe
     """Fits the chain on at most most_labelled labelled rows, those with the least hash of their id.
 
     Its categories are the columns of labels besides doc_id, in their order, and target last: 0 or 1 each (a null in
-    another category than target counts as 0, of several rows of a doc_id the largest counts). Only the numbers of the
+    another category than target counts as 0, of several rows of a doc_id the largest counts; of its texts the one with the
+    least hash). Only the numbers of the
     selected features, most_features at most, reach the driver; a feature is in three texts at least. Labels without a
     text or with a null target are skipped; without any toxic label nothing is toxic.
     """
@@ -119,8 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_fe
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(f"l{i}") for i, c in enumerate(names)))
     chosen = chosen.dropna(subset=["doc_id", f"l{len(names) - 1}"]).groupBy("doc_id").agg(*(F.max(F.coalesce(f"l{i}", F.lit(0))).alias(f"l{i}") for i in range(len(names))))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropna()
     columns = [f"l{i}" for i in range(len(names))]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropna()
+    texts = texts.groupBy("doc_id", *columns).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", *columns, "t.text")
     last = columns[-1]
     fields = f"doc_id long, {', '.join(f'{k} int' for k in columns)}, features array"
     sample = materialize(texts.select("doc_id", *columns, "text").mapInArrow(_sample_features, f"{fields}<long>"))

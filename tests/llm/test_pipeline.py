@@ -56,6 +56,19 @@ def test_toxicity_held_out(spark, made):
     assert not toxicity.judge(docs, none).filter("toxic").count()
 
 
+def test_a_repeated_labelled_id_is_one_example(spark, made):
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    rows = rows.union(spark.createDataFrame([(i, f"word{i % 5} and more") for i in range(2, 40)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen, fit = [], toxicity._fit
+    toxicity._fit = lambda *a: seen.append(len(a[2])) or fit(*a)
+    try:
+        toxicity.train(rows, labels)
+    finally:
+        toxicity._fit = fit
+    assert max(seen) == 39
+
+
 def test_toxicity_recall_on_rows_it_was_not_trained_on(spark):
     """Trained on the even doc_ids of the labels, judged on the odd ones."""
     import os
