@@ -133,18 +133,19 @@ def _across(batches):
         yield _table([_compared(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "next_text", "next_mark")), strict=True)])
 
 
-def fingerprints(docs: DataFrame, part_rows: int = 4000) -> DataFrame:
+def fingerprints(docs: DataFrame, part_rows: int = 4000, most_parts: int = 20_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
     The next document has the next smaller doc_id; rows with the same one follow in the order of a hash of their texts,
     rows with a null one come last, and after the last comes the first (so a single row is its own next). A null text is
     empty; two empty texts are alike (1.0), an empty one and another are not. An empty table gives no rows; other
-    columns are ignored. Texts are shuffled once, into as many ranges as the table has part_rows rows; rows of the same
+    columns are ignored. Texts are shuffled once, into as many ranges as the table has part_rows rows, most_parts at most
+    (a range streams, so larger ones cost time alone); rows of the same
     doc_id and text part as others do. Of each range the first and the last row are written beside the report, and the
     last meets the first of the next range in a join of numbers.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(1, math.ceil(docs.count() / part_rows))
+    parts = min(most_parts, max(1, math.ceil(docs.count() / part_rows)))
     order = [F.desc_nulls_last("doc_id"), F.col("h"), F.col("number")]
     keyed = rows.withColumns({"h": F.xxhash64("text"), "number": F.monotonically_increasing_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     marked = with_fingerprints(keyed.select(F.spark_partition_id().alias("part"), "doc_id", "text"))

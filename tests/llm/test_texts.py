@@ -388,6 +388,7 @@ def test_fingerprints_of_a_table(docs, empty):
     got = out.collect()
     assert len(got) == len(TEXTS) and all(bytes(r.fingerprint) == fingerprint.order_minhash(r.text or "").astype(">u4").tobytes() for r in got)
     report = {(r.doc_id, r.fingerprint) for r in fingerprint.fingerprints(docs, 3).collect()}
+    assert report == {(r.doc_id, r.fingerprint) for r in fingerprint.fingerprints(docs, 3, most_parts=2).collect()}
     assert report == {(r.doc_id, bytes(r.fingerprint).hex()) for r in got} and fingerprint.with_fingerprints(empty.drop("fingerprint")).count() == 0
 
 
