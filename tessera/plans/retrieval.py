@@ -13,6 +13,7 @@ from tessera.functions import text as T
 from tessera.functions.rounding import micro
 from tessera.plans.catalog import query
 from tessera.plans.ranking import _BM, QUERY, bm25, top
+from tessera.sources.staged import staged
 
 #: Weights of keyword search by the number of its hits that are left, and else; bonuses; penalty. Fixed values.
 WEIGHTS, ELSE_WEIGHT = ((5, 0.05), (10, 0.15), (20, 0.30), (40, 0.50)), 0.6
@@ -32,11 +33,12 @@ def candidates(docs, vectors, most: int):
     Similarity is 1 - (1 - cosine). Pairs of query and document meet in blocks and leave most rows a query and task.
     """
     kept = docs.filter(F.col("lang") == PAGE_TYPE).select(F.col("doc_id").alias("id"), "source", "lang")
-    v = vectors.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = v.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.coalesce(F.try_divide(dot("v", "q"), F.nullif(F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")), F.lit(0.0))), F.lit(0.0))
-    near = v.join(kept, "id").crossJoin(q).select("query_id", "id", cosine.alias("score"))
+    v = vectors.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = v.withColumn("length", F.nullif(F.sqrt(dot("v", "v")), F.lit(0.0)))  # once a row, not a pair
+    q = v.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"))
+    cosine = F.coalesce(F.try_divide(dot("v", "q"), F.col("length") * F.col("q_length")), F.lit(0.0))
+    near = v.join(kept, "id").crossJoin(q).select("query_id", "id", "source", "lang", cosine.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
@@ -44,25 +46,28 @@ def candidates(docs, vectors, most: int):
 def keyword_hits(docs, most: int):
     """The best documents by keywords with their rank; the page type is asked for after the limit."""
     ranked = top(bm25(docs, QUERY), "doc_id", most).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "doc_id")))
-    named = docs.join(F.broadcast(ranked), "doc_id").filter(F.col("lang") == PAGE_TYPE)
-    return named.select(F.col("doc_id").alias("id"), "rank", (F.col("score") * by_title(EXACT_BOOST, LOOSE_BOOST, 1.0)).alias("score"))
+    named = docs.join(F.broadcast(ranked), "doc_id").filter(F.col("lang") == PAGE_TYPE)  # most rows
+    return named.select(F.col("doc_id").alias("id"), "source", "lang", "rank", (F.col("score") * by_title(EXACT_BOOST, LOOSE_BOOST, 1.0)).alias("score"))
+
+
+def queries_of(vectors):
+    return vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"))
 
 
-def retrieval_round(docs, near, hits, vec_k: int, bm25_k: int, threshold: float):
-    """query_id, key, id, score: one document for each composite key, the best first."""
+def retrieval_round(queries, near, hits, vec_k: int, bm25_k: int, threshold: float):
+    """query_id, key, id, score: one document for each composite key, the best first. near and hits carry what is asked of documents."""
     spread = lambda s, *w: F.coalesce(F.try_divide(s - F.min(s).over(*w), F.max(s).over(*w) - F.min(s).over(*w)), F.lit(0.5))
     own, whole = Window.partitionBy("query_id"), Window.partitionBy(F.lit(1))  # a top-k each
-    v = near.filter(F.col("rank") <= vec_k).select("query_id", "id", spread(F.col("score"), own).alias("v"))
-    b = hits.filter(F.col("rank") <= bm25_k).select("id", spread(F.col("score"), whole).alias("b"), F.count("*").over(whole).alias("n"))
+    v = near.filter(F.col("rank") <= vec_k).select("query_id", "id", "source", "lang", spread(F.col("score"), own).alias("v"))
+    b = hits.filter(F.col("rank") <= bm25_k).select("id", F.col("source").alias("b_source"), F.col("lang").alias("b_lang"), spread(F.col("score"), whole).alias("b"), F.count("*").over(whole).alias("n"))
     weight = F.lit(ELSE_WEIGHT)
     for least, w in reversed(WEIGHTS):
         weight = F.when(F.col("n") < least, w).otherwise(weight)
-    b = b.select("id", "b", weight.alias("w"))
+    b = b.select("id", "b_source", "b_lang", "b", weight.alias("w"))
     every = b.agg(F.coalesce(F.max("w"), F.lit(WEIGHTS[0][1])).alias("w"))  # one row
-    queries = near.select("query_id").distinct()
-    fused = v.join(queries.crossJoin(F.broadcast(b.drop("w"))), ["query_id", "id"], "full_outer").crossJoin(F.broadcast(every))
-    fused = fused.select("query_id", "id", ((1 - F.col("w")) * F.coalesce("v", F.lit(0.0)) + F.col("w") * F.coalesce("b", F.lit(0.0))).alias("fused"))
-    named = docs.select(F.col("doc_id").alias("id"), "source", "lang").join(F.broadcast(fused), "id")
+    asked = queries.join(near.select("query_id").distinct(), "query_id", "leftsemi")
+    fused = v.join(asked.crossJoin(F.broadcast(b.drop("w"))), ["query_id", "id"], "full_outer").crossJoin(F.broadcast(every))  # bm25_k rows, and one
+    named = fused.select("query_id", "id", F.coalesce("source", "b_source").alias("source"), F.coalesce("lang", "b_lang").alias("lang"), ((1 - F.col("w")) * F.coalesce("v", F.lit(0.0)) + F.col("w") * F.coalesce("b", F.lit(0.0))).alias("fused"))
     similar = named.withColumn("similarity", F.col("fused") + by_title(EXACT_BONUS, LOOSE_BONUS, 0.0)).filter(F.col("similarity") >= threshold)
     meta = F.lower(F.concat_ws(" ", "source", "lang"))
     count = F.when(meta.contains("src1"), 1).otherwise(0) + F.when(meta.contains("en"), 1).otherwise(0)
@@ -97,7 +102,8 @@ def search_round_pipeline(read):
     """One round: filtered vectors, keyword hits filtered after their limit, boosts, fusion by weights that the number of
     hits gives, bonus, threshold, keyword boost, penalty, and one document for each key."""
     docs, (vec_k, bm25_k, threshold) = read("documents"), ROUNDS[1]
-    return retrieval_round(docs, candidates(docs, read("embeddings"), vec_k), keyword_hits(docs, bm25_k), vec_k, bm25_k, threshold).select("query_id", "key", "id", "score")
+    near, hits = staged(candidates(docs, read("embeddings"), vec_k)), staged(keyword_hits(docs, bm25_k))
+    return retrieval_round(queries_of(read("embeddings")), near, hits, vec_k, bm25_k, threshold).select("query_id", "key", "id", "score")
 
 
 _ALL = " UNION ALL ".join(f"SELECT {n} AS round, query_id, key, id, score FROM r{n}" for n in range(len(ROUNDS)))
@@ -115,13 +121,14 @@ SELECT query_id, CAST(position AS INTEGER) AS position, key, id, score FROM t
 WHERE CASE WHEN len < 20 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.6::DOUBLE * l / len + 0.5::DOUBLE * least(w::DOUBLE / len, 0.3::DOUBLE) - least(0.8::DOUBLE, 0.15::DOUBLE * h))) END >= CASE lang WHEN 'en' THEN 0.35::DOUBLE WHEN 'de' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END""")
 def search_progressive_pipeline(read):
     """Rounds until enough keys are found and a round adds few; the best score of a key over its rounds; as many results as
-    the keys found allow; texts under the quality of their type go. All rounds are columns of one plan: nothing loops."""
+    the keys found allow; texts under the quality of their type go. The widest ranks are written once; every round reads its part of them."""
     docs = read("documents")
-    near, hits = candidates(docs, read("embeddings"), ROUNDS[-1][0]), keyword_hits(docs, ROUNDS[-1][1])
+    near, hits = staged(candidates(docs, read("embeddings"), ROUNDS[-1][0])), staged(keyword_hits(docs, ROUNDS[-1][1]))
     rounds = None
     for n, r in enumerate(ROUNDS):
-        one = retrieval_round(docs, near, hits, *r).withColumn("round", F.lit(n))
+        one = retrieval_round(queries_of(read("embeddings")), near, hits, *r).withColumn("round", F.lit(n))
         rounds = one if rounds is None else rounds.unionByName(one)
+    rounds = staged(rounds)
     first = rounds.groupBy("query_id", "key").agg(F.min("round").alias("first"))
     new = first.groupBy("query_id").agg(*(F.count_if(F.col("first") == n).alias(f"new{n}") for n in range(len(ROUNDS))))
     last, total = F.lit(len(ROUNDS) - 1), lambda n: sum((F.col(f"new{k}") for k in range(n + 1)), F.lit(0))
@@ -131,6 +138,6 @@ def search_progressive_pipeline(read):
     merged = held.groupBy("query_id", "key").agg(F.max(F.struct("score", (-F.col("round")).alias("r"), (-F.col("id")).alias("i"))).alias("m"))
     own = Window.partitionBy("query_id")
     ranked = merged.select("query_id", "key", (-F.col("m.i")).alias("id"), F.col("m.score").alias("score")).withColumns({"position": F.row_number().over(own.orderBy(F.desc("score"), "key")), "n": F.count("*").over(own)})
-    ranked = ranked.filter(F.col("position") <= F.greatest(F.lit(TOP_K), F.least(F.col("n"), F.lit(TOP_K * CAP))))
+    ranked = staged(ranked.filter(F.col("position") <= F.greatest(F.lit(TOP_K), F.least(F.col("n"), F.lit(TOP_K * CAP)))))  # of known size: Spark broadcasts it only where it is small
     good = T.quality(F.col("text"), r"\p{L}", r"[*#%&$!]{2,}") >= F.when(F.col("lang") == "en", 0.35).when(F.col("lang") == "de", 0.3).otherwise(0.2)
-    return docs.select(F.col("doc_id").alias("id"), "lang", "text").join(F.broadcast(ranked), "id").filter(good).select("query_id", "position", "key", "id", "score")
+    return docs.select(F.col("doc_id").alias("id"), "lang", "text").join(ranked, "id").filter(good).select("query_id", "position", "key", "id", "score")
