@@ -18,7 +18,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td
 _BLOCKS = frozenset("address article aside blockquote center dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _CELLS = {"td", "th", "table", "caption"}
 _SILENT = {"script", "style"}
-NODE = "pre int, last int, parent int, level int, tag string, attrs map<string,string>, text string, grid_row int, grid_col int, row_span int, col_span int"
+NODE = "pre int, last int, parent int, level int, start int, tag string, attrs map<string,string>, text string, grid_row int, grid_col int, row_span int, col_span int"
 
 
 class _Page(HTMLParser):
@@ -120,13 +120,16 @@ def _grids(nodes: list[dict]) -> dict[int, tuple[int, int, int, int]]:
 
 
 def page_nodes(html: str | None, texts: frozenset[str], without: frozenset[str] = frozenset()) -> list[dict]:
-    """The elements of a page in preorder (last: the last node inside); the text of those whose tag is among texts, its pieces joined by a space."""
+    """The elements of a page in preorder: last is the last node inside, start the place of its text in the page's.
+
+    Those whose tag is among texts have their text, its pieces joined by a space.
+    """
     page = _Page(without)
     page.feed(html or "")
     whole = page.finish()
     grids, out = _grids(page.nodes), []
     for n in page.nodes:
-        row = {"pre": n["pre"], "last": n["last"], "parent": n["parent"], "level": n["level"], "tag": n["tag"], "attrs": n["attrs"]}
+        row = {"pre": n["pre"], "last": n["last"], "parent": n["parent"], "level": n["level"], "start": n.get("first", n["end"]), "tag": n["tag"], "attrs": n["attrs"]}
         row["text"] = whole[n.get("first", n["end"]) : n["end"]] if n["tag"] in texts else None
         row |= dict(zip(("grid_row", "grid_col", "row_span", "col_span"), grids.get(n["pre"], (None,) * 4), strict=True))
         out.append(row)

@@ -80,3 +80,16 @@ def test_parts(spark):
     assert rows[4].bigs == ["120", "-2", "3-5"] and rows[4].colored == ["[×0.5]", "none"]
     one = spark.range(1).select(layout.by_position(F.array(F.lit("[×0.5]"), F.lit("no")), F.lit("×9"), ("a", "b")).alias("x"), layout.by_position(F.array().cast("array<string>"), F.lit("×1.5, ×2 ×3"), ("a", "b")).alias("y")).first()
     assert one.x == {"a": 0.5} and one.y == {"a": 1.5, "b": 2.0}
+
+
+def test_stages_and_coins(spark):
+    from tessera.plans import panes
+
+    texts = ["基础值：4 变动值: +2 [使用时] gain 1 [x] [命中时] burn 2", "硬币威力：-3 变动值：1", "", "基础值：7 硬币威力：9"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", panes.stage(F.col("t")).alias("s")).orderBy("id").collect()
+    assert [(r.s.base, r.s.power, [tuple(e) for e in r.s.effects]) for r in got] == [(4, 2, [("使用时", "gain 1"), ("命中时", "burn 2")]), (None, -3, []), (None, None, []), (7, None, [])]
+    html = "<p>before</p><table><tr><td>first <b>part</b><img alt='coin1.png'> one <img alt='other.png'>more<img alt='coin2.png'><img alt='x coin3'> last</td><td>plain</td><td><img alt='coin1'></td></tr></table>"
+    nodes = nodes_of(spark.createDataFrame([(1, html)], "page int, html string"), "html", TEXTS).cache()
+    cells = panes.outer(nodes, F.col("tag") == "td", "page", "cell")
+    got = panes.coin_effects(cells, nodes.filter("tag = 'img'"), "page").orderBy("cell").collect()
+    assert [[tuple(e) for e in r.effects] for r in got] == [[(0, "first part"), (1, "one more"), (3, "last")], [(0, "plain")], []]
