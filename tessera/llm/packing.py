@@ -3,7 +3,8 @@
 Documents are cut into whole windows and a rest. Groups of rests go into as few windows as their tokens need: every
 rest is a partial partition of one filled and many empty windows; the two partitions with the largest imbalance merge,
 the fullest windows of one on the emptiest of the other, until one is left. If a window is then over capacity, there
-is one window more. Where that leaves more padding than a hundredth of the windows, rests are cut in smaller pieces.
+is one window more. Where that leaves more padding than a hundredth of the windows, rests are cut in smaller pieces; where
+that does not help either, at the edges of as many windows as the tokens need.
 """
 
 from __future__ import annotations
@@ -117,8 +118,37 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
         length = np.minimum(sizes[item] - start, max(1, capacity // parts))
         at, bins = into_windows(length, capacity)
         if bins <= need + max(1, need // 100):
-            break
-    return item, start, at
+            return item, start, at
+    return cut_at_edges(sizes, capacity, need)
+
+
+def cut_at_edges(sizes: np.ndarray, capacity: int, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, start and window of each piece: near-equal windows of whole items, and what is over their edges in those with room."""
+    at = differencing(sizes, bins)
+    room = capacity - np.bincount(at, sizes, bins)
+    pieces = [(i, 0, int(n), int(w)) for i, (n, w) in enumerate(zip(sizes, at, strict=True))]
+    over = {int(w): int(-room[w]) for w in np.flatnonzero(room < 0)}
+    loose = []
+    for k in range(len(pieces) - 1, -1, -1):  # the ends of the last items of a window that is too full
+        i, start, n, w = pieces[k]
+        if gone := min(over.get(w, 0), n):
+            over[w] -= gone
+            pieces[k] = (i, start, n - gone, w)
+            loose.append((i, start + n - gone, gone))
+    free = [(int(w), int(room[w])) for w in np.flatnonzero(room > 0)]
+    for i, start, n in loose:
+        while n:
+            w, left = free[-1]
+            took = min(n, left)
+            pieces.append((i, start, took, w))
+            start, n = start + took, n - took
+            free.pop()
+            if left > took:
+                free.append((w, left - took))
+    item, start, length, at = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
+    order = np.lexsort((start, item))
+    order = order[length[order] > 0]
+    return item[order], start[order], at[order]
 
 
 def _rests(path: str, capacity: int, groups: int):

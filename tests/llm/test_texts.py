@@ -480,6 +480,19 @@ def test_rests_stay_whole_unless_windows_stay_empty():
     assert len(item) > 500 and at.max() + 1 <= 1.02 * -(-sizes.sum() // 2048)
 
 
+def test_items_are_cut_at_the_edges_of_windows():
+    rng = np.random.default_rng(3)
+    for sizes, most in ((rng.integers(683, 701, 512), 174), (rng.integers(1030, 1100, 300), 160), (np.full(3, 2047), 3), (rng.integers(1, 2048, 40), 99)):
+        sizes = np.asarray(sizes)
+        for item, start, at in (packing.fill(sizes, 2048), packing.cut_at_edges(sizes, 2048, -(-int(sizes.sum()) // 2048))):
+            assert (np.lexsort((start, item)) == np.arange(len(item))).all() and (np.unique(item) == np.arange(len(sizes))).all()
+            ends = np.append(start[1:], 0)
+            ends[np.append(item[1:] != item[:-1], True)] = sizes
+            assert (start[np.r_[True, item[1:] != item[:-1]]] == 0).all() and (ends > start).all()
+            used = np.bincount(at, ends - start)
+            assert used.max() <= 2048 and (used > 0).all() and len(used) <= most and used.sum() == sizes.sum()
+
+
 def test_differencing():
     sizes = np.random.default_rng(0).integers(1, 257, 900)
     at, bins = packing.into_windows(sizes, 2048)
