@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
+# Python workers live on from task to task. By default the C library keeps freed arrays of up to 32 MB for itself; with a
+# fixed threshold (option -3 of mallopt: M_MMAP_THRESHOLD) blocks of 1 MB or more go back to the system.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset and Spark is local."""
