@@ -171,6 +171,18 @@ NOTICES = [
 ]
 
 
+#: Licences of no family, words of any licence, and notices in other languages.
+STRANGE = ("Licensed under the Artistic License 2.0", "Licensed under the Boost Software License", "SPDX-License-Identifier: WTFPL", "License", "this software", "Licensed under the Sleepycat License.", "Released under the Frobnicate Public License, version 2", "SPDX-License-Identifier: Zorg-1.0", "Version 2.0", "the Software")
+ABROAD = (("MIT", "Sous licence MIT."), ("MIT", "Licencia MIT"), ("GPL", "Lizenz: GPL-3.0"), ("Apache", "Publié sous licence Apache 2.0"))
+
+
+def test_other_licences_and_other_languages(licensed):
+    rows = licensed.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*STRANGE, *(t for _, t in ABROAD)])], "doc_id long, text string")
+    found = {r.doc_id: r.licences for r in licences.scan(rows, licences.train(licensed, most_paragraphs=40)).collect()}
+    assert [found[i] for i in range(len(STRANGE))] == [[]] * len(STRANGE)
+    assert [found[len(STRANGE) + k] for k in range(len(ABROAD))] == [[f] for f, _ in ABROAD]
+
+
 def test_licences_of_notices_that_are_no_templates(licensed):
     own = [(f, t) for f, t in NOTICES if t not in {t for ts in licences.templates() for t in ts}]
     assert len(own) >= 18
@@ -181,4 +193,4 @@ def test_licences_of_notices_that_are_no_templates(licensed):
     rows = licensed.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*(t for _, t in NOTICES), *plain])], "doc_id long, text string")
     found = {r.doc_id: r for r in licences.scan(rows, licences.train(licensed, most_paragraphs=40)).collect()}
     wrong = [(family, found[i].licence, [tuple(f) for f in found[i].findings]) for i, (family, _) in enumerate(NOTICES) if found[i].licence != family]
-    assert not wrong and all(not found[len(NOTICES) + k].licences for k in range(len(plain)))
+    assert not wrong and not [(t, found[len(NOTICES) + k].licences, [tuple(f) for f in found[len(NOTICES) + k].findings]) for k, t in enumerate(plain) if found[len(NOTICES) + k].licences]
