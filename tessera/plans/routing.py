@@ -172,12 +172,16 @@ def anomaly_histogram(read):
  round_even(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS DOUBLE) ELSE 0 END) * greatest(0, 0.75::DOUBLE), 0) AS additive, round_even(sum(CAST(l_tax AS DOUBLE) * 10), 0) AS fixed FROM lineitem GROUP BY l_orderkey""")
 def damage_parts(read):
     """The second multiplier from the buffs of either side, the additive part times a resistance of at least 0, and the
-    fixed part; both parts are rounded half to even."""
-    part = lambda test, c: F.sum(F.when(test, F.col(c).cast("double")).otherwise(0.0))
-    multiplier = 1 + part(F.col("l_returnflag") == "R", "l_discount") + part(F.col("l_returnflag") == "A", "l_tax")
+    fixed part; both parts are rounded half to even. A sum of doubles depends on its order, which decides halves: lines
+    are added in the order of the table (file, then row), however they are read."""
+    one = F.struct("_metadata.file_path", "_metadata.row_index", "l_returnflag", "l_linestatus", *(F.col(c).cast("double").alias(c) for c in ("l_discount", "l_tax", "l_quantity")))
+    orders = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("lines"))
+    total = lambda value: F.aggregate("lines", F.lit(0.0), lambda s, x: s + value(x))
+    part = lambda test, c: total(lambda x: F.when(test(x), x[c]).otherwise(0.0))
+    multiplier = 1 + part(lambda x: x["l_returnflag"] == "R", "l_discount") + part(lambda x: x["l_returnflag"] == "A", "l_tax")
     resistance = F.greatest(F.lit(0.0), F.lit(1.0) + F.lit(0.5) - F.lit(0.75))
-    additive, fixed = F.bround(part(F.col("l_linestatus") == "O", "l_quantity") * resistance, 0), F.bround(F.sum(F.col("l_tax").cast("double") * 10), 0)
-    return read("lineitem").groupBy("l_orderkey").agg(multiplier.alias("multiplier"), additive.alias("additive"), fixed.alias("fixed"))
+    additive, fixed = F.bround(part(lambda x: x["l_linestatus"] == "O", "l_quantity") * resistance, 0), F.bround(total(lambda x: x["l_tax"] * 10), 0)
+    return orders.select("l_orderkey", multiplier.alias("multiplier"), additive.alias("additive"), fixed.alias("fixed"))
 
 
 
