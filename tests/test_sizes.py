@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tessera import registry
+from tessera.functions import dom
 
 
 def test_sums_in_the_order_of_the_table(spark, tmp_path):
@@ -20,3 +21,23 @@ def test_sums_in_the_order_of_the_table(spark, tmp_path):
             want[k] = (r + discount * (flag == "R"), a + t * (flag == "A"), fixed + t * 10, add + q)
     got = registry.QUERIES["damage_parts"](spark, str(tmp_path)).collect()
     assert {r.l_orderkey: (r.multiplier, r.additive, r.fixed) for r in got} == {k: (1 + r + a, float(round(add * 0.75)), float(round(f))) for k, (r, a, f, add) in want.items()}
+
+
+def test_pages_are_read_tag_by_tag_as_the_parser_reads_them(monkeypatch):
+    pieces = ["<p>", "</p>", "<div class='tip'>", "</div>", "<br/>", "<script>'</p>'</script>", "<script>", "</script>", "<title>", "</title>", "text ", " &lt; ", "<!-- c -->", "<!-- <p> -->", "<a title='a>b'>", "</a>", "< b", "<td colspan=2>", "<tr>", "<table>", "</table>", "<", ">", "<script/>", "<li>", "\n"]
+    chance = random.Random(3)
+    pages = ["".join(chance.choices(pieces, k=chance.randint(1, 8))) for _ in range(3000)]
+    read = lambda: [dom.page_nodes(p, frozenset(("p", "div", "td")), frozenset(("tip",))) for p in pages]
+    fast, by_tag = read(), sum(dom._steps(p) is not None for p in pages)
+    monkeypatch.setattr(dom, "_steps", lambda html: None)
+    assert fast == read() and by_tag > 300
+
+
+def test_nodes_come_in_bounded_batches(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(3000).coalesce(1).select("id", F.concat(F.lit("<p>x" * 40), F.col("id").cast("string")).alias("html"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    sizes = dom.nodes_of(pages, "html", ("p",)).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", [b.num_rows]) for b in batches), "id long, pre int, last int, parent int, level int, start int, tag string, attrs map<string,string>, text string, grid_row int, grid_col int, row_span int, col_span int")
+    got = [r.id for r in sizes.collect()]
+    assert len(got) > 1 and sum(got) == 120_000
