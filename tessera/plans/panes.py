@@ -130,7 +130,9 @@ def page_effects(read):
     words = F.when(k % 4 == 1, "a、").otherwise(F.concat(F.lit("a, "), F.col("p_name")))
     box = F.concat(F.lit('<table class="infobox"><tr><th>picture</th></tr>'), _if(k % 3 > 0, row("类型", F.lit("正面"))), _if(k % 2 == 0, row("罪孽", F.lit("<b>暴怒</b>"))), _if(k % 4 > 0, row("关键词", words)), F.lit("</table>"))
     told = F.concat(F.when(k % 5 > 0, "<h2>描述</h2>").otherwise("<h2>preview</h2>"), _text("<p>gives {0} for {1} ", F.col("p_size"), "</p><ul><li>no</ul>"), _if(k % 2 == 0, "<h3>sub</h3><div><i>and</i> more</div>"), F.lit("<h2>预览</h2><p>not this</p>"))
-    nodes = staged(nodes_of(read("part").select("p_partkey", F.concat(box, told).alias("html")), "html", texts=("th", "td", "h2", "p", "div")))
+    n = int(read("part").sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the table's few files are work for all cores
+    pages = read("part").repartition(n, "p_partkey").select("p_partkey", F.concat(box, told).alias("html"))
+    nodes = staged(nodes_of(pages, "html", texts=("th", "td", "h2", "p", "div")))
     key = "p_partkey"
     cells = layout.within(outer(nodes, F.col("tag") == "tr", key, "row").select(key, "o_pre", "o_last", "row"), nodes.filter(F.col("tag").isin("th", "td")).select(key, "pre", "text"), key)
     pairs = cells.groupBy(key, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda c: c["text"]).alias("c")).filter("size(c) > 1 and c[0] <> '' and c[1] <> ''")
