@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.nearest import close_pairs
 from tessera.functions.rounding import micro
 from tessera.plans.catalog import query
+from tessera.sources.staged import staged
 
 QUERY = ("thon", "onan", "was")
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -121,12 +123,13 @@ def search_progressive(read):
 
 def cosine_each(vectors, k: int):
     """query_id, vec_id, score and rank of the k best for each query vector, those with vec_id divisible by 50, against all
-    rows. Ranks are limited before they are shuffled, so a query leaves k rows of each task."""
-    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    rows. Matrix products of blocks leave the pairs that can be among them, whose scores are then computed as stated."""
+    v = staged(vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.monotonically_increasing_id().alias("row")))
+    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("row").alias("q_row"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))
-    scored = v.crossJoin(q).select("query_id", "vec_id", F.coalesce(F.try_divide(dot("v", "q"), F.nullif(norm, F.lit(0.0))), F.lit(0.0)).alias("score"))
+    near = close_pairs(v.select("row", "v"), q.select("q_row", "q"), k).join(v, "row").join(q, "q_row")
+    scored = near.select("query_id", "vec_id", F.coalesce(F.try_divide(dot("v", "q"), F.nullif(norm, F.lit(0.0))), F.lit(0.0)).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 

@@ -41,3 +41,31 @@ def test_nodes_come_in_bounded_batches(spark):
     sizes = dom.nodes_of(pages, "html", ("p",)).mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "id", [b.num_rows]) for b in batches), "id long, pre int, last int, parent int, level int, start int, tag string, attrs map<string,string>, text string, grid_row int, grid_col int, row_span int, col_span int")
     got = [r.id for r in sizes.collect()]
     assert len(got) > 1 and sum(got) == 120_000
+
+
+def test_close_pairs_are_those_of_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import nearest
+
+    for name, n in (("ROWS", 7), ("QUERIES", 3), ("TOGETHER", (2, 2))):
+        monkeypatch.setattr(nearest, name, n)
+    chance = random.Random(5)
+    some = [[float(chance.randint(-2, 2)) for _ in range(3)] for _ in range(60)]
+    some += [some[1], some[2], [0.0] * 3, None, [1.0, None, 2.0], [1.0, 2.0], [], [float("nan"), 1.0, 1.0]]
+    v = spark.createDataFrame(list(enumerate(some)), "row long, v array<double>").repartition(3)
+    q = v.filter("row % 6 = 0").select(F.col("row").alias("q_row"), F.col("v").alias("q"))
+    got = {(r.q_row, r.row) for r in nearest.close_pairs(v, q, 5).collect()}
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        dot = lambda x, y: sum(i * j for i, j in zip(x, y))
+        norm = dot(a, a) ** 0.5 * dot(b, b) ** 0.5
+        out = dot(a, b) / norm if norm else 0.0
+        return float("inf") if out != out else out
+
+    for at in range(0, len(some), 6):
+        scores = {i: cosine(some[at], x) for i, x in enumerate(some)}
+        least = sorted(scores.values())[-5]
+        assert {i for i, s in scores.items() if s >= least - 1e-9} == {i for k, i in got if k == at}
