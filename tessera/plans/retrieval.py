@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.nearest import close_pairs
 from tessera.functions.rounding import micro
 from tessera.plans.catalog import query
 from tessera.plans.ranking import _BM, QUERY, bm25, top
@@ -30,15 +31,19 @@ def by_title(exact, loose, other):
 def candidates(docs, vectors, most: int):
     """Of every query: the most similar documents of the page type, with their rank; the filter comes before the ranks.
 
-    Similarity is 1 - (1 - cosine). Pairs of query and document meet in blocks and leave most rows a query and task.
+    Similarity is 1 - (1 - cosine). Pairs of query and document meet in blocks; those that can be among the most similar
+    leave about most rows a query and task, and their similarity is then computed as stated.
     """
     kept = docs.filter(F.col("lang") == PAGE_TYPE).select(F.col("doc_id").alias("id"), "source", "lang")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = vectors.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     v = v.withColumn("length", F.nullif(F.sqrt(dot("v", "v")), F.lit(0.0)))  # once a row, not a pair
-    q = v.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"))
+    number = F.monotonically_increasing_id()
+    q = staged(v.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"), number.alias("q_row")))
+    v = staged(v.join(kept, "id").withColumn("row", number))
     cosine = F.coalesce(F.try_divide(dot("v", "q"), F.col("length") * F.col("q_length")), F.lit(0.0))
-    near = v.join(kept, "id").crossJoin(q).select("query_id", "id", "source", "lang", cosine.alias("score"))
+    pairs = close_pairs(v.select("row", "v"), q.select("q_row", "q"), most)
+    near = pairs.join(v, "row").join(q, "q_row").select("query_id", "id", "source", "lang", cosine.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
