@@ -22,6 +22,25 @@ def contained(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     return hits.groupBy(key, name).agg(F.min("place").alias("place"))
 
 
+def contained_by_length(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """contained for many names that begin alike: the same pairs.
+
+    Names meet texts by their first two characters (or the only one), of which only the lengths of names that begin so
+    are known, then by all of them: a place costs the lengths that its beginning has, not the names. Nulls and empty
+    names meet nothing.
+    """
+    codes = names.select(name).filter(F.length(name) > 0).distinct()
+    heads = codes.groupBy(F.substring(name, 1, 2).alias("head")).agg(F.collect_set(F.length(name)).alias("lengths"))
+    places = texts.filter(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(1), F.length(text))).alias("i"))
+    head = F.substring(F.col(text), F.col("i"), F.lit(2))
+    two = places.withColumn("head", head)
+    one = places.withColumn("head", F.substring(head, 1, 1)).filter(F.length(text) > F.col("i"))
+    begun = two.unionByName(one).join(heads, "head").withColumn("n", F.explode("lengths"))
+    said = begun.filter(F.col("i") + F.col("n") - 1 <= F.length(text)).select(key, (F.col("i") - 1).alias("place"), F.substring(F.col(text), F.col("i"), F.col("n")).alias(name))
+    hits = said.join(codes, name)
+    return hits.groupBy(key, name).agg(F.min("place").alias("place"))
+
+
 def bare(c: str | Column) -> Column:
     """What stands after the last ' - ', without bracketed parts."""
     last = F.trim(F.element_at(F.split(c, " - "), -1))
@@ -78,7 +97,7 @@ def cascade(messages: DataFrame, key: str, text: str, tagged: DataFrame, tag: st
     """
     m = messages.select(key, F.col(text).alias("said"), F.lower(text).alias("low"))
     codes = tagged.withColumn("low_code", F.lower("code"))
-    hits = contained(m, key, "low", codes, "low_code").select(key, "low_code").join(codes, "low_code").join(m, key)
+    hits = contained_by_length(m, key, "low", codes, "low_code").select(key, "low_code").join(codes, "low_code").join(m, key)
     fits = (F.col("any_case") | F.col("said").contains(F.col("code"))) & (~F.col("needs_tag") | F.col("said").rlike(tag))
     order = F.struct("tier", "rank", (-F.length("code")).alias("less"), "title")
     return hits.filter(fits).groupBy(key).agg(F.min(order).alias("b")).select(key, "b.title", "b.tier")

@@ -69,3 +69,14 @@ def test_close_pairs_are_those_of_brute_force(spark, monkeypatch):
         scores = {i: cosine(some[at], x) for i, x in enumerate(some)}
         least = sorted(scores.values())[-5]
         assert {i for i, s in scores.items() if s >= least - 1e-9} == {i for k, i in got if k == at}
+
+
+def test_names_that_begin_alike(spark):
+    from tessera.functions import names
+
+    chance = random.Random(7)
+    word = lambda most: "".join(chance.choices("ab", k=chance.randint(0, most)))
+    said, known = [word(12) for _ in range(40)] + ["a", "", None], [word(5) for _ in range(60)] + ["", None]
+    texts = spark.createDataFrame(list(enumerate(said)), "id int, said string")
+    got = names.contained_by_length(texts, "id", "said", spark.createDataFrame([(n,) for n in known], "name string"), "name").collect()
+    assert sorted((r.id, r.name, r.place) for r in got) == sorted((i, n, s.find(n)) for i, s in enumerate(said) if s for n in {*known} if n and n in s)
