@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rewriting, wikitree
@@ -192,10 +192,9 @@ def template_values(read):
     n = int(read("lineitem").sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = read("lineitem").repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("s"))
     pages = pages.select("l_orderkey", F.concat(F.lit("== unit ==\n{{Other|name=x}}"), F.array_join("s.markup", "\n"), F.lit("{{Skill|name=never closed")).alias("page"))
-    found = wikitree.template_parts(staged(pages), ["l_orderkey"], "page", F.col("name") == "Skill")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("template"))
+    found = wikitree.template_parts(pages, ["l_orderkey"], "page", F.col("name") == "Skill")
     get = lambda *names: part(list(names))
-    rows = found.withColumn("pos", pos).withColumns({"name": get("skill name", "name"), "b": get("base", "skill base"), "l": get("level"), "c": get("change", "coin bonus"), "kind": get("kind"), "more": F.coalesce(get("effect2"), F.lit(""))}).filter(F.col("name").isNotNull() & get("icon").isNotNull())
+    rows = found.withColumn("pos", F.col("nth")).withColumns({"name": get("skill name", "name"), "b": get("base", "skill base"), "l": get("level"), "c": get("change", "coin bonus"), "kind": get("kind"), "more": F.coalesce(get("effect2"), F.lit(""))}).filter(F.col("name").isNotNull() & get("icon").isNotNull())
     number = lambda c: F.coalesce(hidden_number(F.col(c)), F.lit(0))
     given = F.array_join(F.filter(F.array(*(F.when(F.col(c).isNotNull(), label) for c, label in (("b", "base"), ("l", "level"), ("c", "power")))), lambda x: x.isNotNull()), ",")
     important = F.coalesce(get("importance"), F.nullif(F.regexp_extract(F.coalesce(get("effect"), F.lit("")), r"^1：(\d+)", 1), F.lit("")), F.lit(""))

@@ -89,3 +89,11 @@ def test_values_of_templates(spark):
     pages = spark.createDataFrame([(1, "{{Skill|a=1|b={{X|a=2}}|a=3}}{{Other|a=9}}{{Skill}}{{Skill|a=open"), (2, None)], "id int, page string")
     found = wikitree.template_parts(pages, ["id"], "page", F.col("name") == "Skill").orderBy("template").collect()
     assert [(r.id, r.parts) for r in found] == [(1, {"a": "3", "b": "a：2"}), (1, None)]
+
+
+def test_templates_come_out_of_one_reading(spark):
+    pages = spark.createDataFrame([(1, "{{A|x=1|\n y = 2=3}}{{B|{{A|p|q|k\n=v}}}}{{A}}{{A|"), (2, "{{A|x=''|}}"), (3, None)], "id int, page string")
+    found = wikitree.template_parts(pages, ["id"], "page", F.col("name") == "A")
+    assert sorted((r.id, r.nth, r.parts) for r in found.collect()) == [(1, 1, {"x": "1", "y": "2=3"}), (1, 2, {"1": "p", "2": "q", "k": "v"}), (1, 3, None), (2, 1, {"x": "''|"})]
+    plan = found._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
