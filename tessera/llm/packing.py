@@ -93,14 +93,15 @@ def differencing(sizes: np.ndarray, bins: int) -> np.ndarray:
     return label[:n]
 
 
-def into_windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """The window of each piece and how many there are; none is over capacity."""
+def into_windows(sizes: np.ndarray, capacity: int, most: int | None = None) -> tuple[np.ndarray, int] | None:
+    """The window of each piece and how many there are; none is over capacity. None if that takes more than most."""
     bins = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
+    while most is None or bins <= most:
         at = differencing(sizes, bins)
         if np.bincount(at, sizes, bins).max() <= capacity:
             return at, bins
         bins += 1
+    return None
 
 
 def cut_sizes(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +117,8 @@ def fill(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.n
     for parts in PARTS:
         item, start = cut_sizes(sizes, max(1, capacity // parts))
         length = np.minimum(sizes[item] - start, max(1, capacity // parts))
-        at, bins = into_windows(length, capacity)
-        if bins <= need + max(1, need // 100):
-            return item, start, at
+        if found := into_windows(length, capacity, need + max(1, need // 100)):
+            return item, start, found[0]
     return cut_at_edges(sizes, capacity, need)
 
 

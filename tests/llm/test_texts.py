@@ -499,3 +499,12 @@ def test_differencing():
     sums = np.bincount(at, sizes)
     assert len(sums) == bins and sums.max() <= 2048 and sums.max() - sums.min() < 40 and bins <= -(-sizes.sum() // 2048) + 2
     assert sorted(np.bincount(packing.differencing(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])) == [14, 16]
+
+
+def test_windows_are_not_sought_beyond_the_limit(monkeypatch):
+    sizes, tried, plain = np.random.default_rng(1).integers(683, 701, 512), [], packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda s, bins: tried.append(bins) or plain(s, bins))
+    need = -(-int(sizes.sum()) // 2048)
+    packing.fill(sizes, 2048)
+    assert tried and max(tried) <= need + max(1, need // 100)
+    assert packing.into_windows(np.array([60, 60, 60]), 100, 2) is None
