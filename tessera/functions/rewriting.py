@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def between(text: str | Column, pattern: str, groups: int = 0) -> Column:
@@ -53,21 +56,34 @@ def replace_matches(rows: DataFrame, key: str, text: str, pattern: str, layers:
     return rows.join(parts, key, "left").select(key, F.when(F.col("parts").isNull(), F.col(text)).otherwise(F.concat(F.split(text, pattern, -1)[0], rest)).alias(text))
 
 
-@F.pandas_udf(T.StringType())
-def _put(texts: pd.Series, hits: pd.Series) -> pd.Series:
-    """The texts with their sorted hits (start, -length, name) put in, from the left; one that begins inside an earlier one goes."""
+#: Texts whose hits are Python objects at once.
+_TEXTS = 64
+
+
+def _put(key: str, text: str):
+    """(key, text) of rows (key, text, hits): the sorted hits (start, -length, name) put in, from the left; one that begins inside an earlier one goes.
 
-    def one(text, found):
-        if text is None or found is None:
-            return text
+    Hits stay in Arrow's columns; those of a few texts at a time become Python objects.
+    """
+
+    def one(text, hits):
         at, out = 0, []
-        for h in found:
-            if h["start"] >= at:
-                out += [text[at : h["start"]], h["name"]]
-                at = h["start"] - h["less"]
+        for start, less, name in hits:
+            if start >= at:
+                out += [text[at:start], name]
+                at = start - less
         return "".join([*out, text[at:]])
 
-    return pd.Series([one(t, h) for t, h in zip(texts, hits, strict=True)], dtype="object")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(a, _TEXTS)
+                flat, counts = part.column("hits").flatten(), pc.fill_null(pc.list_value_length(part.column("hits")), 0).to_pylist()
+                hits = zip(*(c.to_pylist() for c in flat.flatten()), strict=True)
+                texts = [t if t is None else one(t, islice(hits, n)) for t, n in zip(part.column(text).to_pylist(), counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(texts, pa.string())], [key, text])
+
+    return run
 
 
 def replace_keys(rows: DataFrame, key: str, text: str, layers: list[DataFrame], letters: str = "A-Za-z") -> DataFrame:
@@ -87,4 +103,5 @@ def replace_keys(rows: DataFrame, key: str, text: str, layers: list[DataFrame],
     fits = F.startswith("ahead", "code") & ~F.col("back").rlike(letter) & ~F.substring("ahead", F.length("code") + 1, F.lit(1)).rlike(letter)
     hits = places.join(names, "head").filter(fits).select(key, "start", (-F.length("code")).alias("less"), "name")
     hits = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "less", "name"))).alias("hits"))
-    return rows.join(hits, key, "left").select(key, _put(F.col(text), F.col("hits")).alias(text))
+    kept = rows.select(key, text)
+    return kept.join(hits, key, "left").mapInArrow(_put(key, text), kept.schema)

@@ -97,3 +97,15 @@ def test_templates_come_out_of_one_reading(spark):
     assert sorted((r.id, r.nth, r.parts) for r in found.collect()) == [(1, 1, {"x": "1", "y": "2=3"}), (1, 2, {"1": "p", "2": "q", "k": "v"}), (1, 3, None), (2, 1, {"x": "''|"})]
     plan = found._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_hits_become_objects_a_few_texts_at_a_time():
+    import pyarrow as pa
+
+    hit = pa.struct([("start", pa.int32()), ("less", pa.int32()), ("name", pa.string())])
+    one = [{"start": 0, "less": -2, "name": "<ab>"}, {"start": 1, "less": -2, "name": "gone"}, {"start": 3, "less": -1, "name": "<d>"}]
+    rows = [(i, "ab d", one) for i in range(300)] + [(300, None, None), (301, "x", None), (302, "", [])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.list_(hit)), strict=True)], ["id", "t", "hits"])
+    got = list(rewriting._put("id", "t")([batch.slice(1)]))
+    assert max(b.num_rows for b in got) <= 64
+    assert [(r["id"], r["t"]) for b in got for r in b.to_pylist()] == [(i, "<ab> <d>") for i in range(1, 300)] + [(300, None), (301, "x"), (302, "")]
