@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -11,20 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: what functions of arrays name several times Spark works out as often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def between(text: str | Column, pattern: str, groups: int = 0) -> Column:
     """The matches of a pattern as an array of structs: start, stop, match, g1, ..., and slice (what stands between it and the next).
 
     Matches must not be empty. A null text gives null. Places are counted from 0, in characters.
     """
     c = F.col(text) if isinstance(text, str) else text
-    pieces = F.split(c, pattern, -1)
-    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
-    rows = F.arrays_zip(*(f.alias(f"g{i}") for i, f in enumerate(found)), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("slice"))
-    # a running place: after each match and its slice
-    places = F.aggregate(
-        F.transform(rows, lambda r: F.length(r["g0"]) + F.length(r["slice"])), F.struct(F.array(F.length(pieces[0])).alias("at"), F.length(pieces[0]).alias("end")), lambda s, n: F.struct(F.array_append(s["at"], s["end"] + n).alias("at"), (s["end"] + n).alias("end")), lambda s: s["at"]
-    )
-    return F.zip_with(rows, F.slice(places, 1, F.size(rows)), lambda r, at: F.struct(at.alias("start"), (at + F.length(r["g0"])).alias("stop"), r["g0"].alias("match"), *(r[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)), r["slice"].alias("slice")))
+
+    def of_pieces(c, pieces):
+        found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
+        return F.arrays_zip(*(f.alias(f"g{i}") for i, f in enumerate(found)), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("slice"))
+
+    def placed(pieces, rows):
+        # a running place: after each match and its slice
+        first = F.length(pieces[0])
+        places = F.aggregate(
+            F.transform(rows, lambda r: F.length(r["g0"]) + F.length(r["slice"])), F.struct(F.array(first).alias("at"), first.alias("end")), lambda s, n: F.struct(F.array_append(s["at"], s["end"] + n).alias("at"), (s["end"] + n).alias("end")), lambda s: s["at"]
+        )
+        return F.zip_with(rows, F.slice(places, 1, F.size(rows)), lambda r, at: F.struct(at.alias("start"), (at + F.length(r["g0"])).alias("stop"), r["g0"].alias("match"), *(r[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)), r["slice"].alias("slice")))
+
+    return let(c, lambda c: let(F.split(c, pattern, -1), lambda pieces: let(of_pieces(c, pieces), lambda rows: placed(pieces, rows))))
 
 
 def section(text: str | Column, name: str) -> Column:

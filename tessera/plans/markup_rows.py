@@ -61,12 +61,14 @@ def voice_lines(section: Column) -> Column:
     """(file, start, title, text) of each voice file of a section: what stands between its anchor and the next, without the table's own lines."""
     strip = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
 
-    def line(seg):
-        title, inline = strip(F.regexp_extract(seg["slice"], TITLE, 1)), strip(F.regexp_extract(seg["slice"], TITLE, 2))
-        lines = F.split(seg["slice"], "\n")
+    def kept(title, lines):
         cleaned = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: strip(F.regexp_replace(strip(x), r"^\|+", "")))
-        kept = F.filter(cleaned, lambda x: x.rlike(SPOKEN) & ~x.rlike("^(?:width=|style=)") & ((title == "") | (x != F.concat(title, F.lit("：")))))
-        return F.struct(strip(seg["g1"]).alias("file"), seg["start"].alias("start"), title.alias("title"), F.concat(inline, F.array_join(kept, "")).alias("text"))
+        return F.filter(cleaned, lambda x: x.rlike(SPOKEN) & ~x.rlike("^(?:width=|style=)") & ((title == "") | (x != F.concat(title, F.lit("：")))))
+
+    def line(seg):
+        inline, lines = strip(F.regexp_extract(seg["slice"], TITLE, 2)), F.split(seg["slice"], "\n")
+        named = lambda title: F.struct(strip(seg["g1"]).alias("file"), seg["start"].alias("start"), title.alias("title"), F.concat(inline, F.array_join(rewriting.let(lines, lambda x: kept(title, x)), "")).alias("text"))
+        return rewriting.let(strip(F.regexp_extract(seg["slice"], TITLE, 1)), named)
 
     return F.filter(F.transform(rewriting.between(section, VOICE, 1), line), lambda v: (v["file"] != "") & ((v["title"] != "") | (v["text"] != "")))
 

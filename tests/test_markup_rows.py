@@ -109,3 +109,11 @@ def test_hits_become_objects_a_few_texts_at_a_time():
     got = list(rewriting._put("id", "t")([batch.slice(1)]))
     assert max(b.num_rows for b in got) <= 64
     assert [(r["id"], r["t"]) for b in got for r in b.to_pylist()] == [(i, "<ab> <d>") for i in range(1, 300)] + [(300, None), (301, "x"), (302, "")]
+
+
+def test_a_page_is_cut_once(spark):
+    d = spark.createDataFrame([(1, "a"), (2, None)], "id int, page string")
+    found = d.select("id", markup_rows.voice_lines(rewriting.section("page", "voices")).alias("v"))
+    analysed = found._jdf.queryExecution().analyzed().toString()
+    assert analysed.count("split(") <= 3 and analysed.count("regexp_extract_all(") <= 4  # the page, its section, a slice's lines
+    assert [r.v for r in found.collect()] == [None, None]
