@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.chunkers import after, each, lines, some
 from tessera.functions.formats import signed
+from tessera.functions.rewriting import let
 
 #: Descriptions that only name a value: fixed values.
 TAGS = ("基础值", "硬币威力", "攻击等级", "攻击容量", "变动值")
@@ -18,19 +19,24 @@ def stage_with_effects(s: Column) -> Column:
     said = F.filter(s["effects"], lambda e: some(e["description"]).isNotNull())
     shown = F.transform(said, lambda e: F.concat(F.coalesce(F.concat(F.lit("["), some(e["timing"]), F.lit("] ")), F.lit("")), e["description"]))
     head = F.concat(F.coalesce(s["stage"], F.lit("")), F.lit("阶：基础值 "), F.coalesce(s["base_value"].cast("string"), F.lit("—")))
-    return F.concat(head, F.coalesce(after(" | 变动值 ", signed(s["coin_power"])), F.lit("")), F.when(F.size(shown) > 0, F.concat(F.lit(" | "), F.array_join(shown, "；"))).otherwise(""))
+    return F.concat(head, F.coalesce(after(" | 变动值 ", signed(s["coin_power"])), F.lit("")), let(shown, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(" | "), F.array_join(x, "；"))).otherwise("")))
 
 
 def skill_title(key: Column, name: Column, guard: Column, place: Column) -> Column:
     """The heading of a skill by its key (strengthened, guard, derived, numbered), by its place (from 0) where it has none."""
     number = lambda c: F.coalesce(F.try_element_at(F.array(*(F.lit(x) for x in "一二三四五六七八九十")), c.try_cast("int")), c.cast("string"))
-    strong, derived, plain = (F.regexp_extract(key, p, 1) for p in (r"^强化(\d+)技能", r"^(\d+)技能\d+", r"^(\d+)技能"))
     head = lambda what: F.concat(F.lit("【"), what, F.lit("】"), name)
-    keyed = F.concat(F.lit("（"), key, F.lit("）"))
-    return (
-        F.when(strong != "", F.concat(head(F.concat(F.lit("强化技能"), number(strong))), keyed)).when(guard | F.coalesce(key.startswith("守备"), F.lit(False)), head(F.lit("守备技能")))
-        .when(derived != "", F.concat(head(F.concat(F.lit("技能"), number(derived), F.lit("衍生"))), keyed)).when(plain != "", head(F.concat(F.lit("技能"), number(plain)))).otherwise(head(F.concat(F.lit("技能"), number(place + 1))))
-    )
+
+    def titled(k):
+        key, strong, derived, plain = (k[c] for c in ("key", "strong", "derived", "plain"))
+        keyed = F.concat(F.lit("（"), key, F.lit("）"))
+        return (
+            F.when(strong != "", F.concat(head(F.concat(F.lit("强化技能"), number(strong))), keyed)).when(guard | F.coalesce(key.startswith("守备"), F.lit(False)), head(F.lit("守备技能")))
+            .when(derived != "", F.concat(head(F.concat(F.lit("技能"), number(derived), F.lit("衍生"))), keyed)).when(plain != "", head(F.concat(F.lit("技能"), number(plain)))).otherwise(head(F.concat(F.lit("技能"), number(place + 1))))
+        )
+
+    kinds = {"strong": r"^强化(\d+)技能", "derived": r"^(\d+)技能\d+", "plain": r"^(\d+)技能"}
+    return let(key, lambda key: let(F.struct(key.alias("key"), *(F.regexp_extract(key, p, 1).alias(c) for c, p in kinds.items())), titled))
 
 
 def coin_says(e: Column) -> Column:
@@ -49,9 +55,10 @@ def coin_line(e: Column) -> Column:
 def coins_merged(effects: Column) -> Column:
     """A line for each coin, in the order of first mention, with all that is said of it, each thing once."""
     used = F.filter(effects, lambda e: (F.coalesce(e["coin_index"], F.lit(0)) > 0) & coin_says(e))
-    coins = F.array_distinct(F.transform(used, lambda e: e["coin_index"]))
-    said = lambda c: F.array_distinct(F.transform(F.filter(used, lambda e: e["coin_index"] == c), coin_line))
-    return F.transform(coins, lambda c: F.concat(F.lit("硬币"), c.cast("string"), F.lit("："), F.array_join(said(c), "；")))
+    coins = lambda used: F.array_distinct(F.transform(used, lambda e: e["coin_index"]))
+    said = lambda used, c: F.array_distinct(F.transform(F.filter(used, lambda e: e["coin_index"] == c), coin_line))
+    merged = lambda used: F.transform(coins(used), lambda c: F.concat(F.lit("硬币"), c.cast("string"), F.lit("："), F.array_join(said(used, c), "；")))
+    return let(used, merged)
 
 
 def passive_item(text: Column, names: Column) -> Column:
@@ -66,9 +73,10 @@ def passives(battle: Column, support: Column, names: Column) -> Column:
     """Passives by side, a line each: those of the battle text whose reference belongs to support go there."""
     items = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x) != "")
     helps = lambda x: F.coalesce(F.try_element_at(names, F.regexp_extract(F.trim(x), _PASSIVE, 1))["side"].contains("支援"), F.lit(False))
-    fights, aids = F.filter(items(battle), lambda x: ~helps(x)), F.concat(F.filter(items(battle), helps), items(support))
     group = lambda name, c: (F.when(F.size(c) > 0, F.concat(F.array(F.lit(name)), F.transform(c, lambda x: F.concat(F.lit("- "), passive_item(x, names))))),)
-    return lines(F.lit("被动技能："), group("战斗：", fights), group("支援：", aids), F.lit(""))
+    told = lambda all_: lines(F.lit("被动技能："), group("战斗：", all_["fights"]), group("支援：", all_["aids"]), F.lit(""))
+    sides = lambda mine: F.struct(F.filter(mine, lambda x: ~helps(x)).alias("fights"), F.concat(F.filter(mine, helps), items(support)).alias("aids"))
+    return let(items(battle), lambda mine: let(sides(mine), told))
 
 
 def voices(spoken: Column, called: Column, most: int = 20) -> Column:

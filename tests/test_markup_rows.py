@@ -117,3 +117,13 @@ def test_a_page_is_cut_once(spark):
     analysed = found._jdf.queryExecution().analyzed().toString()
     assert analysed.count("split(") <= 3 and analysed.count("regexp_extract_all(") <= 4  # the page, its section, a slice's lines
     assert [r.v for r in found.collect()] == [None, None]
+
+
+def test_effects_of_coins_are_judged_once(spark):
+    from tessera.functions import details
+
+    one = "struct<timing:string,description:string,coin_index:int>"
+    d = spark.createDataFrame([(1, [("on", "cuts", 2), ("on", "first", 1), ("", "cuts", 2), ("on", "+3", 2)]), (2, None)], f"id int, e array<{one}>")
+    found = d.select("id", details.coins_merged(F.col("e")).alias("c"))
+    assert found._jdf.queryExecution().analyzed().toString().count("RLIKE") == 1
+    assert {r.id: r.c for r in found.collect()} == {1: ["硬币2：[on] cuts；cuts", "硬币1：[on] first"], 2: None}
