@@ -62,6 +62,8 @@ def context_noise(read):
     return read("conversations").select("conv_id", "turn", F.md5(F.trim(F.regexp_replace(F.regexp_replace(t, r"([!?.,;~])\1{2,}", "$1"), " {2,}", " "))).alias("text_md5"))
 
 
+#: Rows of a task whose windows are sorted in memory.
+TASK_ROWS = 500_000
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 _SIDES = """s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linenumber % 2 = 1 AS own, l_suppkey % 7 AS icon, l_partkey % 5 AS name, CASE WHEN l_discount > 0.05 THEN l_quantity END AS given, l_quantity AS shown FROM lineitem)"""
 
@@ -74,12 +76,15 @@ FROM q a LEFT JOIN l b ON a.other IS NULL AND a.l_orderkey = b.l_orderkey AND a.
 def skill_attribution(read):
     """Rows of an authoritative list paired with rows shown on the page, each used once: the k-th of an icon with the k-th, then those left by name.
 
-    Given values win over shown ones; rows without a partner stay. One shuffle, by record: both pairings are windows over it.
+    Given values win over shown ones; rows without a partner stay. One shuffle, by record: both pairings are windows over
+    it, whose sorts hold the rows of a task; so tasks grow in number with the table.
     """
-    l = read("lineitem").select(  # noqa: E741
+    rows = read("lineitem")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    l = rows.select(  # noqa: E741
         "l_orderkey", *_ORDER, (F.col("l_linenumber") % 2 == 1).alias("own"), (F.col("l_suppkey") % 7).alias("icon"), (F.col("l_partkey") % 5).alias("name"),
         F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).alias("given"), F.col("l_quantity").alias("shown"),
-    ).repartition("l_orderkey")
+    ).repartition(n, "l_orderkey")
     other = lambda *by: F.max(F.when(~F.col("own"), F.col("shown"))).over(Window.partitionBy("l_orderkey", *by))
     both = lambda *by: F.count("*").over(Window.partitionBy("l_orderkey", *by)) == 2
     l = l.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey", "own", "icon").orderBy(*_ORDER)))  # noqa: E741
