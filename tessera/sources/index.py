@@ -12,11 +12,15 @@ from tessera.plans.ranking import K1, B
 def write_terms(docs: DataFrame, path: str, parts: int = 64) -> None:
     """Rows (word, doc_id, tf, dl) in folders by the word's hash, sorted by word within a file; totals and numbers of documents beside them.
 
-    A null text has no words, but counts as a document. Counts are added up by word and document, so a
-    frequent word is in many tasks; Spark then rebalances folders into files of its advisory size, so a large folder is split.
+    A null text has no words, but counts as a document. Texts are shuffled by document and their words counted there, so
+    a frequent word is in many tasks and rows of words are shuffled once: Spark rebalances folders into files of its
+    advisory size, so a large folder is split.
     """
-    words = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    each = words.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("word")).groupBy("word", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = T.tokens(F.coalesce("text", F.lit("")))
+    mine = docs.select("doc_id", "text").repartition(n, "doc_id").select("doc_id", tokens.alias("t"))
+    words = docs.select(tokens.alias("t"))
+    each = mine.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("word")).groupBy("word", "doc_id", "dl").agg(F.count("*").alias("tf"))
     part = F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int")
     each.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "word").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")

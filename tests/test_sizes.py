@@ -80,3 +80,22 @@ def test_names_that_begin_alike(spark):
     texts = spark.createDataFrame(list(enumerate(said)), "id int, said string")
     got = names.contained_by_length(texts, "id", "said", spark.createDataFrame([(n,) for n in known], "name string"), "name").collect()
     assert sorted((r.id, r.name, r.place) for r in got) == sorted((i, n, s.find(n)) for i, s in enumerate(said) if s for n in {*known} if n and n in s)
+
+
+def test_words_are_shuffled_once_and_pairing_tasks_stay_small(spark, tmp_path, monkeypatch):
+    from tessera.plans import records
+    from tessera.sources import index
+
+    plans = []
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()))
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
+    try:
+        index.write_terms(docs, str(tmp_path))
+    except Exception:  # its own files are not there to be read
+        pass
+    assert plans[0].count("Exchange") == 2 and "hashpartitioning(word" not in plans[0]
+    monkeypatch.undo()
+    monkeypatch.setattr(records, "TASK_ROWS", 100)
+    spread = registry.QUERIES["skill_attribution"](spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert spread.rdd.getNumPartitions() >= lines // 100 > 4
