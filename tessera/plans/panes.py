@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import layout
-from tessera.functions.dom import attr, nodes_of
+from tessera.functions import layout, onepage
+from tessera.functions.dom import Node, Page, attr, found_in, nodes_of
+from tessera.functions.onepage import attr as attr_of
 from tessera.functions.rewriting import between
 from tessera.plans.catalog import query
 from tessera.plans.layouts import _LINES, _if, _lines, _text
@@ -16,6 +20,8 @@ from tessera.sources.staged import staged
 BASE, CHANGE, POWER, GUARDS, CAPACITY = r"基础值[：:]\s*(\d+)", r"变动值[：:]\s*([+-]?\d+)", r"硬币威力[：:]\s*([+-]?\d+)", ("闪避", "反击", "防御"), r"攻击容量[：:]\s*(\d+)"
 STAGES = ("I", "II", "III", "IV")
 GOOD, BAD, WON, LOST = "有利判定", "不利判定", "#67AD69", "#CD3532"
+_COIN, _SKILL, _SIN = re.compile(r"coin(\d+)", re.A), re.compile(r"skill-(\w+-\w+)-", re.A), re.compile("罪孽-([^\n\r\u0085\u2028\u2029]+)")
+_TIMING, _REWARD = re.compile(r"\[([^\]]+)\]([^\[]*)"), re.compile(r"(?:获得|失去)\s*[^\n，,]+", re.A)
 
 
 def outer(nodes: DataFrame, test: Column, key: str, name: str) -> DataFrame:
@@ -55,36 +61,59 @@ def _skill_html(line: Column, pos: Column) -> Column:
     return F.concat(F.lit('<table class="wikitable"><tr><td>'), title, icon, _if(line["l_suppkey"] % 3 == 0, " 可以闪避"), _if(pos == 3, _text(" 攻击容量：", pos)), F.lit('</td></tr><tr><td><div class="tab-content">'), panes, F.lit("</div></td></tr><tr>"), coins, F.lit("</tr></table>"))
 
 
+def cut_at_coins(page: Page, cell: Node) -> list[tuple[int, str]]:
+    """coin_effects of one cell of a page that is read."""
+    text, cuts = page.text(cell), [(0, 0)]
+    cuts += [(int(m[1]), max(n.first - cell.first, 0)) for n in onepage.inside(page.tags["img"], cell) if (m := _COIN.search(attr_of(n, "alt")))]
+    ends = [at for _, at in cuts[1:]] + [len(text)]
+    return [(coin, said) for (coin, at), end in zip(cuts, ends, strict=True) if (said := text[at : max(end, at)].strip(" "))]
+
+
+def stage_of(text: str) -> tuple[int | None, int | None, list[tuple[str, str]]]:
+    """stage of a text in Python."""
+
+    def number(pattern: str) -> int | None:
+        m = re.search(pattern, text, re.A)
+        return int(m[1]) if m and len(m[1].lstrip("+-0")) <= 10 and -(2**31) <= int(m[1]) < 2**31 else None
+
+    base, power, change = number(BASE), number(POWER), number(CHANGE)
+    said = [(m[1], description) for m in _TIMING.finditer(text) if (description := m[2].strip(" "))]
+    return base, power if base is None and power is not None else change, said
+
+
+def skills(page: Page) -> Iterator[tuple]:
+    """(skill, sin, damage, guard, capacity, coins, coin_effects, stage, base, power, effects), a row a pane of the tables in the folds below the heading of skills."""
+    folds = [n for n in page.having("class", "collapsible") if n.tag == "div"]
+    named = {f.pre: f for h, found in onepage.following(page, folds, "技能") if "技能" in page.text(h) for f in found}
+    written, skill = [n for n in page.having("class", "wikitable") if n.tag == "table"], -1
+    every = [n for n in page.having("role", "tabpanel") if n.tag == "div" and attr_of(n, "role") == "tabpanel"]
+    for table in (page.nodes[pre] for pre in sorted({t.pre for f in named.values() for t in onepage.inside(written, f)})):
+        panes, cells, whole = onepage.inside(every, table), onepage.inside(page.tags["td"], table), page.text(table)
+        if not panes:
+            continue
+        alts, cell = [attr_of(n, "alt") for n in onepage.inside(page.tags["img"], table)], cells[-1] if cells else None
+        skill += 1
+        icon = next((m[1] for m in map(_SKILL.search, alts) if m), None)
+        sin, damage = icon.split("-") if icon else ("", "")
+        guard = "" if icon else next((g for g in GUARDS if g in whole), "")
+        capacity = onepage.number(m[1]) if (m := re.search(CAPACITY, whole, re.A)) else None
+        coins, said = len({a for a in alts if "coin" in a}), None if cell is None else ";".join(f"{coin}={text}" for coin, text in cut_at_coins(page, cell))
+        for k, pane in enumerate(panes):
+            base, power, effects = stage_of(page.text(pane))
+            yield skill, sin, damage, guard, 1 if capacity is None else capacity, coins, said, STAGES[k] if k < len(STAGES) else str(k + 1), base, power, ";".join(f"{t}={d}" for t, d in effects)
+
+
 @query(f"""WITH {_LINES}, k AS (SELECT *, unnest(range(3 + CAST(l_suppkey % 4 = 0 AS INTEGER) + CAST(l_suppkey % 8 = 0 AS INTEGER))) AS k FROM ln)
 SELECT l_orderkey, pos - 1 AS skill, CASE l_suppkey % 3 WHEN 1 THEN 'gloom' WHEN 2 THEN 'pride' ELSE '' END AS sin, CASE l_suppkey % 3 WHEN 1 THEN 'slash' WHEN 2 THEN 'blunt' ELSE '' END AS damage, CASE WHEN l_suppkey % 3 = 0 THEN '闪避' ELSE '' END AS guard, CASE WHEN pos = 3 THEN 3 ELSE 1 END AS capacity, CASE WHEN pos % 2 = 0 THEN 3 ELSE 0 END AS coins,
  CASE WHEN pos % 2 = 0 THEN '0=first;1=one ' || q || ';3=three' ELSE '0=first' END AS coin_effects, coalesce(['I', 'II', 'III', 'IV'][k + 1], CAST(k + 1 AS VARCHAR)) AS stage, CASE WHEN l_partkey % 4 > 0 THEN q + k END AS base, CAST(CASE WHEN l_partkey % 4 = 0 THEN -k ELSE pos END AS INTEGER) AS power, 'on=hits ' || q || ';end=heals' AS effects FROM k WHERE l_orderkey % 2 = 0""")
 def page_skills(read):
     """Skills of a page, a row a stage: kinds from icons or words, values and effects of each pane, effects of coins cut at their images."""
     key = "l_orderkey"
-    skills = F.transform("lines", lambda line, i: _skill_html(line, i + 1))
-    start = F.concat(F.lit('<h2>技能</h2><div class="mw-collapsible">no skills here<table class="wikitable"><tr><td>x</td></tr></table></div><div class="mw-collapsible">'), F.array_join(skills, ""), F.lit("</div><h2>end</h2>"))
+    written = F.transform("lines", lambda line, i: _skill_html(line, i + 1))
+    start = F.concat(F.lit('<h2>技能</h2><div class="mw-collapsible">no skills here<table class="wikitable"><tr><td>x</td></tr></table></div><div class="mw-collapsible">'), F.array_join(written, ""), F.lit("</div><h2>end</h2>"))
     other = F.lit('<div class="mw-collapsible"><table class="wikitable"><tr><td><div role="tabpanel" class="tab-pane">基础值：1</div></td></tr></table></div>')
     pages = _lines(read).select(key, F.when(F.col(key) % 2 == 0, F.concat(start, other)).otherwise(F.concat(F.lit("<h2>other</h2>"), other)).alias("html"))
-    nodes = staged(nodes_of(pages, "html", texts=(*layout.HEADS, "div", "table", "td", "tr")))
-    named = nodes.filter(F.col("tag").isin(*layout.HEADS) & F.col("text").contains("技能")).select(key, F.col("pre").alias("head"))
-    folds = layout.following(nodes, key, (F.col("tag") == "div") & attr("class").contains("collapsible"), "技能").join(named, [key, "head"]).select(key, F.col("pre").alias("o_pre"), F.col("last").alias("o_last"))
-    pane = (F.col("tag") == "div") & (attr("role") == "tabpanel")
-    tables = layout.within(folds, nodes.filter((F.col("tag") == "table") & attr("class").contains("wikitable")).select(key, "pre", "last", "text"), key).select(key, F.col("pre").alias("o_pre"), F.col("last").alias("o_last"), F.col("pre").alias("table"), F.col("text").alias("whole"))
-    panes = layout.within(tables, nodes.filter(pane).select(key, "pre", "text"), key).withColumn("k", F.row_number().over(Window.partitionBy(key, "table").orderBy("pre")))
-    with_panes = tables.join(panes.select(key, "table").distinct(), [key, "table"], "leftsemi").withColumn("skill", F.row_number().over(Window.partitionBy(key).orderBy("table")) - 1)
-    icon = F.regexp_extract(attr("alt"), r"skill-(\w+-\w+)-", 1)
-    images = layout.within(with_panes.select(key, "o_pre", "o_last", "table"), nodes.filter("tag = 'img'").select(key, "pre", icon.alias("icon"), attr("alt").alias("alt")), key)
-    icons = images.groupBy(key, "table").agg(F.min_by(F.nullif("icon", F.lit("")), F.when(F.col("icon") != "", F.col("pre"))).alias("icon"), F.size(F.collect_set(F.when(F.col("alt").contains("coin"), F.col("alt")))).alias("coins"))
-    cells = layout.within(with_panes.select(key, "o_pre", "o_last", "table"), nodes.filter("tag = 'td'").select(key, "pre", "last", "text", "start"), key)
-    last = cells.groupBy(key, "table").agg(F.max_by(F.struct("pre", "last", "text", "start"), "pre").alias("c")).select(key, "table", F.col("c.pre").alias("o_pre"), F.col("c.last").alias("o_last"), F.col("c.text").alias("o_text"), F.col("c.start").alias("o_start"), F.col("c.pre").alias("cell"))
-    said = last.select(key, "table", "cell").join(coin_effects(last.drop("table"), nodes.filter("tag = 'img'"), key), [key, "cell"])
-    shown = lambda c, k, v: F.array_join(F.transform(c, lambda e: F.concat_ws("=", e[k].cast("string"), e[v])), ";")
-    guard = F.when(F.col("icon").isNotNull(), "").otherwise(F.coalesce(*(F.when(F.col("whole").contains(g), g) for g in GUARDS), F.lit("")))
-    kinds = with_panes.join(icons, [key, "table"], "left").join(said.select(key, "table", shown(F.col("effects"), "coin", "text").alias("coin_effects")), [key, "table"], "left")
-    kinds = kinds.select(key, "table", "skill", F.coalesce(F.split_part("icon", F.lit("-"), F.lit(1)), F.lit("")).alias("sin"), F.coalesce(F.split_part("icon", F.lit("-"), F.lit(2)), F.lit("")).alias("damage"), guard.alias("guard"), F.coalesce(F.nullif(F.regexp_extract("whole", CAPACITY, 1), F.lit("")).try_cast("int"), F.lit(1)).alias("capacity"), F.coalesce("coins", F.lit(0)).alias("coins"), "coin_effects")
-    label = F.coalesce(F.try_element_at(F.array(*map(F.lit, STAGES)), F.col("k")), F.col("k").cast("string"))
-    stages = panes.select(key, "table", label.alias("stage"), stage(F.col("text")).alias("s"))
-    return kinds.join(stages, [key, "table"]).select(key, "skill", "sin", "damage", "guard", "capacity", "coins", "coin_effects", "stage", "s.base", "s.power", shown(F.col("s.effects"), "timing", "description").alias("effects"))
+    return found_in(pages, "html", "skill int, sin string, damage string, guard string, capacity int, coins int, coin_effects string, stage string, base int, power int, effects string", skills)
 
 
 def _option_html(line: Column, pos: Column) -> Column:
@@ -95,6 +124,28 @@ def _option_html(line: Column, pos: Column) -> Column:
     return F.concat(F.lit('<div role="tabpanel" class="tab-pane">' + label("#9A6433", "choice")), _text(" ", pos, "<p>"), check, F.lit("</p>"), won, lost, F.lit("</div>"))
 
 
+def options(page: Page) -> Iterator[tuple]:
+    """(pos, choice, check_type, sin, threshold, won, lost), a row a pane."""
+    panes = [n for n in page.having("role", "tabpanel") if n.tag == "div" and attr_of(n, "role") == "tabpanel"]
+    labels = [n for n in page.having("class", "label") if n.tag == "span" and "background" in attr_of(n, "style")]
+    sins = [n for n in page.tags["img"] if _SIN.match(attr_of(n, "alt"))]
+    for pos, pane in enumerate(panes, 1):
+        text, shown, boxes = page.text(pane), onepage.inside(labels, pane), {"won": set(), "lost": set()}
+        for n in shown:
+            style = attr_of(n, "style")
+            if WON in style or LOST in style:
+                boxes["won" if WON in style else "lost"].add(n.parent)
+        items = {side: sorted({n.pre for box in at for n in onepage.inside(page.tags["li"], page.nodes[box])}) for side, at in boxes.items()}
+        won, lost = ([said for pre in items[side] if (said := page.text(page.nodes[pre]))] for side in ("won", "lost"))
+        if not won:
+            won = [r.strip(" ") for r in _REWARD.findall("".join(text.split("判定成功")[1:2])[:300])]
+        check = GOOD if GOOD in text else BAD if BAD in text else ""
+        threshold = onepage.number(re.split(f"{GOOD}|{BAD}", text)[-1][:100]) if check else None
+        image = next(iter(onepage.inside(sins, pane)), None) if check else None
+        sin = "" if image is None else _SIN.match(attr_of(image, "alt"))[1]
+        yield pos, page.text(shown[0]) if shown else None, check, sin, threshold or 0, ";".join(won), ";".join(lost)
+
+
 @query(f"""WITH {_LINES} SELECT l_orderkey, pos, 'choice' AS choice, CASE l_suppkey % 3 WHEN 1 THEN '有利判定' WHEN 2 THEN '不利判定' ELSE '' END AS check_type, CASE WHEN l_suppkey % 3 > 0 THEN 'gloom' ELSE '' END AS sin, CASE WHEN l_suppkey % 3 > 0 THEN q ELSE 0 END AS threshold, CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'gain ' || q || ';rest' ELSE '获得 ' || q || ' 金;失去 2' END AS won, CASE WHEN pos % 2 = 0 THEN 'hurt' ELSE '' END AS lost FROM ln""")
 def page_options(read):
     """Choices of an event, a row a pane: label, check with its sin and threshold, what is won and lost by list or by words."""
