@@ -151,26 +151,7 @@ def page_options(read):
     """Choices of an event, a row a pane: label, check with its sin and threshold, what is won and lost by list or by words."""
     key = "l_orderkey"
     pages = _lines(read).select(key, F.concat(F.lit("<h2>event</h2><p>story</p>"), F.array_join(F.transform("lines", lambda line, i: _option_html(line, i + 1)), "")).alias("html"))
-    nodes = staged(nodes_of(pages, "html", texts=("div", "span", "li")))
-    panes = outer(nodes, (F.col("tag") == "div") & (attr("role") == "tabpanel"), key, "pane")
-    labels = layout.within(panes.select(key, "o_pre", "o_last", "pane"), nodes.filter((F.col("tag") == "span") & attr("class").contains("label") & attr("style").contains("background")).select(key, "pre", "parent", "text", attr("style").alias("style")), key)
-    first = labels.groupBy(key, "pane").agg(F.min_by("text", "pre").alias("choice"))
-    up = nodes.select(key, F.col("pre").alias("parent"), F.col("last").alias("p_last"))
-    boxes = labels.filter(F.col("style").contains(WON) | F.col("style").contains(LOST)).join(up, [key, "parent"]).select(key, "pane", F.col("parent").alias("o_pre"), F.col("p_last").alias("o_last"), F.when(F.col("style").contains(WON), "won").otherwise("lost").alias("side"))
-    items = layout.within(boxes, nodes.filter("tag = 'li' and text <> ''").select(key, "pre", "text"), key)
-    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pre", "text")))), lambda x: x["text"])
-    outcomes = items.groupBy(key, "pane").agg(side("won").alias("won"), side("lost").alias("lost"))
-    sin = F.regexp_extract(attr("alt"), r"^罪孽-(.+)", 1)
-    sins = layout.within(panes.select(key, "o_pre", "o_last", "pane"), nodes.filter((F.col("tag") == "img") & (sin != "")).select(key, "pre", sin.alias("sin")), key).groupBy(key, "pane").agg(F.min_by("sin", "pre").alias("sin"))
-    text, check = F.col("o_text"), F.when(F.col("o_text").contains(GOOD), GOOD).when(F.col("o_text").contains(BAD), BAD).otherwise("")
-    behind = F.when(check != "", F.substring(F.element_at(F.split(text, f"{GOOD}|{BAD}"), -1), 1, 100))
-    rewards = F.transform(F.regexp_extract_all(F.substring(F.split_part(text, F.lit("判定成功"), F.lit(2)), 1, 300), F.lit(r"(?:获得|失去)\s*[^\n，,]+"), F.lit(0)), lambda r: F.trim(r))
-    out = panes.join(first, [key, "pane"], "left").join(outcomes, [key, "pane"], "left").join(sins, [key, "pane"], "left")
-    won = F.when(F.coalesce(F.size("won"), F.lit(0)) > 0, F.col("won")).otherwise(rewards)
-    return out.select(
-        key, F.row_number().over(Window.partitionBy(key).orderBy("pane")).alias("pos"), "choice", check.alias("check_type"), F.when(check != "", F.coalesce("sin", F.lit(""))).otherwise("").alias("sin"), F.coalesce(F.nullif(F.regexp_extract(behind, r"(\d+)", 1), F.lit("")).try_cast("int"), F.lit(0)).alias("threshold"),
-        F.array_join(won, ";").alias("won"), F.coalesce(F.array_join("lost", ";"), F.lit("")).alias("lost"),
-    )
+    return found_in(pages, "html", "pos int, choice string, check_type string, sin string, threshold int, won string, lost string", options)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '正面' END AS effect_type, CASE WHEN p_partkey % 2 = 0 THEN '暴怒' ELSE '' END AS sin, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a;' || p_name END AS keywords, 'gives 强度 for 层数（持续回合） ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' and more' ELSE '' END AS description FROM part WHERE p_partkey % 5 > 0""")

@@ -23,7 +23,7 @@ def nodes_and_pages(spark, htmls):
     return nodes_of(spark.createDataFrame(list(enumerate(htmls)), "page int, html string"), "html", TEXTS).cache(), [Page(h) for h in htmls]
 
 
-@pytest.mark.parametrize("name", ["page_parts", "page_units", "page_skills", "page_grid_maps", "page_icon_counts"])
+@pytest.mark.parametrize("name", ["page_parts", "page_units", "page_skills", "page_grid_maps", "page_icon_counts", "page_options"])
 def test_pages_are_not_joined(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1
