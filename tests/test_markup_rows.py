@@ -127,3 +127,21 @@ def test_effects_of_coins_are_judged_once(spark):
     found = d.select("id", details.coins_merged(F.col("e")).alias("c"))
     assert found._jdf.queryExecution().analyzed().toString().count("RLIKE") == 1
     assert {r.id: r.c for r in found.collect()} == {1: ["硬币2：[on] cuts；cuts", "硬币1：[on] first"], 2: None}
+
+
+def test_plain_links_are_read_at_once(monkeypatch):
+    import random
+    import re
+
+    from tessera.functions import wikitree
+
+    pieces = ["{{A", "{{B|x=1", "}}", "}}}", "{{{", "|", "|x=1", "|y = two ", "=", "[[a|b]]", "[[a|b|c]]", "[[ d ]]", "[[]]", "[[e|]]", "[[|f]]", "[[", "]]", "[", "]", "'''", "<b>", "</b>", "\n", "\n== h ==\n", "|n=a\nb", "\n|}", "text"]
+    chance, opened = random.Random(6), []
+    texts = ["{{T" + "".join(chance.choices(pieces, k=chance.randint(0, 20))) + "}}" for _ in range(5000)]
+    read = lambda: [(wikitree.nodes(t), wikitree.plain(t), wikitree.templates(t)) for t in texts]
+    got, one = read(), wikitree.Markup._open
+    monkeypatch.setattr(wikitree.Markup, "_open", lambda self, kind, *a: opened.append(kind) or one(self, kind, *a))
+    assert wikitree.templates("{{T|a=[[x|y]] z|{{D|[[w]]}}}}") == [(0, "T", {"a": "y z", "1": "1：w"}), (4, "D", {"1": "w"})]
+    assert opened == ["template", "template"]
+    monkeypatch.setattr(wikitree, "_LINK", re.compile("(?!)"))
+    assert got == read() and "link" in opened
