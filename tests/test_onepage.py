@@ -96,3 +96,28 @@ def test_grids_and_counts_as_over_node_tables(spark):
             got[i].append(dict(zip(keys, map(float, counts), strict=True)))
             assert pos == len(got[i]) and keys == sorted(keys)
     assert got == want and len(want) > 50
+
+
+def test_panes_as_over_node_tables(spark):
+    from tessera.plans import panes
+
+    chance = random.Random(8)
+    words = ["基础值：4", "基础值: 99999999999", "变动值：+2", "变动值: -", "硬币威力：-3", "[on]", "[off]", "[", "]", "text", " "]
+    texts = ["".join(chance.choices(words, k=chance.randint(0, 9))) for _ in range(500)]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", panes.stage(F.col("t")).alias("s")).orderBy("id").collect()
+    assert [(r.s.base, r.s.power, [tuple(e) for e in r.s.effects]) for r in got] == [panes.stage_of(t) for t in texts]
+    nodes, read = nodes_and_pages(spark, pages_of(["<table>", "<td>", "</td>", "one", "two <b>", "<img alt='coin1'>", "<img alt='x coin23'>", "<img alt='y'>"]))
+    want = {(r.page, r.cell): [tuple(e) for e in r.effects] for r in panes.coin_effects(panes.outer(nodes, F.col("tag") == "td", "page", "cell"), nodes.filter("tag = 'img'"), "page").collect()}
+    assert {(i, c.pre): panes.cut_at_coins(p, c) for i, p in enumerate(read) for c in p.tags["td"]} == want and len(want) > 100
+
+
+def test_options_and_skills_of_odd_pages():
+    from tessera.plans import panes
+
+    label = lambda color, text: f"<span class='label' style='background: {color}'>{text}</span>"
+    pane = "<div role=tabpanel>"
+    page = pane + label("#9A6433", "go") + "不利判定 <img alt='罪孽-lust'> 7 点<div>" + label(panes.WON, "w") + label(panes.WON, "w") + "<li>a<li> <li>b</div>" + label(panes.LOST, "l") + "</div>" + pane + "判定成功 失去 3，x</div>" + pane
+    assert list(panes.options(Page(page))) == [(1, "go", panes.BAD, "lust", 7, "a;b", "a;b"), (2, None, "", "", 0, "失去 3", ""), (3, None, "", "", 0, "", "")]
+    fold = "<h2>技能</h2><div class=collapsible><table class=wikitable>反击<div role=tabpanel>[a] b</div></table><table class=wikitable><td>x</table></div>"
+    assert list(panes.skills(Page(fold))) == [(0, "", "", "反击", 1, 0, None, "I", None, None, "a=b")]
+    assert list(panes.skills(Page(fold.replace("技能", "other")))) == list(panes.skills(Page(None))) == list(panes.options(Page(""))) == []
